@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +20,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op7_packing": op7_packing}
+def bucket(n: int):
+    """crc32 of the id as text, modulo n: the folds that the models learn from and are held out of."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(bucket(5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (bucket(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+QUERIES = {"op6_simhash": op6_simhash, "op7_packing": op7_packing, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
