@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, packing, simhash, toxicity
+from . import hnsw, kdtree, packing, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES = {"op2_top_k": op2_top_k, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op10_toxicity": op10_toxicity}
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {
     "op2_top_k": """
         WITH v AS (
