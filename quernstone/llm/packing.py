@@ -11,6 +11,9 @@ powers of two, which need none either.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +32,27 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
 QUERY_TERMS, K1, B = 32, 1.2, 0.75
 #: Words that a worker remembers the ids of.
 MEMO = 1 << 19
-_MARK = "\x01"
+#: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Latin words without apostrophes, and the runs they fall into: letters, single numerals, the rest.
+_LATIN = re.compile("[!-&(-~\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017e]{1,64}")
+_RUN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff\u0100-\u017e]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -40,45 +63,59 @@ def tokenizer_path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memo(dict):
+    """Remembers what a function of one argument gave."""
+
+    def __init__(self, make: Callable):
+        self._make = make
+
+    def __missing__(self, key):
+        value = self[key] = self._make(key)
+        return value
+
+
 class Encoder:
-    """Ids of whole texts, word by word: this vocabulary never joins what white space parts, so equal words are encoded once."""
+    """Ids of whole texts. With the steps known, no token crosses white space, and each distinct word is encoded once."""
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(tokenizer_path(path))
+        said = json.loads(self._t.to_str())
+        self._by_word = all(said[k] == v for k, v in KNOWN_STEPS.items())
         self._kind = np.uint16 if self._t.get_vocab_size() <= 1 << 16 else np.uint32
-        self._mark = self._t.encode(_MARK, add_special_tokens=False).ids
-        self._memo: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, self._kind)
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if len(w) <= 64 and b"\x01" not in w]
-        for w in words:
-            if len(w) > 64 or b"\x01" in w:
-                self._memo[w] = self._ids(w.decode()).tobytes()
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = self._ids(f" {_MARK} ".join(w.decode() for w in part))
-            marks = np.flatnonzero(ids == self._mark[0]) if len(self._mark) == 1 else []
-            if len(marks) != len(part) - 1:
-                self._memo.update((w, self._ids(w.decode()).tobytes()) for w in part)
-                continue
-            size, raw = ids.itemsize, ids.tobytes()
-            starts, ends = [0, *((marks + 1) * size).tolist()], [*(marks * size).tolist(), len(raw)]
-            self._memo.update((w, raw[s:e]) for w, s, e in zip(part, starts, ends))
+        self._pack = (array("H") if self._kind == np.uint16 else array("I")).typecode
+        self._model, self._bytes = self._t.model, _byte_chars()
+        self._words = _Memo(self._word)
+        self._runs: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array(self._pack, self._t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        own = run if run.isascii() else run.encode().decode("latin-1").translate(self._bytes)
+        ids = self._runs[run] = array(self._pack, [t.id for t in self._model.tokenize(own)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii() and text.isalpha():
+            run = text.lower()
+            return self._runs.get(run) or self._run(run)
+        if not _LATIN.fullmatch(text) or "<|" in text:
+            return self._ids(text)
+        runs = self._runs
+        return b"".join(runs.get(r) or self._run(r) for r in _RUN.findall(text.lower()))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [t.split() if t else [] for t in texts]
-        new = set().union(*split).difference(self._memo)
-        if len(self._memo) + len(new) > MEMO:
-            self._memo = {}
-            new = set().union(*split)
-        self._learn(list(new))
-        get = self._memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), self._kind) for ws in split]
+        if not self._by_word:
+            return [np.frombuffer(self._ids(t.decode() if t else ""), self._kind) for t in texts]
+        if len(self._words) > MEMO:
+            self._words.clear()
+        if len(self._runs) > MEMO:
+            self._runs.clear()
+        get = self._words.__getitem__
+        return [np.frombuffer(b"".join(map(get, t.split())) if t else b"", self._kind) for t in texts]
 
 
 class Index:

@@ -16,6 +16,19 @@ def test_encoder_is_the_tokenizer():
         assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_over_odd_words_and_whole_tables():
+    import duckdb
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    texts += ["".join(map(chr, range(a, a + 40))) for a in range(32, 700, 13)] + [f"a{chr(c)}b {chr(c)}1" for c in range(32, 1200)]
+    e = packing.Encoder()
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode([x.encode() for x in texts])] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    whole = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not whole._by_word and whole.encode([b" two  words", None])[0].tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(" two  words").ids
+
+
 def test_round_trip_and_padding(spark):
     rows = [(i if i != 4 else None, t, "s", i) for i, t in enumerate(TEXTS)] + [(7, TEXTS[7], "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, start long")
