@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, kdtree, packing, simhash, toxicity
+from . import hnsw, kdtree, packing, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), pii.train(spark)))
+
+
 def bucket(n: int):
     """crc32 of the id as text, modulo n: the folds that the models learn from and are held out of."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -41,7 +45,7 @@ def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {
     "op2_top_k": """
         WITH v AS (
