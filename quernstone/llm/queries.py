@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, kdtree, mixing, packing, pii, simhash, toxicity, warc
+from . import hnsw, kdtree, lattice, mixing, packing, pii, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "__path.domain", "__path.lang", "__path.source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
 
 
+def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lattice.score(table(spark, sf_dir, "documents"), bucket(5) != 1, class_col="lang")
+    return got.select("doc_id", F.coalesce(bucket(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -54,7 +59,7 @@ def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op3_lattice_score": op3_lattice_score, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
