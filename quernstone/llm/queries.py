@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, kdtree, lattice, mixing, packing, pii, simhash, toxicity, warc
+from . import hnsw, kdtree, lattice, mixing, packing, pii, simhash, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -59,7 +63,7 @@ def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op3_lattice_score": op3_lattice_score, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op3_lattice_score": op3_lattice_score, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
