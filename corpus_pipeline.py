@@ -1,10 +1,56 @@
-"""From documents to packed training sequences."""
+"""From documents to packed training sequences: toxic documents go, near-duplicates go, personal data is masked, sources are mixed, what is left is packed."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.llm import mixing, packing, pii, simhash, toxicity
+from quernstone.llm.common import cut, loose
+from quernstone.llm.queries import bucket, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores below one half; it learns from the labels of the same folds as op10."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(bucket(5) != 0))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest id. Rows that repeat an id stand or fall together; rows without an id stay."""
+    found = simhash.simhash_components(docs)
+    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    return docs.join(gone.select(loose("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, pii.train(spark)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(docs, mixing.tree(), mixing.tree_weights(), 3, 4, epochs=1, seed=7)
+    return taken.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: The network's and the trees' decisions have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
