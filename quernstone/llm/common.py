@@ -52,3 +52,15 @@ def words_of(text: bytes | None) -> list[bytes]:
 def loose(column: str):
     """The column as an expression that hides how its table is dealt out, so that a join on it deals both sides anew and adaptive execution may split a hot key."""
     return (F.col(column) + F.lit(0)).alias(column)
+
+
+def many(batches, rows: int = 1 << 17):
+    """Record batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, words_of
+from .common import as_bytes, cut, many, words_of
 
 #: Classes at most, the least frequent together in the last; rounds of estimation; what each word's count is less by.
 CLASSES, ROUNDS, DISCOUNT = 8, 3, 0.75
@@ -63,17 +63,19 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes]):
         self.n = len(pieces)
-        keys = np.zeros(self.n, np.uint64)
-        for i, p in enumerate(pieces):
-            keys[i] = self._key(np.frombuffer(p, np.uint8)[None, :])[0]
+        keys, lengths = np.zeros(self.n, np.uint64), np.array([len(p) for p in pieces])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            keys[at] = self._key(np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, n))
         self._slot_key, self._slot = np.zeros(1 << _BITS, np.uint64), np.full(1 << _BITS, -1, np.int32)
-        self._deep = 0
-        for i, (k, s) in enumerate(zip(keys.tolist(), self._at(keys).tolist())):
-            d = 0
-            while self._slot[s] >= 0:
-                s, d = (s + 1) % (1 << _BITS), d + 1
-            self._slot_key[s], self._slot[s] = k, i
-            self._deep = max(self._deep, d)
+        self._deep, todo, at = -1, np.arange(self.n), self._at(keys)
+        while len(todo):
+            self._deep += 1
+            free = todo[self._slot[at[todo]] < 0]
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self._slot_key[at[own]], self._slot[at[own]] = keys[own], own
+            todo = todo[~np.isin(todo, own)]
+            at[todo] = (at[todo] + 1) % (1 << _BITS)
 
     @staticmethod
     def _key(rows: np.ndarray) -> np.ndarray:
@@ -191,7 +193,7 @@ def estimate(words: DataFrame, classes: int, pieces: list[bytes], rounds: int =
             lattice = Lattice(pieces)
             own = np.column_stack([known.value, np.full(classes, -np.inf)])
             total = np.zeros((classes, len(pieces)))
-            for b in batches:
+            for b in many(batches):
                 text = b.column(0).to_pylist()
                 counts = np.stack([np.asarray(b.column(k + 1)) for k in range(classes)]).astype(np.float64)
                 for at, rows in lattice.by_length(text):
@@ -238,7 +240,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def value(batches):
         lattice = Lattice(pieces)
-        for b in batches:
+        for b in many(batches):
             text = b.column(0).to_pylist()
             counts = np.stack([np.asarray(b.column(k + 1)) for k in range(kinds)]).astype(np.float64)
             out = np.empty_like(counts)
