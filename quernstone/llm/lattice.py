@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, many, words_of
+from .common import as_bytes, cut, many, tidy, words_of
 
 #: Classes at most, the least frequent together in the last; rounds of estimation; what each word's count is less by.
 CLASSES, ROUNDS, DISCOUNT = 8, 3, 0.75
@@ -177,7 +177,7 @@ def count_words(docs: DataFrame, classes: int) -> DataFrame:
             for cls, counts in held.items():
                 yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array([cls] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "cls", "n"])
 
-    rows = docs.select("text", "cls", "train").mapInArrow(each, "word binary, cls int, n long")
+    rows = docs.select("text", "cls", "train").mapInArrow(tidy(each), "word binary, cls int, n long")
     sums = [F.sum(F.when(F.col("cls") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(classes)]
     return rows.groupBy("word").agg(*sums)
 
@@ -205,7 +205,7 @@ def estimate(words: DataFrame, classes: int, pieces: list[bytes], rounds: int =
             yield pa.record_batch([pa.array(np.arange(len(pieces))), *map(pa.array, total)], ["piece", *(f"e{k}" for k in range(classes))])
 
         schema = "piece long, " + ", ".join(f"e{k} double" for k in range(classes))
-        got = words.mapInArrow(each, schema).groupBy("piece").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(classes)]).collect()
+        got = words.mapInArrow(tidy(each), schema).groupBy("piece").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in range(classes)]).collect()
         expected = np.zeros_like(scores)
         for r in got:
             expected[:, r.piece] = r[1:]
@@ -255,7 +255,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([b.column(0), pa.array(counts.sum(axis=0).astype(np.int64)), *map(pa.array, out)], ["word", "n", *(f"s{k}" for k in range(kinds))])
 
     doubles = ", ".join(f"s{k} double" for k in range(kinds))
-    valued = cut(words.mapInArrow(value, f"word binary, n long, {doubles}"), "valued")
+    valued = cut(words.mapInArrow(tidy(value), f"word binary, n long, {doubles}"), "valued")
     top = valued.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     least = spark.sparkContext.broadcast((top.column(0).to_pylist(), np.column_stack([top.column(i + 1).to_numpy() for i in range(kinds + 1)])))
 
@@ -288,7 +288,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 own = {r: i for r, i in zip(range(first - len(split), first), ids)}
                 yield pa.record_batch([pa.array(row), pa.array([own[r] for r in row], pa.int64()), pa.array(word, pa.binary()), pa.array(n), *map(pa.array, np.array(sums).T)], schema=schema)
 
-    found = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(texts, f"row long, id long, word binary, n long, base double, known double, {doubles}"), "found")
+    found = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(texts), f"row long, id long, word binary, n long, base double, known double, {doubles}"), "found")
     by_row = found.where("word is null").select("row", "id", "n", "base", "known", *[f"s{k}" for k in range(kinds)])
     rare = found.where("word is not null").select("row", "word", F.col("n").alias("tf")).join(valued, "word")
     tf = F.col("tf")
