@@ -21,7 +21,7 @@ def price_range(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def monthly(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("material", "ym", "spec", "unit").agg(F.round(F.avg("price"), 2).alias("price"), F.count("*").alias("n"))
+    return rows.groupBy("material", "ym", "spec", "unit").agg(N.half_up(F.avg("price"), 2).alias("price"), F.count("*").alias("n"))
 
 
 def dominant_series(months: DataFrame, first: str, last: str) -> DataFrame:
@@ -47,7 +47,7 @@ def trend_relations(points: DataFrame) -> DataFrame:
     own = points.withColumn("from_id", F.lag("id").over(w)).withColumn("old", F.lag("price").over(w)).withColumn("from_ym", F.lag("ym").over(w)).where("from_id is not null")
     delta = F.col("price") - F.col("old")
     return own.select(
-        "series_key", "from_id", F.col("id").alias("to_id"), F.round(delta, 4).alias("delta"), F.when(F.col("old") != 0, F.round(delta / F.col("old") * 100, 4)).alias("pct"),
+        "series_key", "from_id", F.col("id").alias("to_id"), N.half_up(delta, 4).alias("delta"), F.when(F.col("old") != 0, N.half_up(delta / F.col("old") * 100, 4)).alias("pct"),
         N.direction(delta).alias("direction"), N.months_between(F.col("ym"), F.col("from_ym")).alias("months_apart"),
     )
 
