@@ -22,16 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, tidy
 
 WINDOW = 4096
 END = 2
 #: A shard closes at so many documents or tokens, whichever comes first.
-SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
+SHARD_DOCS, SHARD_TOKENS = 2048, 1_000_000
 #: Terms of the seed that make its query, and BM25's constants.
 QUERY_TERMS, K1, B = 32, 1.2, 0.75
 #: Words that a worker remembers the ids of.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
 KNOWN_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -266,7 +266,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if shard:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

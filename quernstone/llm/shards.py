@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def sound(vector: str = "embedding") -> Column:
     """True for vectors that aren't null and hold finite numbers only."""
@@ -33,7 +35,7 @@ def put(index: DataFrame, queries: DataFrame, work, schema: str) -> DataFrame:
     """
     rows = index.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
     rows = rows.select("dim", "shard", "role", "id", "v", *[c for c in rows.columns if c not in ("dim", "shard", "role", "id", "v")])
-    return rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "role", "id").mapInArrow(work, schema)
+    return rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "role", "id").mapInArrow(tidy(work), schema)
 
 
 def pieces(batches) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:

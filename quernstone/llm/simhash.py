@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, loose, words_of
+from .common import as_bytes, cut, loose, tidy, words_of
 from .components import components
 
 RADIUS = 3
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, n) for t in as_bytes(b.column(1))], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), "id long, fp long")
 
 
 def _variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +143,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield meet(*rest)
 
-    variants = fps.select("fp").distinct().mapInArrow(emit, "key long, fp long")
-    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(link, "src long, dst long").distinct()
+    variants = fps.select("fp").distinct().mapInArrow(tidy(emit), "key long, fp long")
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(link), "src long, dst long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, cut, words_of
+from .common import as_bytes, cut, tidy, words_of
 
 LEAST = 50
 WINDOW = 25
@@ -89,7 +89,7 @@ def _repeated(texts: DataFrame) -> np.ndarray:
             if own:
                 yield pa.record_batch([pa.array(np.concatenate(own).view(np.int64))], ["key"])
 
-    twice = texts.mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    twice = texts.mapInArrow(tidy(keys), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     mask = F.lit(FILTER_BITS - 1).cast("long")
     places = twice.select(F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("p"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))
@@ -134,7 +134,7 @@ def _written(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                 keys, raw = zip(*places)
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(raw, pa.binary()), pa.array([row] * n, pa.int64()), pa.array([id_] * n, pa.int64()), pa.array(places.values(), pa.list_(pa.int64()))], _NAMES)
 
-    return texts.mapInArrow(each, _ROW)
+    return texts.mapInArrow(tidy(each), _ROW)
 
 
 _FOUND = "edge boolean, " + _ROW + ", start long, end long, partner long"
@@ -227,9 +227,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = ["key", "context", "row"]
     written = cut(_written(texts, _repeated(texts)), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(written.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(True), _FOUND), "matches")
+    found = cut(written.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidy(_neighbours(True)), _FOUND), "matches")
     # the few suffixes at the partitions' ends meet once more, by themselves
-    ends = found.where("edge").select(*_NAMES).repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(False), _FOUND)
+    ends = found.where("edge").select(*_NAMES).repartition(1).sortWithinPartitions(*order).mapInArrow(tidy(_neighbours(False)), _FOUND)
     spans = found.where("not edge").unionByName(ends).select("row", "id", "start", "end", "partner")
     by = Window.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))

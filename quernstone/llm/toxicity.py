@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, tidy
 
 WINDOW, STRIDE = 64, 48
 WORD_BUCKETS, TRIGRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 13, 12, 8, 8
@@ -225,7 +225,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 out.append("\n".join(b" ".join(ws[s:e]).decode("utf-8", "replace") for s, e in wins))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "y", "wins"])
 
-    taken = own.where("text is not null").join(F.broadcast(lowest), "id").select("id", "y", "text").mapInArrow(sample, "id long, y int, wins string")
+    taken = own.where("text is not null").join(F.broadcast(lowest), "id").select("id", "y", "text").mapInArrow(tidy(sample), "id long, y int, wins string")
     got = sorted((r.id, r.y, r.wins) for r in taken.collect())
     return [([w.encode().split() for w in wins.split("\n")], int(y > 0)) for _, y, wins in got]
 
@@ -299,7 +299,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         for part, s in _scored(model, batches, 1):
             yield pa.record_batch([part.column(0), pa.array(s.astype(np.float64))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -310,4 +310,4 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold:
         for part, s in _scored(model, batches, at):
             yield part.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)
