@@ -104,8 +104,8 @@ def html_rows(html: Column) -> Column:
 
 def markdown_rows(text: Column) -> Column:
     """Rows of a Markdown table's cells, without its ruler."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|?$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), F.trim))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|?$"))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)))
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

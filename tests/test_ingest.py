@@ -1,0 +1,164 @@
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quernstone.functions import numbers as N
+from quernstone.functions import text as T
+from quernstone.functions.vectors import cosine, hashed
+from quernstone.operators import ingest as I
+from quernstone.operators import layout as LY
+from quernstone.operators import learning as L
+from quernstone.operators import prices as P
+from quernstone.operators import tables as O
+from quernstone.plans.trend import time_range
+from quernstone.sources import readers, sinks
+
+
+def one(df):
+    return df.first()[0]
+
+
+def test_chunk_blocks(spark):
+    rows = [(1, 1, 0, "text", "a" * 100), (1, 1, 1, "text", "b" * 290), (1, 1, 2, "text", "c" * 20), (1, 2, 3, "text", "d"), (1, 2, 4, "table_row", "t"), (1, 2, 5, "text", "e"), (1, 2, 6, "text", "f" * 900)]
+    got = I.chunk_blocks(spark.createDataFrame(rows, "doc_id long, page long, seq long, type string, text string")).orderBy("chunk_index").collect()
+    assert [(r.page, r.type, len(r.text)) for r in got] == [(1, "text", 392), (1, "text", 20), (2, "text", 1), (2, "table_row", 1), (2, "text", 1), (2, "text", 400), (2, "text", 400), (2, "text", 100)]
+
+
+def test_fee_sentences(spark):
+    text = "2.不区分专业工\n程，企业管理费费率参考范围为14%～26%，推荐费率为20.44%。\n利润率参考范围为3%～7%，推荐费率为5%。安全费率参考范围：2‰～6‰，推荐费率4‰"
+    got = {r.fee_name[-5:]: (r.rate_min, r.rate_max, r.rate_recommended, r.fee_category) for r in I.fee_rates(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", "2025").collect()}
+    assert got["企业管理费"] == (14.0, 26.0, 20.44, "management") and got["利润"][:3] == (3.0, 7.0, 5.0)
+    assert any(v[:3] == (0.2, 0.6, 0.4) for v in got.values())
+
+
+def test_page_price(spark):
+    df = spark.createDataFrame([(1, "4\n中砂\nm²\n187.00\n5\n碎石")], "id long, text string")
+    assert tuple(I.page_price(df, "id", "text", "中砂").first()) == (1, "m³", "187.00")
+    assert I.page_price(df, "id", "text", "柴油").count() == 0
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("2025年12月",), ("202512",), ("2025/3",), ("2025",), ("x",)], "s string")
+    assert [r[0] for r in df.select(T.period(df.s)).collect()] == ["2025-12", "2025-12", "2025-03", "2025", None]
+    x = spark.createDataFrame([("钢筋的价格是多少，水泥、水泥",)], "s string")
+    assert one(x.select(T.terms(x.s))) == ["钢筋", "价格", "多少"][:2] + [p for p in one(x.select(T.terms(x.s)))[2:]]
+    e = spark.createDataFrame([("水泥 2024-05 见 3.2.1 节",)], "s string")
+    assert one(e.select(T.entities(e.s, ["水泥", "钢筋"]))) == ["Material:水泥", "Period:2024-05", "Section:3.2.1"]
+    m = spark.createDataFrame([(r"$\frac{a}{b} \leq \text{max}$",)], "s string")
+    assert one(m.select(T.math_clean(m.s))) == "(a)/(b) ≤ max"
+    h = spark.createDataFrame([("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><b>2</b></td></tr></table>", "| a | b |\n|---|---|\n| 1 | 2 |")], "h string, m string")
+    assert tuple(h.select(T.html_rows(h.h), T.markdown_rows(h.m)).first()) == ([["a", "b"], ["1", "2"]],) * 2
+    w = spark.createDataFrame([("x" * 1000,), ("",), ("y" * 500,)], "s string")
+    assert [len(r[0]) for r in w.select(T.windows(w.s, 500, 50)).collect()] == [3, 1, 1]
+    v = spark.createDataFrame([("a b c",)], "s string")
+    assert one(v.select(F.round(cosine(hashed(T.tokens(v.s), 8), hashed(T.tokens(v.s), 8)), 6))) == 1.0
+
+
+def test_number_functions(spark):
+    d = spark.createDataFrame([(0.0,), (-1.0,), (7.0,)], "d double")
+    got = [r[0] for r in d.select(N.weibull(d.d, 1.0, 7.0)).collect()]
+    assert got[0] == got[1] == 1.0 and abs(got[2] - 0.36787944) < 1e-8
+    with pytest.raises(ValueError):
+        N.weibull(d.d, 1.0, 0.0)
+    with pytest.raises(ValueError):
+        N.convert(d.d, "m", "kg")
+    half = spark.range(1).select(N.tier_decay(N.half_life(F.lit("core")), F.lit("core")))
+    assert abs(one(half) - 0.5) < 1e-12
+
+
+def test_time_ranges():
+    from datetime import date
+
+    today = date(2025, 6, 1)
+    assert time_range("2025-03", "2024-01", today) == ("2024-01", "2025-03")
+    for bad in (("2025-01", "2025-09"), ("2010-01", "2024-01"), ("2025-13", "2025-01")):
+        with pytest.raises(ValueError):
+            time_range(*bad, today)
+
+
+def test_severity_is_51(spark):
+    rows = [("feedback", 1.0), ("feedback", 5.0), ("failure", None), ("repeat", None), ("violation", None), ("topology", None)]
+    assert one(L.severity(spark.createDataFrame(rows, "kind string, rating double"))) == 51
+
+
+def test_rrf_boost(spark):
+    from quernstone.operators.fusion import rrf
+
+    rows = [("vector", 1, "tc_1", 0.61), ("vector", 2, "tc_2", 0.58), ("text", 1, "tc_2", 0.09), ("text", 2, "tc_3", 0.08)]
+    got = {r.chunk: r for r in rrf(spark.createDataFrame(rows, "path string, rank int, chunk string, score double")).collect()}
+    assert got["tc_2"].hits == 2 and got["tc_2"].score > 0.58 and max(got, key=lambda c: got[c].rrf_score) == "tc_2"
+
+
+def test_sql_guard(spark):
+    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"):
+        with pytest.raises(ValueError):
+            O.read_only_sql(spark, bad)
+    assert one(O.read_only_sql(spark, "SELECT 'drop; it' AS s")) == "drop; it"
+
+
+def test_spec_patterns_and_price_stages(spark):
+    assert P.spec_patterns("100×50") == ["%100×50%", "%100%50%"]
+    rows = [(1, "steel", "10×5", "t", 5.0, "2024-01"), (2, "steel", "10×5", "t", 6.0, "2024-05"), (3, "sand", "x", "t", 7.0, "2024-03")]
+    df = spark.createDataFrame(rows, "id long, material string, spec string, unit string, price double, ym string")
+    ask = lambda **k: [(r.id, r.stage) for r in P.price_query(df, k.pop("m", "steel"), 5, **k).collect()]
+    assert ask() == [(2, 0), (1, 0)] and ask(ym="2024") == [(2, 0), (1, 0)] and ask(ym="2024-03") == [(1, 2)] and ask(ym="2023-01") == [(1, 3)]
+    assert ask(m="iron", aliases=["steel"], ym="2024-05") == [(2, 1)] and ask(m="nothing") == []
+
+
+def test_demotion_needs_two(spark):
+    rows = [(1, n, t) for n, t in enumerate(["core", "working", "working", "core", "working", "peripheral"])]
+    got = [r.moves for r in L.demotions(spark.createDataFrame(rows, "id long, n int, tier string"), "id", [F.col("n")]).orderBy("n").collect()]
+    assert got == [False, False, True, True, False, False]
+
+
+def test_layout_and_chart(spark):
+    boxes = [(1, i, x, y, 40.0, 20.0, s) for i, (x, y, s) in enumerate([(0.0, 0.0, "Title"), (0.0, 100.0, "month"), (100.0, 100.0, "steel"), (0.0, 160.0, "2024-01"), (100.0, 160.0, "10"), (0.0, 220.0, "2024-02"), (100.0, 225.0, "12"), (0.0, 400.0, "end")])]
+    cells = LY.detect(spark.createDataFrame(boxes, "page_id long, id long, x double, y double, w double, h double, text string"))
+    assert {(r.row, r.col): r.text for r in cells.collect()} == {(0, 0): "month", (0, 1): "steel", (1, 0): "2024-01", (1, 1): "10", (2, 0): "2024-02", (2, 1): "12"}
+    assert sorted((r.series, r["at"], r.value) for r in LY.chart(cells).collect()) == [("steel", "2024-01", 10.0), ("steel", "2024-02", 12.0)]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.md").write_text("one\n\n two \n\n\n\nthree")
+    (tmp_path / "b.csv").write_text('name,price\npipe,"1,5"\n,\nbolt,2,extra\n')
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>price</t></is></c></row><row r="2"><c r="B2"><v>7</v></c><c r="C2"><v>8</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>name</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4\n1 0 obj<<>>stream\nBT (Hello \\(big\\) wide world) Tj ET\nendstream\n2 0 obj<<>>stream\nBT (x) Tj ET\nendstream")
+    (tmp_path / "e.json").write_text(json.dumps({"doc_id": "e", "pages": [{"page_number": 3, "text_blocks": [{"text": "hi", "confidence": 0.9}], "tables": [{"html": "<table><tr><td>1</td></tr></table>"}]}]}))
+    read = lambda n: [(r.page, r.type, r.text) for r in readers.read(spark, f"file://{tmp_path}/{n}").orderBy("page", "seq").collect()]
+    assert [x[2] for x in read("a.md")] == ["one", "two", "three"]
+    assert read("b.csv") == [(1, "caption", "name | price"), (1, "table_row", "name: pipe | price: 1,5"), (1, "table_row", "name: bolt | price: 2 | col2: extra")]
+    assert read("c.xlsx") == [(1, "caption", "name | price"), (1, "table_row", "price: 7 | col2: 8")]
+    assert read("d.pdf") == [(1, "text", "Hello (big) wide world"), (2, "blindspot", "x")]
+    assert [x[:2] for x in read("e.json")] == [(3, "text"), (3, "table")]
+    with pytest.raises(ValueError):
+        readers.read(spark, "x.doc")
+    with pytest.raises(ValueError):
+        readers.table(spark, "/x", "secrets")
+
+
+def test_sinks(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    df = lambda rows: spark.createDataFrame(rows, "id long, v string, e double")
+    sinks.upsert_into(df([(1, "a", 0.5), (2, "b", 0.7)]), path, ["id"])
+    sinks.upsert_into(df([(2, "c", None), (3, "d", None), (3, "e", None)]), path, ["id"], [F.col("v")], keep_if_null=["e"])
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "v", "e").collect())) == [(1, "a", 0.5), (2, "c", 0.7), (3, "d", None)]
+    sinks.delete_from(spark, path, spark.createDataFrame([(1,)], "id long"))
+    assert spark.read.parquet(path).count() == 2
+    ran = [sinks.once(spark, f"file://{tmp_path}/log", "j", "p", k, lambda: None) for k in ("a", "a", "b")]
+    assert ran == [True, False, True]
+    c = spark.createDataFrame([(1, "x y x"), (2, "y")], "chunk_id long, content string")
+    sinks.write_postings(c, f"file://{tmp_path}/idx")
+    assert spark.read.parquet(f"file://{tmp_path}/idx").where("term = 'x'").first().tf == 2
+    sinks.write_vectors(c.withColumn("doc", F.lit(1)), f"file://{tmp_path}/vec", "doc", "chunk_id")
+    assert spark.read.parquet(f"file://{tmp_path}/vec").select("id").distinct().count() == 2
+
+
+def test_encoder_fills_only_gaps(spark):
+    df = spark.createDataFrame([(1, "a", [9.0]), (2, "bb", None)], "id long, t string, v array<float>")
+    got = {r.id: r.v for r in I.encode_missing(df, "t", "v", lambda xs: [[float(len(x))] for x in xs]).collect()}
+    assert got == {1: [9.0], 2: [2.0]}
