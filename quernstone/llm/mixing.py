@@ -19,9 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of the order that name a slice.
 SLICE = 3
+#: Leaves that a broadcast may hold.
+BROADCAST_LEAVES = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -73,8 +77,11 @@ def mix(docs: DataFrame, path: dict[str, Column], weights: Sequence[Column], num
     rows = docs.withColumn("__path", F.struct(*own)).withColumn("__tokens", tokens(F.col(text_col)))
     sizes = rows.groupBy(*[F.col("__path")[n].alias(n) for n in names]).agg(F.sum("__tokens").alias("size"))
     plan = budgets(sizes, names, weights, numerator, denominator, epochs).where("size > 0")
-    plan = plan.select(F.struct(*names).alias("__path"), F.expr("budget div size").alias("whole"), F.expr("budget % size").alias("rest"))
-    keyed = rows.select("__path", F.col(id_col).alias("id"), F.col("__tokens").alias("n")).join(plan, "__path").where("rest > 0")
+    plan = cut(plan.select(F.struct(*names).alias("__path"), F.expr("budget div size").alias("whole"), F.expr("budget % size").alias("rest")), "budgets")
+    # few leaves go to all tasks; many are joined by shuffling, where adaptive execution splits hot ones
+    small = plan.count() <= BROADCAST_LEAVES
+    to_all = F.broadcast if small else (lambda df: df)
+    keyed = rows.select("__path", F.col(id_col).alias("id"), F.col("__tokens").alias("n")).join(to_all(plan), "__path").where("rest > 0")
     keyed = keyed.withColumn("at", place(seed, F.col("whole"), F.col("id"))).withColumn("slice", F.substring("at", 1, SLICE))
     sums = keyed.groupBy("__path", "slice").agg(F.sum("n").alias("own"))
     before = Window.partitionBy("__path").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -86,7 +93,7 @@ def mix(docs: DataFrame, path: dict[str, Column], weights: Sequence[Column], num
     at = F.struct(place(seed, F.col("__plan.whole"), F.col(id_col)).alias("at"), F.col(id_col).alias("id"), F.col("__tokens").alias("n"))
     count = F.col("__plan.whole") + F.coalesce((at <= F.col("__plan.last")).cast("long"), F.lit(0))
     each = F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("__epoch")
-    return rows.join(plan, "__path").where(count > 0).select(*[F.col(c) for c in docs.columns], "__path", "__tokens", each)
+    return rows.join(to_all(plan), "__path").where(count > 0).select(*[F.col(c) for c in docs.columns], "__path", "__tokens", each)
 
 
 #: The tree of the tables here: sources by number make up domains.
