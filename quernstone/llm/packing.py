@@ -31,7 +31,7 @@ SHARD_DOCS, SHARD_TOKENS = 2048, 1_000_000
 #: Terms of the seed that make its query, and BM25's constants.
 QUERY_TERMS, K1, B = 32, 1.2, 0.75
 #: Words that a worker remembers the ids of.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
 KNOWN_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
