@@ -19,6 +19,8 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints", "quernstone")
     os.makedirs(own, exist_ok=True)
     return "file://" + own
