@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,38 +42,58 @@ def csv_blocks(rows: DataFrame, key: str, cells: str, order: str) -> DataFrame:
 def chunk_blocks(blocks: DataFrame, max_chars: int = 400) -> DataFrame:
     """Text blocks (doc_id, page, seq, type, text) merged within a page up to a size; other types stay alone; long ones are cut.
 
-    What a block joins hangs on those before it in its document, so a document is handled as a whole.
+    What a block joins hangs on those before it, so blocks are dealt out by document, sorted by Spark, and read
+    in one pass that holds one chunk at a time.
     """
+    names = ["doc_id", "chunk_index", "page", "type", "text"]
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "seq"])
-        out: list[tuple] = []
+    def each(batches):
+        doc = at = None
         held: list[str] = []
-        at = None
+        out: list[tuple] = []
+        n = 0
+
+        def put(page, kind, text):
+            nonlocal n
+            out.append((doc, n, page, kind, text))
+            n += 1
 
         def flush():
             if held:
-                out.append((at, "text", "\n\n".join(held)))
+                put(at, "text", "\n\n".join(held))
                 held.clear()
 
-        for page, kind, text in zip(pdf["page"], pdf["type"], pdf["text"]):
-            if kind != "text" or page != at:
-                flush()
-            at = page
-            if kind != "text":
-                out.append((page, kind, text))
-                continue
-            if held and sum(map(len, held)) + len(text) + 2 > max_chars:
-                flush()
-                if len(text) > max_chars:
-                    out += [(page, "text", text[k : k + max_chars]) for k in range(0, len(text), max_chars)]
+        def batch():
+            got = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names)
+            out.clear()
+            return got
+
+        for b in batches:
+            for new, page, kind, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
+                if new != doc:
+                    flush()
+                    doc, at, n = new, None, 0
+                if kind != "text" or page != at:
+                    flush()
+                at = page
+                if kind != "text":
+                    put(page, kind, text)
                     continue
-            held.append(text)
+                if held and sum(map(len, held)) + len(text) + 2 > max_chars:
+                    flush()
+                    if len(text) > max_chars:
+                        for k in range(0, len(text), max_chars):
+                            put(page, "text", text[k : k + max_chars])
+                        continue
+                held.append(text)
+            if out:
+                yield batch()
         flush()
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], i, p, k, x) for i, (p, k, x) in enumerate(out)], columns=["doc_id", "chunk_index", "page", "type", "text"])
+        if out:
+            yield batch()
 
-    own = blocks.select("doc_id", "page", "seq", "type", "text")
-    return own.groupBy("doc_id").applyInPandas(each, "doc_id long, chunk_index long, page long, type string, text string")
+    own = blocks.where("text is not null").select(F.col("doc_id").cast("long"), F.col("page").cast("long"), "seq", "type", "text")
+    return own.repartition("doc_id").sortWithinPartitions("doc_id", "page", "seq").mapInArrow(each, "doc_id long, chunk_index long, page long, type string, text string")
 
 
 def text_windows(texts: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
