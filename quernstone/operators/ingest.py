@@ -284,3 +284,24 @@ def calculation_steps(query: str) -> dict[str, float]:
 
 def to_json_rows(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()]
+
+
+def price_rows(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Price records from cells (keys, row, col, text): names, cleaned units and prices; a cell with unit and price together is
+    split; rows without a name or a price, and labels that are no names, are left out."""
+    own = cells_to_rows(cells, keys)
+    c = lambda k: F.col("cells")[k]
+    both = split_unit_price(F.coalesce(c("unit"), F.lit("")))
+    price = F.coalesce(clean_price(F.coalesce(c("price_taxed"), c("price"))), both["price"])
+    unit = F.when(both["price"].isNotNull(), both["unit"]).otherwise(c("unit"))
+    rows = own.select(*keys, "row", F.trim(c("name")).alias("material"), F.coalesce(c("spec"), F.lit("")).alias("spec"), clean_unit(F.trim(c("name")), unit).alias("unit"), price.alias("price"))
+    return rows.where(F.col("price").isNotNull() & (F.col("price") > 0) & (F.length("material") > 0) & ~F.col("material").rlike(r"^[\d.\s]+$|^[^\p{L}]+$"))
+
+
+def recovered_prices(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Prices of wanted (doc_id, page, material) found on other pages (doc_id, page, text) of the same document: on the nearest one."""
+    from .tables import latest_per_key
+
+    found = pages.select("doc_id", F.col("page").alias("other"), F.explode(materials_text(F.col("text"))).alias("m")).select("doc_id", "other", F.col("m.name").alias("material"), "m.unit", "m.price")
+    own = wanted.join(found, ["doc_id", "material"]).where("other <> page").withColumn("far", F.abs(F.col("other") - F.col("page")))
+    return latest_per_key(own, ["doc_id", "page", "material"], [F.col("far"), F.col("other")]).select("doc_id", "page", "material", "unit", "price", "other")

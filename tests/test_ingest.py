@@ -162,3 +162,32 @@ def test_encoder_fills_only_gaps(spark):
     df = spark.createDataFrame([(1, "a", [9.0]), (2, "bb", None)], "id long, t string, v array<float>")
     got = {r.id: r.v for r in I.encode_missing(df, "t", "v", lambda xs: [[float(len(x))] for x in xs]).collect()}
     assert got == {1: [9.0], 2: [2.0]}
+
+
+def test_jobs(spark, tmp_path):
+    from quernstone.sources import jobs
+
+    path = f"file://{tmp_path}/jobs"
+    for phase, status in (("extract", "running"), ("extract", "done"), ("embed", "failed")):
+        jobs.record(spark, path, "a", phase, status)
+    jobs.record(spark, path, "b", "extract", "queued")
+    assert {(r.job_id, r.status) for r in jobs.jobs(spark, path).collect()} == {("a", "failed"), ("b", "queued")}
+    assert [r.job_id for r in jobs.jobs(spark, path, "queued").collect()] == ["b"]
+    assert {tuple(r) for r in jobs.unfinished(spark, path, ["extract", "embed"]).collect()} == {("a", "embed"), ("b", "extract")}
+    with pytest.raises(ValueError):
+        jobs.record(spark, path, "a", "x", "lost")
+
+
+def test_tools():
+    from quernstone.operators.understanding import Tools
+
+    tools = Tools()
+
+    @tools.add
+    def double(x):
+        """Twice."""
+        return 2 * x
+
+    assert tools.list() == [{"name": "double", "description": "Twice.", "parameters": ["x"]}] and tools.invoke("double", x=2) == 4
+    with pytest.raises(ValueError):
+        tools.invoke("eval", x=1)
