@@ -96,16 +96,26 @@ def outliers(rows: DataFrame, value: str, keys: Sequence[str], method: str = "iq
     return rows.join(s.where(F.col("__n") >= least), list(keys)).where((F.col(value) < F.col("__low")) | (F.col(value) > F.col("__high"))).drop("__n", "__low", "__high")
 
 
+def average_ranks(rows: DataFrame, column: str, slices: int = 4096) -> DataFrame:
+    """(column, rank) of each distinct value, ties at their mean: sums over slices of the value range, then inside a slice, so that no task sees all values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
+    ends = counts.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
+    place = F.floor((F.col(column).cast("double") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0) * slices)
+    own = counts.crossJoin(F.broadcast(ends)).withColumn("slice", place)
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # over one row a slice
+    sums = own.groupBy("slice").agg(F.sum("c").alias("s")).select("slice", (F.sum("s").over(before) - F.col("s")).alias("before"))
+    inside = Window.partitionBy("slice").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    upto = own.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(sums), "slice")
+    return upto.select(column, (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
+
+
 def correlate(rows: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """Correlation of each pair of 2 to 8 columns, the strongest first; Spearman on average ranks."""
     if not 2 <= len(columns) <= 8:
         raise ValueError("2 to 8 columns")
     if method == "spearman":
         for c in columns:
-            ranks = rows.groupBy(c).agg(F.count("*").alias("__c"))
-            w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-            ranks = ranks.withColumn("__r", F.sum("__c").over(w) - (F.col("__c") - 1) / 2.0)
-            rows = rows.join(ranks.select(F.col(c).alias("__k"), F.col("__r").alias(f"__rank_{c}")), F.col(c) == F.col("__k")).drop("__k")
+            rows = rows.join(average_ranks(rows, c).select(F.col(c).alias("__k"), F.col("rank").alias(f"__rank_{c}")), F.col(c) == F.col("__k")).drop("__k")
         source = {c: f"__rank_{c}" for c in columns}
     else:
         source = {c: c for c in columns}
