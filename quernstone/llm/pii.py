@@ -85,12 +85,10 @@ def _spans(pieces: Column, good: Column, kind: int) -> Column:
     return F.when(F.size(good) > 0, _let(_starts(pieces), listed)).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
 
 
-def _rebuilt(pieces: Column, good: Column, text: Column, put: Callable[[Column], Column]) -> Column:
+def _rebuilt(pieces: Column, good: Column, test: Test, text: Column, put: Callable[[Column], Column]) -> Column:
     """The text with the good matches replaced."""
-    odd = lambda i: i % 2 == 1
-    swapped = lambda g: F.array_join(F.transform(pieces, lambda x, i: F.when(odd(i) & F.array_contains(g, i), put(x)).otherwise(x)), "")
-    every = lambda: F.array_join(F.transform(pieces, lambda x, i: F.when(odd(i), put(x)).otherwise(x)), "")
-    return F.when(F.size(good) == 0, text).when(F.size(good) * 2 + 1 == F.size(pieces), every()).otherwise(swapped(good))
+    one = lambda x, i: F.when((i % 2 == 1) & F.coalesce(test(x, F.get(pieces, i - 1), F.get(pieces, i + 1)), F.lit(False)), put(x)).otherwise(x)
+    return F.when(F.size(good) == 0, text).otherwise(F.array_join(F.transform(pieces, one), ""))
 
 
 def _digits(s: Column) -> Column:
@@ -256,13 +254,13 @@ def _stepwise(docs: DataFrame, text: Column, trees: Trees, put: Callable[[str],
     df = df.withColumn("__t", F.col("__o"))
     for kind in KINDS:
         df = df.withColumn("__p", _pieces(F.col("__t"), BASE[kind]))
-        df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, base_test(k)), lambda g: _rebuilt(p, g, F.array_join(p, ""), put(k)))))
+        df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, base_test(k)), lambda g: _rebuilt(p, g, base_test(k), F.array_join(p, ""), put(k)))))
     for kind in KINDS:
         df = df.withColumn("__p", _pieces(F.col("__t"), GENERATORS[kind]))
         if f"add_{kind}" in keep:
             df = df.withColumn(f"__add_{kind}", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _spans(p, g, KINDS.index(k)))))
         else:
-            df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _rebuilt(p, g, F.array_join(p, ""), put(k)))))
+            df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _rebuilt(p, g, trees.test(k), F.array_join(p, ""), put(k)))))
     return df.drop("__p")
 
 
