@@ -153,7 +153,7 @@ def compare_values(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", *N.compared(F.lit(5000.0), F.col("c_acctbal")))
 
 
-@query("SELECT p_partkey, p_size * 0.001 AS metres, round(p_retailprice * 0.0001, 6) AS wan FROM part")
+@query("SELECT p_partkey, p_size * CAST(0.001 AS DOUBLE) AS metres, round(p_retailprice * 0.0001, 6) AS wan FROM part")
 def unit_convert(spark, sf):
     return t(spark, sf, "part").select("p_partkey", N.convert(F.col("p_size"), "mm", "m").alias("metres"), F.round(N.convert(F.col("p_retailprice"), "yuan", "wan"), 6).alias("wan"))
 
@@ -194,7 +194,7 @@ def question_hash(spark, sf):
 
 @query("""
     WITH e AS (SELECT s_suppkey, s_acctbal, s_acctbal * 0.14 / 100 AS f FROM supplier)
-    SELECT s_suppkey, rate, round(s_acctbal * rate / 100, 2) AS fee FROM supplier, (SELECT unnest([0.25, 0.5, 1.0]) AS rate)
+    SELECT s_suppkey, CAST(rate AS DOUBLE) AS rate, round(s_acctbal * rate / 100, 2) AS fee FROM supplier, (SELECT unnest([0.25, 0.5, 1.0]) AS rate)
 """)
 def fee_calculation(spark, sf):
     r = t(spark, sf, "supplier").withColumn("rate", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))))

@@ -80,7 +80,7 @@ def failure_trigger(spark, sf):
 
 @query("""
     WITH x AS (SELECT unnest([event_type, 'user' || (user_id % 3)]) AS tag FROM events), n AS (SELECT tag, count(*) AS n FROM x GROUP BY 1), c AS (SELECT count(*) AS total FROM events)
-    SELECT tag, n, round(n / total, 4) AS share, round(n * CASE tag WHEN 'error' THEN 2.0 ELSE 1.0 END, 2) AS weight, n >= 5 AND n * CASE tag WHEN 'error' THEN 2.0 ELSE 1.0 END > 30 AS triggered FROM n, c WHERE n / total >= 0.2
+    SELECT tag, n, round(n / total, 4) AS share, round(CAST(n * CASE tag WHEN 'error' THEN 2.0 ELSE 1.0 END AS DOUBLE), 2) AS weight, n >= 5 AND n * CASE tag WHEN 'error' THEN 2.0 ELSE 1.0 END > 30 AS triggered FROM n, c WHERE n / total >= 0.2
 """)
 def feedback_trends(spark, sf):
     tags = F.array("event_type", F.concat(F.lit("user"), (F.col("user_id") % 3).cast("string")))
@@ -224,7 +224,7 @@ def convergence_policy(spark, sf):
     a AS (SELECT conv_id AS query_id, any_value(text) AS answer FROM conversations WHERE turn = 0 GROUP BY 1),
     x AS (SELECT a.query_id, least(coalesce(chars, 0) / 2000, 0.95) AS complete, CASE WHEN var IS NULL THEN 0.5 ELSE greatest(0.5, 1 - var) END AS steady, least(coalesce(sources, 0) / 3, 1.0) AS div,
           least(0.6 + (len(regexp_extract_all(answer, '\\[[0-9]+\\]')) + len(regexp_extract_all(answer, '【[^】]+】'))) * 0.1, 0.95) AS fact, coalesce(mean, 0) AS mean FROM a LEFT JOIN c ON a.query_id = c.query_id)
-    SELECT query_id, round(complete, 4) AS completeness, round(steady, 4) AS consistency, round((complete + steady + fact + div) / 4, 4) AS confidence, round(0.4, 4) AS information_gain, round(div, 4) AS source_diversity, round(fact, 4) AS fact_consistency,
+    SELECT query_id, round(complete, 4) AS completeness, round(steady, 4) AS consistency, round((complete + steady + fact + div) / 4, 4) AS confidence, CAST(0.4 AS DOUBLE) AS information_gain, round(div, 4) AS source_diversity, round(CAST(fact AS DOUBLE), 4) AS fact_consistency,
            round(least(mean * div * 1.5, 0.95), 4) AS coverage_estimate, (complete + steady + fact + div) / 4 >= 0.7 AND fact >= 0.6 AS passed FROM x
 """)
 def retrieval_quality(spark, sf):

@@ -153,7 +153,7 @@ def source_feature_fusion(spark, sf):
 
 @query("""
     WITH legs AS (SELECT doc_id AS chunk, CASE doc_id % 3 WHEN 0 THEN 0.5 END AS v, NULL::DOUBLE AS k FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 0.7 END, doc_id % 9 / 9.0 FROM documents)
-    SELECT chunk, max(v) AS v, max(k) AS k FROM legs GROUP BY 1
+    SELECT chunk, max(CAST(v AS DOUBLE)) AS v, max(k) AS k FROM legs GROUP BY 1
 """)
 def candidate_merge(spark, sf):
     d = t(spark, sf, "documents")

@@ -102,7 +102,7 @@ def category_search(spark, sf):
 @query(f"""
     WITH {CHUNKS_SQL}, h AS (SELECT chunk_id, (contains(lower(content), 'for'))::INT AS s, length(content) AS n FROM chunks
         WHERE page BETWEEN 1 AND 5 AND (contains(lower(content), 'with') OR contains(lower(content), 'from')) ORDER BY s DESC, n, chunk_id LIMIT 12)
-    SELECT chunk_id, CAST(row_number() OVER (ORDER BY s DESC, n, chunk_id) AS INTEGER) AS rank, round(greatest(0.75, 0.98 - 0.03 * (row_number() OVER (ORDER BY s DESC, n, chunk_id) - 1)), 4) AS score FROM h
+    SELECT chunk_id, CAST(row_number() OVER (ORDER BY s DESC, n, chunk_id) AS INTEGER) AS rank, CAST(round(greatest(0.75, 0.98 - 0.03 * (row_number() OVER (ORDER BY s DESC, n, chunk_id) - 1)), 4) AS DOUBLE) AS score FROM h
 """)
 def rule_clause_search(spark, sf):
     got = S.clause_search(chunks(spark, sf), ["with", "from"], F.col("page").between(1, 5), "for", 12)
@@ -258,7 +258,7 @@ def ir_metrics(spark, sf):
 @query(f"""
     WITH {_BM25}, x AS (SELECT query_id, rank, d.text AS content, bm.score / 100 AS score, length(d.text) // 3 AS cost FROM bm JOIN documents d ON d.doc_id = chunk WHERE query_id = 1 AND rank <= 8),
     r AS (SELECT *, sum(cost) OVER (ORDER BY rank) AS used FROM x), o AS (SELECT *, (used > 2000)::INT AS over, sum((used > 2000)::INT) OVER (ORDER BY rank) AS overs FROM r)
-    SELECT rank, CASE WHEN overs = 0 THEN length(content) ELSE least(length(content), (2000 - (used - cost)) * 3) END AS chars FROM o
+    SELECT rank, CAST(CASE WHEN overs = 0 THEN length(content) ELSE least(length(content), (2000 - (used - cost)) * 3) END AS BIGINT) AS chars FROM o
     WHERE overs = 0 OR (overs = 1 AND over = 1 AND (2000 - (used - cost)) * 3 > 200 AND score > 0.05)
 """)
 def token_budget(spark, sf):
