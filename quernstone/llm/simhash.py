@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def each(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, n) for t in as_bytes(b.column(1))], np.uint64)
+            fps = np.array([fingerprint(t, n) for i in range(0, b.num_rows, 512) for t in as_bytes(b.column(1).slice(i, 512))], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), "id long, fp long")
@@ -143,7 +143,9 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield meet(*rest)
 
-    variants = fps.select("fp").distinct().mapInArrow(tidy(emit), "key long, fp long")
+    # a fingerprint grows to 196 rows, so the few bytes they come from are dealt out evenly first
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = fps.select("fp").distinct().repartition(parts).mapInArrow(tidy(emit), "key long, fp long")
     return variants.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(link), "src long, dst long").distinct()
 
 
