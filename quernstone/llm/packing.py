@@ -30,7 +30,7 @@ END = 2
 SHARD_DOCS, SHARD_TOKENS = 2048, 1_000_000
 #: Terms of the seed that make its query, and BM25's constants.
 QUERY_TERMS, K1, B = 32, 1.2, 0.75
-#: Words that a worker remembers the ids of.
+#: Runs and words that a worker remembers the ids of, before it starts anew with those in use.
 MEMO = 1 << 17
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
 KNOWN_STEPS = {
@@ -43,9 +43,10 @@ KNOWN_STEPS = {
         ],
     },
 }
-#: Latin words without apostrophes, and the runs they fall into: letters, single numerals, the rest.
-_LATIN = re.compile("[!-&(-~\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017e]{1,64}")
-_RUN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff\u0100-\u017e]+")
+#: Texts of Latin letters and common marks, where lower case changes single characters only, and the runs that the split gives there.
+_LATIN = re.compile("[\x09-\x0d -~\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017e]*")
+_LETTERS, _NUMERALS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017e", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^ \x09-\x0d{_LETTERS}{_NUMERALS}]+")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -64,18 +65,27 @@ def tokenizer_path(path: str | None) -> str:
 
 
 class _Memo(dict):
-    """Remembers what a function of one argument gave."""
+    """Remembers what a function of one argument gave, in two generations: what the last one held and this one uses moves on."""
 
     def __init__(self, make: Callable):
         self._make = make
+        self._old: dict = {}
 
     def __missing__(self, key):
-        value = self[key] = self._make(key)
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        self[key] = value
         return value
 
+    def turn(self) -> None:
+        if len(self) > MEMO:
+            self._old = dict(self)
+            self.clear()
+
 
 class Encoder:
-    """Ids of whole texts. With the steps known, no token crosses white space, and each distinct word is encoded once."""
+    """Ids of whole texts. With the steps known, no token crosses white space; each distinct run of letters, or else word, is encoded once."""
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
@@ -86,36 +96,27 @@ class Encoder:
         self._kind = np.uint16 if self._t.get_vocab_size() <= 1 << 16 else np.uint32
         self._pack = (array("H") if self._kind == np.uint16 else array("I")).typecode
         self._model, self._bytes = self._t.model, _byte_chars()
-        self._words = _Memo(self._word)
-        self._runs: dict[str, bytes] = {}
+        self._words = _Memo(lambda word: self._ids(word.decode()))
+        self._runs = _Memo(self._run)
 
     def _ids(self, text: str) -> bytes:
         return array(self._pack, self._t.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
         own = run if run.isascii() else run.encode().decode("latin-1").translate(self._bytes)
-        ids = self._runs[run] = array(self._pack, [t.id for t in self._model.tokenize(own)]).tobytes()
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if text.isascii() and text.isalpha():
-            run = text.lower()
-            return self._runs.get(run) or self._run(run)
-        if not _LATIN.fullmatch(text) or "<|" in text:
-            return self._ids(text)
-        runs = self._runs
-        return b"".join(runs.get(r) or self._run(r) for r in _RUN.findall(text.lower()))
+        return array(self._pack, [t.id for t in self._model.tokenize(own)]).tobytes()
+
+    def _text(self, raw: bytes) -> bytes:
+        text = raw.decode()
+        if _LATIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self._runs.__getitem__, _RUN.findall(text.lower())))
+        return b"".join(map(self._words.__getitem__, raw.split()))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if not self._by_word:
-            return [np.frombuffer(self._ids(t.decode() if t else ""), self._kind) for t in texts]
-        if len(self._words) > MEMO:
-            self._words.clear()
-        if len(self._runs) > MEMO:
-            self._runs.clear()
-        get = self._words.__getitem__
-        return [np.frombuffer(b"".join(map(get, t.split())) if t else b"", self._kind) for t in texts]
+        make = self._text if self._by_word else lambda raw: self._ids(raw.decode())
+        self._words.turn()
+        self._runs.turn()
+        return [np.frombuffer(make(t) if t else b"", self._kind) for t in texts]
 
 
 class Index:
@@ -124,11 +125,14 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         self.n = n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        terms = np.concatenate(docs).astype(np.int64) if n else np.empty(0, np.int64)
-        keys, tf = np.unique((owner << 32) | terms, return_counts=True)
-        owner, terms = keys >> 32, keys & 0xFFFFFFFF
+        terms = np.concatenate(docs) if n else np.empty(0, np.uint16)
         top = int(terms.max()) + 1 if len(terms) else 0
+        bits = max(top.bit_length(), 1)
+        kind = np.uint32 if n << bits < 1 << 32 else np.uint64
+        keys = np.repeat((np.arange(n) << bits).astype(kind), lengths)
+        keys |= terms
+        keys, tf = np.unique(keys, return_counts=True)
+        owner, terms = (keys >> kind(bits)).astype(np.int64), (keys & kind((1 << bits) - 1)).astype(np.int64)
         df = np.bincount(terms, minlength=top)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self._df, mean = df, max(lengths.mean(), 1.0) if n else 1.0
