@@ -71,19 +71,31 @@ def many(batches, rows: int = 1 << 17):
         yield pa.concat_batches(held)
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library keeps its own ways
+        return None
+
+
 def tidy(work):
-    """Makes a worker give freed memory back to the system when its task ends: workers live on, and an executor pays for all of theirs."""
+    """Makes a worker hand freed memory back to the system: workers live on after a task, and an executor pays for all of theirs.
+
+    Large blocks get mappings of their own, which end when they are freed, and what small ones leave is trimmed in the end.
+    """
 
     @functools.wraps(work)
     def run(batches):
+        libc = _libc()
+        if libc is not None and hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from work(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library keeps its own ways
-                pass
+            if libc is not None and hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
 
     return run
