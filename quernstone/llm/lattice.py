@@ -215,6 +215,23 @@ def estimate(words: DataFrame, classes: int, pieces: list[bytes], rounds: int =
     return scores
 
 
+def _octave(n: Column) -> Column:
+    """Sixteenths of the counts' powers of two."""
+    return F.floor(F.log2(n + 1.0) * 16).cast("int")
+
+
+def _frequent_from(words: DataFrame) -> int:
+    """The least step of _octave from which on there are FREQUENT words at most; a histogram of counts tells, so that no task sorts the words."""
+    steps = sorted(words.groupBy(_octave(F.col("n")).alias("o")).count().collect(), key=lambda r: -r.o)
+    least, held = 1 << 30, 0
+    for r in steps:
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r.o
+    return least
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, vocabulary_path: str | None = None) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs.
 
@@ -256,7 +273,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     doubles = ", ".join(f"s{k} double" for k in range(kinds))
     valued = cut(words.mapInArrow(tidy(value), f"word binary, n long, {doubles}"), "valued")
-    top = valued.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    top = valued.where(_octave(F.col("n")) >= _frequent_from(valued)).toArrow()
     least = spark.sparkContext.broadcast((top.column(0).to_pylist(), np.column_stack([top.column(i + 1).to_numpy() for i in range(kinds + 1)])))
 
     def texts(batches):
