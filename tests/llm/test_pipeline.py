@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quernstone.llm import mixing, packing, pii, simhash, toxicity
+from quernstone.llm import packing, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,7 +66,7 @@ def test_base_formats_are_masked_and_the_rest_stays(stages):
 
 
 def test_mix_is_within_its_budget(spark, stages):
-    size = lambda d: sum(len((r.text or "").split(" ")) * 0 + len((r.text or "").encode().split()) for r in d.collect())
+    size = lambda d: sum(len((r.text or "").encode().split()) for r in d.collect())
     have, took = size(stages[3]), size(stages[4])
     assert 0.6 * have < took <= 0.75 * have
     ids = [r.doc_id for r in stages[4].collect()]
@@ -85,7 +85,6 @@ def test_all_ids_are_packed(stages):
 
 
 def test_run_is_the_stages(spark, stages):
-    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
     assert sum(r.length for r in corpus_pipeline.run(spark, SF).collect()) == sum(r.length for r in stages[5].collect())
 
 
