@@ -224,9 +224,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sizes = known.groupBy((F.col("y") > 0).cast("int").alias("c")).count().collect()
     lowest = None
-    for y in (0, 1):
-        part = known.where((F.col("y") == y) & F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(rows)
+    for c in (0, 1):
+        there = sum(r["count"] for r in sizes if r.c == c)
+        share = min(1 << 20, (3 * rows << 20) // (2 * there) + 1) if there else 0  # thinned by hash first, so that few rows are sorted
+        part = known.where(((F.col("y") > 0).cast("int") == c) & F.col("id").isNotNull() & (F.shiftrightunsigned(F.xxhash64("id"), 44) < share))
+        part = part.orderBy(F.xxhash64("id"), "id").limit(rows)
         lowest = part if lowest is None else lowest.unionByName(part)
 
     def sample(batches):
