@@ -205,7 +205,7 @@ def demotion_hysteresis(spark, sf):
 
 @query()
 def memory_merge(spark, sf):
-    rows = t(spark, sf, "events").where("event_id < 2000").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"), F.count("*").alias("recalls"))
+    rows = t(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"), F.count("*").alias("recalls"))
     return L.merge_memories(rows.select((F.col("user_id") % 7).alias("key"), F.col("user_id").alias("id"), "tags", "recalls"), "key")
 
 
