@@ -4,11 +4,11 @@ Of a text's suffixes only those stay that begin at a minimiser: the position wit
 its first GRAM words among WINDOW neighbouring ones. GRAM + WINDOW - 1 is LEAST, so any passage of
 LEAST words that two documents share holds one such window whole, and both keep a suffix at the
 same place in it. A suffix is written as the hash of its first words, then the words right of
-them, then those left of it, nearest first. All suffixes are sorted so, across all partitions, and
-neighbours of different documents that agree in their first words are extended right and left;
-what lies together in memory is also compared in the order of its left sides.
-Between two minimisers of a longer match lie fewer than WINDOW words, so WINDOW - 1 words of
-context on either side are enough to reach both ends of every match.
+them, then those left of it, nearest first. All suffixes are sorted so, across all partitions.
+Suffixes that agree in their first words are compared in each of the WINDOW passages of LEAST
+words that hold those: the passages are hashed from the words left and right, and equal hashes of
+different documents are matches. What shares its first words with too many others, or with another
+task, is compared so by a shuffle of the passages' hashes.
 
 A first pass counts the hashes alone. Those that more than one document has set bits in a filter of
 fixed size, and the second pass writes only suffixes that the filter lets through; when a
@@ -30,8 +30,8 @@ LEAST = 50
 WINDOW = 25
 GRAM = LEAST - WINDOW + 1
 SIDE = WINDOW - 1
-#: Bits of the filter; neighbours on either side that a suffix is compared with.
-FILTER_BITS, NEAR = 1 << 27, 4
+#: Bits of the filter; suffixes of one key that are compared in memory.
+FILTER_BITS, KEY_ROWS = 1 << 27, 1 << 16
 _P = 0x9E3779B97F4A7C15
 
 
@@ -100,7 +100,7 @@ def _repeated(texts: DataFrame) -> np.ndarray:
 
 
 _ROW = "key long, context binary, row long, id long, pos array<long>"
-_NO_ID = -(1 << 63)
+_NO_ID = (1 << 63) - 1
 _NAMES = ["key", "context", "row", "id", "pos"]
 
 
@@ -137,80 +137,117 @@ def _written(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(tidy(each), _ROW)
 
 
-_FOUND = "edge boolean, " + _ROW + ", start long, end long, partner long"
+_FOUND = "h long, row long, id long, start long, end long, partner long"
 
 
-def _compare(key, context, row, ids, _):
-    """(index, words to the left, words to the right, partner) of suffixes that reach LEAST words together with a neighbour of another row."""
+def _windows(key, context):
+    """For each number of words left of the anchor: hashes of the window of LEAST words that begins there, and whether the text has it whole."""
+
+    def prefixes(words):
+        out = [np.zeros(len(words), np.uint64)]
+        for j in range(SIDE):
+            out.append(out[-1] * np.uint64(_P) + words[:, j])
+        return out
+
+    with np.errstate(over="ignore"):
+        right, left = prefixes(context[:, :SIDE]), prefixes(context[:, SIDE:])
+        for a in range(SIDE + 1):
+            x = (key.view(np.uint64) * np.uint64(_P) + left[a]) * np.uint64(0xC2B2AE3D27D4EB4F) + right[SIDE - a] + np.uint64(a)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            whole = np.ones(len(key), bool)
+            if a:
+                whole &= context[:, SIDE + a - 1] != 0
+            if a < SIDE:
+                whole &= context[:, SIDE - a - 1] != 0
+            yield x ^ (x >> np.uint64(29)), whole
+
+
+def _shared(key, context, row, ids, open_: bool):
+    """(index, words to the left, words to the right, partner) of suffixes in windows that another row here has too, from first to last.
+
+    Where open_, also (index, words to the left, hash) of what stands for each window here: one suffix of two rows each, or all of the only row.
+    """
     n = len(key)
-    at = np.arange(n)
-    change = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
-    first = np.maximum.accumulate(np.where(change, at, 0))
-    last = np.minimum.accumulate(np.where(np.concatenate([change[1:], [True]]), at, n)[::-1])[::-1]
-    out = []
-    for step in range(NEAR):
-        for other in (first - 1 - step, last + 1 + step):
-            ok = (other >= 0) & (other < n)
-            o = np.where(ok, other, 0)
-            ok &= (key[o] == key) & (row[o] != row)
-            i, o = at[ok], o[ok]
-            same = (context[i] == context[o]) & (context[i] != 0)
-            right = np.cumprod(same[:, :SIDE], axis=1).sum(axis=1)
-            left = np.cumprod(same[:, SIDE:], axis=1).sum(axis=1)
-            good = left + GRAM + right >= LEAST
-            i, o = i[good], o[good]
-            out.append((i, left[good], right[good], ids[o]))
-    return [np.concatenate(x) for x in zip(*out)]
-
-
-def _neighbours(keep_edges: bool):
-    def each(batches):
-        held = None
-        nothing = True
-
-        def arrays(b):
-            cols = [np.asarray(b.column(0)), None, np.asarray(b.column(2)), np.asarray(b.column(3).fill_null(_NO_ID)), np.empty(b.num_rows, object)]
-            cols[4][:] = b.column(4).to_pylist()
-            cols[1] = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, 2 * SIDE).astype(np.uint32)
-            return cols
-
-        def edges(cols, at):
-            raw = [cols[1][i].astype(">u4").tobytes() for i in at]
-            n = len(at)
-            ids = pa.array([None if x == _NO_ID else x for x in cols[3][at].tolist()], pa.int64())
-            none = pa.nulls(n, pa.int64())
-            return pa.record_batch([pa.array([True] * n), pa.array(cols[0][at]), pa.array(raw, pa.binary()), pa.array(cols[2][at]), ids, pa.array(list(cols[4][at]), pa.list_(pa.int64())), none, none, none], ["edge", *_NAMES, "start", "end", "partner"])
+    most, least, partner = np.full(n, -1), np.full(n, SIDE), np.full(n, _NO_ID)
+    by_id, kept = np.argsort(ids, kind="stable"), []
+    for a, (h, whole) in enumerate(_windows(key, context)):
+        i = by_id[whole[by_id]]
+        if not len(i):
+            continue
+        i = i[np.argsort(h[i], kind="stable")]
+        new = np.concatenate([[True], h[i[1:]] != h[i[:-1]]])
+        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+        first = i[begin]
+        other = row[i] != row[first][group]
+        twice = np.logical_or.reduceat(other, begin)
+        good = twice[group]
+        g = i[good]
+        most[g], least[g] = a, np.minimum(least[g], a)
+        second = np.minimum.reduceat(np.where(other, ids[i], _NO_ID), begin)
+        partner[g] = np.minimum(partner[g], np.where(other, ids[first][group], second[group])[good])
+        if open_:
+            met = np.minimum.reduceat(np.where(other, np.arange(len(i)), len(i)), begin)
+            at = np.concatenate([np.flatnonzero(~good), begin[twice], met[twice]])
+            kept.append((i[at], np.full(len(at), a), h[i[at]].view(np.int64)))
+    i = np.flatnonzero(most >= 0)
+    return (i, most[i], SIDE - least[i], partner[i]), [np.concatenate(x) for x in zip(*kept)]
+
+
+def _matches(batches):
+    """Stretches of suffixes, with partners; with h, windows that are still to be compared across tasks.
+
+    A key's suffixes are compared in all windows at once. Those of a task's first and last key, which other tasks may
+    have too, and of keys with more than KEY_ROWS are compared as far as they lie together, and their windows go on.
+    """
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = arrays(b)
-            if nothing and keep_edges:
-                yield edges(new, np.arange(min(2 * NEAR, b.num_rows)))
-            nothing = False
-            cols = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            left = np.lexsort([cols[2], *cols[1][:, SIDE:].T[::-1], cols[0]])
-            for order in (np.arange(len(cols[0])), left):
-                i, before, after, partner = _compare(*[c[order] for c in cols])
-                i = order[i]
-                if not len(i):
-                    continue
-                lists = cols[4][i]
-                times = np.array([len(x) for x in lists])
-                i, before, after, partner = (np.repeat(x, times) for x in (i, before, after, partner))
-                pos = np.array([x for one in lists for x in one])
-                n = len(i)
-                back = lambda x: pa.array([None if v == _NO_ID else v for v in x.tolist()], pa.int64())
-                nulls = pa.nulls(n, pa.int64())
-                yield pa.record_batch([pa.array([False] * n), nulls, pa.nulls(n, pa.binary()), pa.array(cols[2][i]), back(cols[3][i]), pa.nulls(n, pa.list_(pa.int64())), pa.array(pos - before), pa.array(pos + GRAM + after), back(partner)], ["edge", *_NAMES, "start", "end", "partner"])
-            n = len(cols[0])
-            run = np.flatnonzero(cols[2] != cols[2][-1])
-            keep = np.unique(np.concatenate([np.arange(max(0, n - 16 * NEAR), n), run[-NEAR:]]))
-            held = [c[keep] for c in cols]
-        if held is not None and keep_edges:
-            yield edges(held, np.arange(len(held[0])))
-
-    return each
+    def arrays(b):
+        cols = [np.asarray(b.column(0)), None, np.asarray(b.column(2)), np.asarray(b.column(3).fill_null(_NO_ID)), np.empty(b.num_rows, object)]
+        cols[4][:] = b.column(4).to_pylist()
+        cols[1] = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u4").reshape(b.num_rows, 2 * SIDE).astype(np.uint32)
+        return cols
+
+    def rows(cols, i, before, after, partner, h):
+        lists = cols[4][i]
+        times = np.array([len(x) for x in lists])
+        i, before, after = (np.repeat(x, times) for x in (i, before, after))
+        pos = np.array([x for one in lists for x in one])
+        given = lambda x: pa.nulls(len(i), pa.int64()) if x is None else pa.array(np.repeat(x, times))
+        known = lambda x: pa.array(x, mask=x == _NO_ID)
+        partner = pa.nulls(len(i), pa.int64()) if partner is None else known(np.repeat(partner, times))
+        return pa.record_batch([given(h), pa.array(cols[2][i]), known(cols[3][i]), pa.array(pos - before), pa.array(pos + GRAM + after), partner], ["h", "row", "id", "start", "end", "partner"])
+
+    def compared(cols, open_):
+        (i, before, after, partner), kept = _shared(*cols[:4], open_)
+        if len(i):
+            yield rows(cols, i, before, after, partner, None)
+        if kept:
+            for lo in range(0, len(kept[0]), 1 << 16):
+                i, before, h = (x[lo : lo + (1 << 16)] for x in kept)
+                yield rows(cols, i, before, SIDE - before, None, h)
+
+    held = passed = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = arrays(b)
+        if passed is None:
+            passed = cols[0][0]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        key = cols[0]
+        own, last = int(np.searchsorted(key, passed, "right")), int(np.searchsorted(key, key[-1]))
+        last = max(own, last)
+        if own:
+            yield from compared([c[:own] for c in cols], True)
+        if last > own:
+            yield from compared([c[own:last] for c in cols], False)
+        held = [c[last:] for c in cols]
+        if len(held[0]) > KEY_ROWS:
+            passed = key[-1]
+            yield from compared(held, True)
+            held = None
+    if held is not None and len(held[0]):
+        yield from compared(held, True)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,10 +264,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = ["key", "context", "row"]
     written = cut(_written(texts, _repeated(texts)), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(written.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidy(_neighbours(True)), _FOUND), "matches")
-    # the few suffixes at the partitions' ends meet once more, by themselves
-    ends = found.where("edge").select(*_NAMES).repartition(1).sortWithinPartitions(*order).mapInArrow(tidy(_neighbours(False)), _FOUND)
-    spans = found.where("not edge").unionByName(ends).select("row", "id", "start", "end", "partner")
+    found = cut(written.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidy(_matches), _FOUND), "matches")
+    # windows of keys that tasks share meet by their hashes; a batch leaves two rows of each at most
+    h = Window.partitionBy("h")
+    met = found.where("h is not null").withColumn("first", F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).over(h))
+    elsewhere = F.col("row") != F.col("first.row")
+    met = met.withColumn("second", F.min(F.when(elsewhere, F.struct(F.col("id").isNull().alias("no"), "id"))).over(h)).where("second is not null")
+    met = met.withColumn("partner", F.when(elsewhere, F.col("first.id")).otherwise(F.col("second.id")))
+    names = ["row", "id", "start", "end", "partner"]
+    spans = found.where("h is null").select(*names).unionByName(met.select(*names))
     by = Window.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))

@@ -75,3 +75,36 @@ def test_like_brute_force(spark):
     assert {i for i in want if want[i]} == {i for i in got if got[i]}
     assert partners[200] != 200
     assert suffix.repeated_passages(df.limit(0)).count() == 0
+
+
+def pieces(got):
+    out = defaultdict(set)
+    for r in got:
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_frequent_line_hides_no_passage(spark, monkeypatch):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    line = text(30)
+    rows = []
+    for i in range(400):
+        # pairs far apart in any order share 25 words before the line, or 22 after it, or some on both sides
+        a, b = random.Random(i % 200), i % 3
+        own = [f"p{a.random()}" for _ in range(44)]
+        before, after = [(own[:25], []), ([], own[:22]), (own[:12], own[12:24])][i % 200 % 3]
+        rows.append((i, " ".join([*text(20), f"x{i}", *before, *line, *after, f"y{i}", *text(20 + b)])))
+    rows += [(1000 + i, " ".join([*text(30), *line, *text(30)])) for i in range(600)]
+    want = {i: w for (i, _), w in zip(rows, brute(rows)) if w}
+    assert set(range(400)) <= want.keys()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert pieces(suffix.repeated_passages(df).collect()) == want
+    monkeypatch.setattr(suffix, "KEY_ROWS", 50)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "64")
+    try:
+        assert pieces(suffix.repeated_passages(df).collect()) == want
+    finally:
+        spark.conf.unset(batch)
