@@ -55,18 +55,23 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
 
 
-def _starts(pieces: Column, chunk: int = 64) -> Column:
-    """Offsets of all pieces, summed in chunks so that no long array grows by one."""
-    none = F.array().cast("array<bigint>")
+def _before(values: Column, op: Callable[[Column, Column], Column], chunk: int = 64) -> Column:
+    """For each value op over zero and all values before it, in chunks so that no long array grows by one."""
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
 
     def running(values: Column, first: Column) -> Column:
-        step = lambda a, x: F.struct((a["t"] + x).alias("t"), F.array_append(a["s"], a["t"]).alias("s"))
+        step = lambda a, x: F.struct(op(a["t"], x).alias("t"), F.array_append(a["s"], a["t"]).alias("s"))
         return F.aggregate(values, F.struct(first.alias("t"), none.alias("s")), step)["s"]
 
-    cuts = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / chunk).cast("int"))
-    lengths = F.transform(cuts, lambda c: F.transform(F.slice(pieces, c * chunk + 1, chunk), lambda x: F.length(x).cast("bigint")))
-    sums = lambda parts: F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return _let(lengths, lambda parts: F.flatten(F.zip_with(parts, running(sums(parts), F.lit(0).cast("bigint")), running)))
+    cuts = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int"))
+    parts = lambda v: F.transform(cuts(v), lambda c: F.slice(v, c * chunk + 1, chunk))
+    totals = lambda parts: F.transform(parts, lambda p: F.aggregate(p, zero, op))
+    return _let(_let(values, parts), lambda parts: F.flatten(F.zip_with(parts, running(totals(parts), zero), running)))
+
+
+def _starts(pieces: Column) -> Column:
+    """Offsets of all pieces."""
+    return _before(F.transform(pieces, lambda x: F.length(x).cast("bigint")), lambda a, x: a + x)
 
 
 Test = Callable[[Column, Column, Column], Column]
@@ -245,23 +250,25 @@ def train(spark: SparkSession) -> Trees:
     return Trees(np.array([r[3] for r in got]), np.array([KINDS.index(r[1]) for r in got]), np.array([float(r[2]) for r in got]))
 
 
-def _stepwise(docs: DataFrame, text: Column, trees: Trees, put: Callable[[str], Callable[[Column], Column]], keep: list[str]) -> DataFrame:
-    """Adds __t, the text with all that was found replaced, and, for each step s, its pieces and good positions.
+def _found(docs: DataFrame, trees: Trees, text_col: str) -> DataFrame:
+    """Adds __base and __spans.
 
     Base formats are looked for in the original text; the generators read what the base formats left.
     """
-    df = docs.withColumn("__o", F.translate(F.coalesce(text, F.lit("")), _MARK, _OTHER))
+    cover = lambda x: F.repeat(F.lit(_COVER), F.length(x))
+    df = docs.withColumn("__o", F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, _OTHER))
     df = df.withColumn("__t", F.col("__o"))
     for kind in KINDS:
         df = df.withColumn("__p", _pieces(F.col("__t"), BASE[kind]))
-        df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, base_test(k)), lambda g: _rebuilt(p, g, base_test(k), F.array_join(p, ""), put(k)))))
+        df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, base_test(k)), lambda g: _rebuilt(p, g, base_test(k), F.array_join(p, ""), cover))))
     for kind in KINDS:
         df = df.withColumn("__p", _pieces(F.col("__t"), GENERATORS[kind]))
-        if f"add_{kind}" in keep:
-            df = df.withColumn(f"__add_{kind}", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _spans(p, g, KINDS.index(k)))))
-        else:
-            df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _rebuilt(p, g, trees.test(k), F.array_join(p, ""), put(k)))))
-    return df.drop("__p")
+        df = df.withColumn(f"__add_{kind}", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _spans(p, g, KINDS.index(k)))))
+    for n, kind in enumerate(KINDS):
+        df = df.withColumn(f"__base_{kind}", _let(_pieces(F.col("__o"), BASE[kind]), lambda p, k=kind, n=n: _let(_good(p, base_test(k)), lambda g: _spans(p, g, n))))
+    base, added = [F.col(f"__base_{k}") for k in KINDS], [F.col(f"__add_{k}") for k in KINDS]
+    df = df.withColumn("__base", F.array_sort(F.concat(*base))).withColumn("__spans", F.array_sort(F.array_distinct(F.concat(*base, *added))))
+    return df.drop("__o", "__t", "__p", *[f"__{a}_{k}" for a in ("base", "add") for k in KINDS])
 
 
 def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
@@ -270,13 +277,8 @@ def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     A null or empty text has none. Rows are neither dropped nor joined, whatever they hold; columns of docs
     named base or spans are replaced.
     """
-    cover = lambda _: lambda x: F.repeat(F.lit(_COVER), F.length(x))
-    df = _stepwise(docs, F.col(text_col), trees, cover, [f"add_{k}" for k in KINDS])
-    for n, kind in enumerate(KINDS):
-        df = df.withColumn(f"__base_{kind}", _let(_pieces(F.col("__o"), BASE[kind]), lambda p, k=kind, n=n: _let(_good(p, base_test(k)), lambda g: _spans(p, g, n))))
-    base, added = [F.col(f"__base_{k}") for k in KINDS], [F.col(f"__add_{k}") for k in KINDS]
-    df = df.withColumn("base", F.array_sort(F.concat(*base))).withColumn("spans", F.array_sort(F.array_distinct(F.concat(*base, *added))))
-    return df.drop("__o", "__t", *[f"__{a}_{k}" for a in ("base", "add") for k in KINDS])
+    df = _found(docs, trees, text_col)
+    return df.withColumn("base", F.col("__base")).withColumn("spans", F.col("__spans")).drop("__base", "__spans")
 
 
 def listed(spans: str) -> Column:
@@ -291,8 +293,42 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans with overlapping ones united, which have the kind of the longest of them."""
+
+    def united(before: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: spans[i]["start"] >= before[i])
+
+        def one(at: Column, g: Column) -> Column:
+            own = F.slice(spans, at[g] + 1, F.coalesce(F.get(at, g + 1), F.size(spans)) - at[g])
+            longest = F.array_max(F.transform(own, lambda s: F.struct((s["end"] - s["start"]).alias("n"), (-s["kind"]).alias("k"))))
+            return F.struct(spans[at[g]]["start"].alias("start"), (-longest["k"]).alias("kind"), F.array_max(own["end"]).alias("end"))
+
+        return _let(new, lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda g: one(at, g)))
+
+    return _let(_before(spans["end"], lambda a, x: F.greatest(a, x)), united)
+
+
+def _masked(text: Column, spans: Column, chunk: int = 64) -> Column:
+    """The text with disjoint spans replaced by their kinds; cut in chunks first, so that few cuts count from the text's begin."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    part = lambda t, start, end: F.substring(t, (start + 1).cast("int"), (end - start).cast("int"))
+    end_of = lambda i: F.coalesce(F.get(spans, i)["end"], F.lit(0).cast("bigint"))
+
+    def joined(c: Column) -> Column:
+        first = end_of(c * chunk - 1)
+        own = F.slice(spans, c * chunk + 1, chunk)
+        put = lambda t, s, i: F.concat(part(t, end_of(c * chunk + i - 1) - first, s["start"] - first), names[s["kind"]])
+        last = F.least((c + 1) * chunk, F.size(spans)) - 1
+        return _let(part(text, first, end_of(last)), lambda t: F.array_join(F.transform(own, lambda s, i: put(t, s, i)), ""))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / chunk).cast("int"))
+    return F.concat(F.array_join(F.transform(cuts, joined), ""), part(text, end_of(F.size(spans) - 1), F.length(text)))
+
+
 def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """docs with each found span of the text replaced by its kind in brackets; a null text stays null."""
-    df = _stepwise(docs, F.col(text_col), trees, lambda kind: lambda _: F.lit(f"[{kind.upper()}]"), [])
-    changed = F.when(F.col("__t") == F.col("__o"), F.col(text_col)).otherwise(F.col("__t"))
-    return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), changed)).drop("__o", "__t")
+    """docs with each span that find() gives, overlapping ones united, replaced by its kind in brackets; a null text stays null."""
+    df = _found(docs, trees, text_col)
+    text = F.col(text_col)
+    masked = _let(F.col("__spans"), lambda spans: _let(_merged(spans), lambda merged: _masked(text, merged)))
+    return df.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__base", "__spans")

@@ -67,6 +67,28 @@ def test_redaction(spark, trees):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail [EMAIL] or [IP], [PHONE] end", 2: None, 3: "clean 12 text ", None: "[CARD]"}
 
 
+def test_redaction_masks_all_that_is_found(spark, trees):
+    texts = TEXTS + ["tel +33.6.12.34.56.78 end", "+1.2.3.4.5.6.7.8.9 x 10.0.0.1", "é𝒳+33.6.12.34.56.78,+33.6.12.34.56.79", "a@1.2.3.4 +49 4465758382889437"]
+    df = spark.createDataFrame([(i, t, "b", "s") for i, t in enumerate(texts)], "doc_id long, text string, base string, spans string")
+    found = {r.doc_id: r.spans for r in pii.find(df, trees).collect()}
+    rows = pii.redact(df, trees).collect()
+    assert len(rows) == len(texts) and {(r.base, r.spans) for r in rows} == {("b", "s")}
+    for r in rows:
+        merged = []
+        for s in found[r.doc_id]:
+            if merged and s.start < merged[-1][0][1]:
+                merged[-1][0][1] = max(merged[-1][0][1], s.end)
+                merged[-1][1].append(s)
+            else:
+                merged.append(([s.start, s.end], [s]))
+        want, at = "", 0
+        for (start, end), own in merged:
+            kind = min(own, key=lambda s: (s.start - s.end, s.kind)).kind
+            want, at = f"{want}{texts[r.doc_id][at:start]}[{pii.KINDS[kind].upper()}]", end
+        assert r.text == (None if texts[r.doc_id] is None else want + texts[r.doc_id][at:]), texts[r.doc_id][:60]
+    assert rows[len(TEXTS)].text == "tel [PHONE] end"
+
+
 def test_no_python_in_the_plan(spark, trees):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = pii.digest(pii.find(df, trees))._jdf.queryExecution().executedPlan().toString()
