@@ -1,21 +1,24 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one class, and only classes are indexed. Every class asks every shard. A shard
-first audits itself: moved copies of some of its vectors, just above the threshold, are searched
-by graph and by brute force, and the beam widens until the graph finds TARGET of what there is. A
-query whose whole beam is above the threshold goes on with a wider one. What a search returns is
-verified in double precision.
+Equal vectors are one class, and only classes are indexed. Shards stand in a ring: a class asks its
+own shard and the half of the ring that follows, so that each pair of shards is searched once and a
+link that is found counts for both of its ends. A graph whose lowest layer has nodes that no path
+reaches gets links to them when it is built. A shard first audits itself: some of its own vectors,
+and moved copies just above the threshold, are searched by graph and by brute force, and the beam
+widens until the probes of every density find TARGET of their neighbours. A query with a quarter of
+its beam above the threshold widens it to the whole shard. What a search returns is verified in double
+precision.
 
 A task doesn't list the pairs that it finds. It unites the linked vectors of its shard at once,
 and passes on, for each query, how many it found and one of them, and for each vector of the shard
-the root that it was united with.
+how many found it and the root that it was united with.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -26,8 +29,12 @@ COSINE = 0.95
 SHARD_ROWS = 50_000
 #: Links of a node above the lowest layer; twice that on it.
 LINKS, BUILD_BEAM, BEAM, EXPAND = 8, 32, 24, 3
-#: Probes of a shard's audit, and the part of their neighbours that a beam must find.
-PROBES, TARGET = 64, 0.995
+#: The part of a beam, as a divisor, that may lie above the threshold before the beam is as wide as the shard.
+CROWDED = 4
+#: Nodes that each layer hands down to the next, and links a node may get to nodes that no path reaches.
+ENTRIES, RESCUED = 6, 16
+#: Probes of either kind of a shard's audit, and the mean part of its neighbours that a probe must find.
+PROBES, TARGET = 256, 0.995
 _SLACK = 1e-4
 
 
@@ -54,6 +61,47 @@ class Graph:
             block = order[done : done + min(512, max(done, 128))]
             self._insert(block, level[block])
             done += len(block)
+        self._connect()
+
+    def _reach(self, front: np.ndarray, seen: np.ndarray) -> None:
+        """Marks what paths on the lowest layer lead to from front."""
+        while len(front):
+            seen[front] = True
+            to = self._near[0][front].ravel()
+            to = np.unique(to[to >= 0])
+            front = to[~seen[to]]
+
+    def _connect(self) -> None:
+        """Links to nodes that no path from the entry reaches, from a neighbour of theirs that one does."""
+        n = len(self._f)
+        seen, hosts, nodes = np.zeros(n, bool), [], []
+        self._reach(self._entry[-1:], seen)
+        while not seen.all():
+            lost = np.flatnonzero(~seen)
+            cand = self._near[0][lost]
+            known = (cand >= 0) & seen[cand]
+            if known.any():
+                rows = lost[known.any(axis=1)]
+                host = cand[known.any(axis=1), known[known.any(axis=1)].argmax(axis=1)]
+            else:
+                rows, pool = lost[:64], np.flatnonzero(seen)
+                host = pool[(self._f[rows] @ self._f[pool].T).argmax(axis=1)]
+            hosts.append(host)
+            nodes.append(rows)
+            self._reach(rows, seen)
+        if not hosts:
+            return
+        host, node = np.concatenate(hosts).astype(np.int64), np.concatenate(nodes)
+        order = np.argsort(host, kind="stable")
+        host, node = host[order], node[order]
+        begin = np.flatnonzero(np.append(True, host[1:] != host[:-1]))
+        rank = np.arange(len(host)) - np.repeat(begin, np.diff(np.append(begin, len(host))))
+        far = np.flatnonzero(rank >= RESCUED)
+        host[far], rank[far] = node[far - RESCUED], 0  # a full host's nodes go on from one another
+        extra = np.full((n, int(rank.max()) + 2), -1, np.int32)
+        rank[far] = extra.shape[1] - 1
+        extra[host, rank] = node
+        self._near[0] = np.concatenate([self._near[0], extra], axis=1)
 
     def _insert(self, block: np.ndarray, level: np.ndarray) -> None:
         q = self._f[block]
@@ -63,8 +111,8 @@ class Graph:
             if self._entry[layer] >= 0:
                 if entry is None:
                     entry = np.full((len(block), 1), self._entry[layer])
-                found, _ = self._beam(q, entry, BUILD_BEAM if mine.any() else 4, layer)
-                entry = found[:, :1]
+                found, _ = self._beam(q, entry, BUILD_BEAM if mine.any() else ENTRIES, layer)
+                entry = found[:, :ENTRIES]
             else:
                 found = np.full((len(block), 0), -1)
             if mine.any():
@@ -125,9 +173,11 @@ class Graph:
         seen = np.zeros((len(q), len(self._f) + 1), bool)
         ids = np.full((len(q), width), -1, np.int64)
         sims = np.full((len(q), width), -9, np.float32)
-        ids[:, 0] = entry[:, 0]
-        sims[:, 0] = np.einsum("qd,qd->q", self._f[entry[:, 0]], q)
-        seen[rows, entry[:, :1]] = True
+        first = (self._f[entry] @ q[:, :, None])[:, :, 0]
+        first[entry < 0] = -9
+        order = np.argsort(-first, axis=1, kind="stable")[:, :width]
+        ids[:, : order.shape[1]], sims[:, : order.shape[1]] = np.take_along_axis(entry, order, 1), np.take_along_axis(first, order, 1)
+        seen[rows, np.where(entry < 0, len(self._f), entry)] = True
         new = ids >= 0
         while True:
             live = np.flatnonzero(new.any(axis=1))
@@ -149,44 +199,57 @@ class Graph:
             ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(bad, -1, step)], axis=1), order, 1)
             new[live] = np.take_along_axis(np.concatenate([new[live], ~bad], axis=1), order, 1)
 
-    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, width: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The beam of each query on the lowest layer, where it may also start from a given node."""
         q = q.astype(np.float32)
         entry = np.full((len(q), 1), self._entry[-1])
         for layer in range(len(self._near) - 1, 0, -1):
-            entry = self._beam(q, entry, 4, layer)[0][:, :1]
+            entry = self._beam(q, entry, ENTRIES, layer)[0]
+        if start is not None:
+            entry = np.concatenate([np.where(entry == start[:, None], -1, entry), start[:, None]], axis=1)
         return self._beam(q, entry, width, 0)
 
-    def within(self, q: np.ndarray, width: int, cosine: float = COSINE) -> list[np.ndarray]:
+    def within(self, q: np.ndarray, width: int, cosine: float = COSINE, start: np.ndarray | None = None) -> list[np.ndarray]:
         """Rows with at least the given cosine to each query, verified in double precision."""
         n = len(self.u)
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        todo, width = np.arange(len(q)), min(width, n)
-        while len(todo):
-            if 2 * width >= n:
-                found, sims = np.broadcast_to(np.arange(n), (len(todo), n)), q[todo].astype(np.float32) @ self._f.T
-                full = np.zeros(len(todo), bool)
-            else:
-                found, sims = self.search(q[todo], width)
-                full = sims[:, -1] >= cosine - _SLACK
+        wide = np.arange(len(q))
+        if 2 * width < n:
+            found, sims = self.search(q, width, start)
+            full = (sims >= cosine - _SLACK).sum(axis=1) > width // CROWDED
             for i in np.flatnonzero(~full & (sims.max(axis=1) >= cosine - _SLACK)):
                 c = found[i][sims[i] >= cosine - _SLACK]
-                out[todo[i]] = c[self.u[c] @ q[todo[i]] >= cosine]
-            todo, width = todo[full], min(4 * width, n)
+                out[i] = c[self.u[c] @ q[i] >= cosine]
+            wide = np.flatnonzero(full)
+        for lo in range(0, len(wide), 64):
+            rows = wide[lo : lo + 64]
+            for i, near in zip(rows, q[rows].astype(np.float32) @ self._f.T >= cosine - _SLACK):
+                c = np.flatnonzero(near)
+                out[i] = c[self.u[c] @ q[i] >= cosine]
         return out
 
+    def recalls(self, probes: np.ndarray, width: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
+        """For each probe with neighbours: how many there are, and the part of them that a beam finds."""
+        there = (probes @ self.u.T >= cosine).sum(axis=1)
+        found = np.array([len(x) for x in self.within(probes, width, cosine)])
+        return there[there > 0], found[there > 0] / there[there > 0]
+
     def audited(self, cosine: float = COSINE, width: int = BEAM) -> int:
-        """The beam that finds TARGET of the neighbours of this graph's probes."""
+        """The beam with which probes find TARGET of their neighbours on average, those with few and with many neighbours each for themselves."""
         n = len(self.u)
         rng = np.random.default_rng(n)
-        base = self.u[rng.choice(n, min(PROBES, n), replace=False)]
+        real, base = (self.u[rng.choice(n, min(PROBES, n), replace=False)] for _ in range(2))
         side = rng.normal(size=base.shape)
         side -= (side * base).sum(axis=1, keepdims=True) * base
         length = np.linalg.norm(side, axis=1, keepdims=True)
         side = np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9)
         turn = cosine + (1 - cosine) * rng.uniform(0.02, 1, (len(base), 1))
-        probes = units(turn * base + np.sqrt(1 - turn**2) * side)
-        there = int((probes @ self.u.T >= cosine).sum())
-        while 2 * width < n and sum(map(len, self.within(probes, width, cosine))) < TARGET * there:
+        probes = np.concatenate([real, units(turn * base + np.sqrt(1 - turn**2) * side)])
+        while 2 * width < n:
+            there, part = self.recalls(probes, width, cosine)
+            dense = np.digitize(there, [2, 4, 16, 64])
+            if all(part[dense == d].mean() >= TARGET for d in np.unique(dense)):
+                break
             width *= 2
         return width
 
@@ -202,7 +265,7 @@ def _work(cosine: float):
             self.ids, self.counts = ids, counts
             self.graph = Graph(units(rows), len(ids))
             self.width = self.graph.audited(cosine)
-            self.parent = np.arange(len(ids))
+            self.parent, self.got = np.arange(len(ids)), np.zeros(len(ids), np.int64)
 
         def roots(self, rows):
             r = self.parent[rows]
@@ -210,25 +273,28 @@ def _work(cosine: float):
                 r = up
             return r
 
-        def ask(self, ids, rows):
+        def ask(self, ids, counts, rows):
             size = max(16, min(512, (64 << 20) // max(len(self.ids), 1)))
             for i in range(0, len(ids), size):
-                out = []
-                for one, near in zip(ids[i : i + size].tolist(), self.graph.within(units(rows[i : i + size]), self.width, cosine)):
+                out, part = [], ids[i : i + size]
+                at = np.minimum(np.searchsorted(self.ids, part), len(self.ids) - 1)
+                own = self.ids[at] == part  # a shard's own classes ask it too, all of a batch or none
+                hits = self.graph.within(units(rows[i : i + size]), self.width, cosine, at if own.all() else None)
+                for one, n, me, mine, near in zip(part.tolist(), counts[i : i + size].tolist(), at.tolist(), own.tolist(), hits):
                     if len(near):
-                        own = self.ids[near] == one
                         r = self.roots(near)
                         self.parent[r] = r.min()
-                        if not own.all():
-                            out.append((one, self.counts[near[~own]].sum(), self.ids[near[0]]))
+                        counted = near[near > me] if mine else near  # inside a shard the first of two finds the second
+                        self.got[counted] += n
+                        if len(counted):
+                            out.append((one, self.counts[counted].sum(), self.ids[near[0]]))
                 if out:
                     yield batch(*zip(*out))
 
         def end(self):
-            rows = np.arange(len(self.ids))
-            r = self.roots(rows)
-            moved = r != rows
-            yield batch(self.ids[moved], np.zeros(moved.sum()), self.ids[r[moved]])
+            r = self.roots(np.arange(len(self.ids)))
+            told = (r != np.arange(len(self.ids))) | (self.got > 0)
+            yield batch(self.ids[told], self.got[told], self.ids[r[told]])
 
     def work(batches):
         key, held, shard = None, [], None
@@ -246,13 +312,20 @@ def _work(cosine: float):
                     continue
                 shard = Shard(*(np.concatenate(x) for x in zip(*held)))
                 held = []
-            yield from shard.ask(rows[0], rows[2])
+            yield from shard.ask(*rows)
         if shard:
             yield from shard.end()
 
     return work
 
 
+def _asked(shard: Column, shards: int) -> Column:
+    """The shards that a class asks: its own and the half of the ring that follows, so that of two shards one asks the other."""
+    ahead = F.sequence(F.lit(1), F.lit(shards // 2)) if shards > 1 else F.array().cast("array<int>")
+    after = F.filter(ahead, lambda o: (2 * o < shards) | (shard < o))
+    return F.transform(after, lambda o: F.pmod(shard + o, F.lit(shards)))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors.
 
@@ -265,10 +338,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fine = F.col("id").isNotNull() & sound("w") & F.exists("w", lambda x: x != 0)
     rows = cut(rows.select("id", F.when(fine, F.col("w")).alias("v")), "vectors")
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    shards = shard_count(classes.count(), shard_rows)
+    shards = shard_count(classes, shard_rows)
     index = to_own_shard(classes.select(F.col("rep").alias("id"), "v", "n"), shards)
-    asked = index.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = cut(put(index, asked, _work(cosine), "id long, n long, link long"), "found")
+    away = index.withColumn("shard", F.explode(_asked(F.col("shard"), shards)))
+    found = cut(put(index, (index, away), shards, _work(cosine), "id long, n long, link long"), "found")
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("others"))
     roots = components(found, "id", "link").select(F.col("node").alias("rep"), "root")
     named = classes.join(links, "rep", "left").join(roots, "rep", "left").select(

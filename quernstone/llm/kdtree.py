@@ -142,16 +142,16 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     """
     points = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & sound("v"))
     points = cut(points.select("id", integers("v").alias("v")), "points")
-    shards = shard_count(points.count(), shard_rows)
+    shards = shard_count(points, shard_rows)
     blank = [F.lit(None).cast("long").alias("kth"), F.lit(None).cast("long").alias("kth_id")]
     index = to_own_shard(points, shards).select("*", *blank)
     asked = to_own_shard(points.where(is_query).groupBy("id").agg(F.min("v").alias("v")), shards)
     schema = "query_id long, id long, score long"
-    home = cut(put(index, asked.select("*", *blank), _work(k), schema), "home")
+    home = cut(put(index, (asked.select("*", *blank),), shards, _work(k), schema), "home")
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("id")).alias("i"))).alias("w"))
     kth = kth.where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("w.score").alias("kth"), (-F.col("w.i")).alias("kth_id"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))
     away = asked.join(kth, "id", "left").select("id", "v", "dim", F.explode(others).alias("shard"), "kth", "kth_id")
-    found = home.unionByName(put(index, away, _work(k), schema))
+    found = home.unionByName(put(index, (away,), shards, _work(k), schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), F.col("id").alias("vec_id"), "score").where(F.col("rank") <= k)

@@ -18,8 +18,10 @@ def sound(vector: str = "embedding") -> Column:
     return F.coalesce(F.col(vector).isNotNull() & fine, F.lit(False))
 
 
-def shard_count(rows: int, per_shard: int, least: int = 8) -> int:
-    return max(least, -(-rows // per_shard))
+def shard_count(points: DataFrame, per_shard: int, least_rows: int = 2000) -> int:
+    """Shards of at most about so many rows; more and smaller ones where cores would be idle, but not below least_rows."""
+    rows, cores = points.count(), points.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-rows // per_shard), min(cores, -(-rows // least_rows)))
 
 
 def to_own_shard(points: DataFrame, shards: int) -> DataFrame:
@@ -27,15 +29,17 @@ def to_own_shard(points: DataFrame, shards: int) -> DataFrame:
     return points.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
 
-def put(index: DataFrame, queries: DataFrame, work, schema: str) -> DataFrame:
-    """Run work on every shard; both tables have the same columns, dim, shard, id and v among them.
+def put(index: DataFrame, queries: tuple[DataFrame, ...], shards: int, work, schema: str) -> DataFrame:
+    """Run work on every shard; all tables have the same columns, dim, shard, id and v among them.
 
-    Spark deals and sorts the rows, spilling where it must, and a task holds one shard's index and
-    one batch of queries.
+    Spark deals and sorts the rows, spilling where it must. Every shard is a partition of its own; a task
+    holds one shard's index and one batch of queries. Each table of queries is sorted by itself, so no batch mixes them.
     """
-    rows = index.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
+    rows = index.withColumn("role", F.lit(0))
+    for n, part in enumerate(queries, 1):
+        rows = rows.unionByName(part.withColumn("role", F.lit(n)))
     rows = rows.select("dim", "shard", "role", "id", "v", *[c for c in rows.columns if c not in ("dim", "shard", "role", "id", "v")])
-    return rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "role", "id").mapInArrow(tidy(work), schema)
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "role", "id").mapInArrow(tidy(work), schema)
 
 
 def pieces(batches) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
