@@ -1,9 +1,11 @@
 """Lexical retrieval packing of documents into training windows.
 
-Each input partition is cut into shards of bounded size. A shard has a BM25 inverted index over
-its documents' token ids. A seed document opens a window, the index ranks the documents not yet
-used by the seed's heaviest terms, and these fill the window greedily; the one that no longer fits
-is cut, and its rest opens the next window. Nothing is shuffled: a shard is a slice of the scan.
+Documents are encoded once. Document frequencies of all tokens, over all documents, tell each
+document's heaviest terms, and documents are sorted by these across all partitions, so that those
+about the same things come to lie together, ties dealt out by a hash. The sorted rows are cut into
+shards of bounded size. A shard has a BM25 inverted index over its documents' token ids. A seed
+document opens a window, the index ranks the documents not yet used by all of the seed's terms, and
+these fill the window greedily; the one that no longer fits is cut, and its rest opens the next window.
 
 Full windows need no padding. A shard's last window is dealt out into sequences whose lengths are
 powers of two, which need none either.
@@ -22,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, tidy
+from .common import as_bytes, cut, tidy
 
 WINDOW = 4096
 END = 2
 #: A shard closes at so many documents or tokens, whichever comes first.
-SHARD_DOCS, SHARD_TOKENS = 2048, 1_000_000
-#: Terms of the seed that make its query, and BM25's constants.
-QUERY_TERMS, K1, B = 32, 1.2, 0.75
+SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
+#: Heaviest terms that make a document's place in the order, and BM25's constants.
+KEY_TERMS, K1, B = 4, 1.2, 0.75
 #: Runs and words that a worker remembers the ids of, before it starts anew with those in use.
 MEMO = 1 << 17
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
@@ -132,28 +134,25 @@ class Index:
         keys = np.repeat((np.arange(n) << bits).astype(kind), lengths)
         keys |= terms
         keys, tf = np.unique(keys, return_counts=True)
-        owner, terms = (keys >> kind(bits)).astype(np.int64), (keys & kind((1 << bits) - 1)).astype(np.int64)
+        owner, terms = (keys >> kind(bits)).astype(np.int32), (keys & kind((1 << bits) - 1)).astype(np.int32)
         df = np.bincount(terms, minlength=top)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self._df, mean = df, max(lengths.mean(), 1.0) if n else 1.0
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
-        self._terms, self._weights = terms, weight
+        norm = K1 * (1 - B + B * lengths / mean)
+        weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
+        self._terms = terms
         self._own = np.searchsorted(owner, np.arange(n + 1))
         order = np.argsort(terms, kind="stable")
         self._docs, self._post = owner[order], weight[order]
         self._at = np.searchsorted(terms[order], np.arange(top + 1))
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term, best first, ties to the earlier one."""
-        s, e = self._own[doc], self._own[doc + 1]
-        terms, weights = self._terms[s:e], self._weights[s:e]
-        shared = self._df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused documents that share a term, best first, ties to the earlier one."""
+        terms = self._terms[self._own[doc] : self._own[doc + 1]]
+        terms = terms[self._df[terms] > 1]
         if not len(terms):
             return terms
-        spans = [slice(self._at[t], self._at[t + 1]) for t in terms.tolist()]
+        spans = [slice(s, e) for s, e in zip(self._at[terms].tolist(), self._at[terms + 1].tolist())]
         score = np.bincount(np.concatenate([self._docs[x] for x in spans]), np.concatenate([self._post[x] for x in spans]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
@@ -217,20 +216,74 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
         yield part
 
 
+def _frequencies(encoded: DataFrame) -> dict[int, int]:
+    """In how many documents each id is, over all of them, and under -1 how many there are; no more rows than the vocabulary has."""
+
+    def each(batches):
+        held = np.zeros(0, np.int64)
+        docs = 0
+        for b in batches:
+            for raw, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.unique(np.frombuffer(raw, f"<u{size}"))
+                if len(ids) and ids[-1] >= len(held):
+                    held = np.concatenate([held, np.zeros(int(ids[-1]) + 1 - len(held), np.int64)])
+                held[ids] += 1
+                docs += 1
+        own = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(np.append(own, -1)), pa.array(np.append(held[own], docs))], ["term", "n"])
+
+    rows = encoded.select("ids", "size").mapInArrow(tidy(each), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    return {r.term: r.n for r in rows}
+
+
+def heaviest(ids: np.ndarray, idf: np.ndarray) -> list[int]:
+    """The document's KEY_TERMS heaviest terms, in falling order; ids with no weight are in one document only."""
+    terms, tf = np.unique(ids, return_counts=True)
+    weight = idf[terms] * tf / (tf + K1)
+    order = np.argsort(-weight, kind="stable")[:KEY_TERMS]
+    return terms[order][weight[order] > 0].tolist()
+
+
+def _placed(encoded: DataFrame) -> DataFrame:
+    """Encoded documents with their places in the order: heaviest terms, then a hash."""
+    df = _frequencies(encoded)
+    n = df.pop(-1, 0)
+    idf = np.zeros(max(df, default=0) + 1, np.float32)
+    for term, own in df.items():
+        idf[term] = np.log(1 + (n - own + 0.5) / (own + 0.5)) if own > 1 else 0
+    sent = encoded.sparkSession.sparkContext.broadcast(idf)
+
+    def each(batches):
+        for b in batches:
+            keys = [heaviest(np.frombuffer(raw, f"<u{size}"), sent.value) for raw, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.record_batch([*b.columns, pa.array(keys, pa.list_(pa.int32()))], ["id", "ids", "size", "terms"])
+
+    placed = encoded.select("id", "ids", "size").mapInArrow(tidy(each), "id long, ids binary, size int, terms array<int>")
+    return placed.withColumn("hash", F.xxhash64("id", "ids"))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end: int = END, encoder: Callable[[], Encoder] | None = None) -> DataFrame:
     """Rows (doc_id, start, length, ids, doc_tokens, sequence_id, offset), one a piece.
 
     ids holds the piece's ids as little-endian unsigned 32-bit numbers. A null or empty text is its
     end id alone; a null id stays null; repeated rows are packed each for itself; an empty table
-    gives an empty one; other columns are not read. Equal scores go to the row that the scan gives
-    first. sequence_id has the partition's number above its lowest 40 bits, so a task that is run
-    again on the same slice of the input gives the same ids.
+    gives an empty one; other columns are not read. Equal scores go to the row that comes first by heaviest terms
+    and hash. sequence_id has the partition's number above its lowest 40 bits, so a task that is run
+    again on the same rows gives the same ids.
     """
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-    def each(batches):
+    def encoded(batches):
         encode = (encoder() if encoder else Encoder(tokenizer)).encode
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                made = [np.append(ids, ids.dtype.type(end)) for ids in encode(as_bytes(part.column(1)))]
+                raw = [x.astype(x.dtype.newbyteorder("<")).tobytes() for x in made]
+                yield pa.record_batch([part.column(0), pa.array(raw, pa.binary()), pa.array([x.itemsize for x in made], pa.int32())], ["id", "ids", "size"])
+
+    def packed(batches):
         number = TaskContext.get().partitionId() << 40
         own: list = []
         shard: list[np.ndarray] = []
@@ -247,7 +300,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     at += n
                     size += n
                 number += 1
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield batch(rows)
                     rows, size = [], 0
             if rows:
@@ -259,18 +312,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return pa.record_batch([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols)], names)
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                for key, ids in zip(part.column(0).to_pylist(), encode(as_bytes(part.column(1)))):
-                    own.append(key)
-                    shard.append(np.append(ids, ids.dtype.type(end)))
-                    tokens += len(ids) + 1
-                    if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                        yield from flush()
+            for i in range(b.num_rows):
+                raw, size = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                own.append(b.column(0)[i].as_py())
+                shard.append(np.frombuffer(raw, f"<u{size}"))
+                tokens += len(shard[-1])
+                if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
+                    yield from flush()
         if shard:
             yield from flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(each), schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = _placed(cut(texts.mapInArrow(tidy(encoded), "id long, ids binary, size int"), "ids"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["terms", "hash", "id"]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "ids", "size").mapInArrow(tidy(packed), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -71,3 +73,68 @@ def test_neighbours_are_bm25():
         return out
 
     assert got.tolist() == sorted((d for d in range(1, 5) if score(0, d) > 0), key=lambda d: -score(0, d))
+
+
+def greedy(docs, window):
+    """Windows by the docstring, one document at a time and scores by hand."""
+    used = [0] * len(docs)
+    n, mean = len(docs), max(sum(map(len, docs)) / len(docs), 1)
+    df = Counter(t for d in docs for t in set(d))
+
+    def score(q, d):
+        out = 0.0
+        for t in sorted(set(docs[q])):
+            tf = docs[d].count(t)
+            if tf:
+                out += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+        return out
+
+    out = []
+    for d, ids in enumerate(docs):
+        while len(ids) - used[d] >= window:
+            out.append([(d, used[d], window)])
+            used[d] += window
+    left = lambda d: len(docs[d]) - used[d]
+    rest, now = None, []
+    while any(left(d) for d in range(n)):
+        seed = rest if rest is not None else next(d for d in range(n) if left(d))
+        now, room, nxt = [], window, seed
+        while nxt is not None and room:
+            take = min(left(nxt), room)
+            now.append((nxt, used[nxt], take))
+            used[nxt] += take
+            room -= take
+            open_ = [d for d in range(n) if left(d)]
+            ranked = sorted((d for d in open_ if score(seed, d) > 1e-12), key=lambda d: (-round(score(seed, d), 9), d))
+            nxt = ranked[0] if ranked else open_[0] if open_ else None
+        rest = now[-1][0] if left(now[-1][0]) else None
+        if not room:
+            out.append(now)
+            now = []
+    return out, now
+
+
+def test_windows_fill_like_brute_force():
+    rng = np.random.default_rng(11)
+    for size in (1, 7, 60):
+        docs = [np.append(rng.choice(40, rng.integers(0, 30), p=np.arange(1, 41) / 820), 2).astype(np.uint16) for _ in range(size)] + [np.full(70, 3, np.uint16)]
+        want, last = greedy([d.tolist() for d in docs], 32)
+        got = list(packing.pack_shard(docs, 32))
+        assert got[: len(want)] == want
+        tail = [(d, s + i) for seq in got[len(want) :] for d, s, n in seq for i in range(n)]
+        assert tail == [(d, s + i) for d, s, n in last for i in range(n)]
+
+
+def test_related_documents_come_to_lie_in_one_shard(spark):
+    old, packing.SHARD_DOCS = packing.SHARD_DOCS, 10
+    topics = [f"topic{t} {' '.join(f'alpha{t}x{j}' for j in range(12))}" for t in range(8)]
+    df = spark.createDataFrame([(i, f"{topics[i % 8]} common words of all number {i}") for i in range(160)], "doc_id long, text string").repartition(7)
+    try:
+        got = packing.pack(df, window=2048).collect()
+    finally:
+        packing.SHARD_DOCS = old
+    seqs: dict = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, set()).add(r.doc_id % 8)
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    assert sum(len(s) for s in seqs.values()) / len(seqs) < 3
