@@ -4,7 +4,8 @@ A word enters as the sum of a hashed word vector and the mean of its hashed char
 vectors, each with its own table, side by side. Two gated recurrent layers read a window of words
 from either end, attention pools their states, and a logistic unit scores the window. All
 overlapping windows of a whole text are scored and the highest counts. Training, in numpy on the
-driver, is by back-propagation through the window that scores highest in each sampled document.
+driver, scores all windows of each sampled document too and goes back through the highest one; the
+threshold is set on the same whole texts.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, tidy
+from .common import as_bytes, cut, tidy
 
 WINDOW, STRIDE = 64, 48
 WORD_BUCKETS, TRIGRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 13, 12, 8, 8
-#: Labelled rows that training takes of either class, and windows of each.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 4000, 6
+#: Labelled rows that training takes of either class, and characters that these have together at most.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 30_000_000
 EPOCHS, BATCH, RATE, SEED = 6, 100, 0.02, 7
 #: Words that a worker remembers the inputs of.
 MEMO = 1 << 17
@@ -62,11 +63,11 @@ def _sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def inputs(m: dict, vocab: list[bytes]) -> tuple[np.ndarray, tuple]:
-    ids = word_ids(vocab)
+def inputs(m: dict, ids: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, numbers of trigrams) of the words that word_ids gave."""
     lengths = np.diff(np.append(ids[2], len(ids[1])))
     chars = np.add.reduceat(m["trigram"][ids[1]], ids[2], axis=0) / lengths[:, None].astype(np.float32)
-    return np.concatenate([m["word"][ids[0]], chars], axis=1), (*ids, lengths)
+    return np.concatenate([m["word"][ids[0]], chars], axis=1), lengths
 
 
 def _run(m: dict, d: str, projected: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -116,8 +117,25 @@ def _frame(groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return at, lengths
 
 
-def _gradients(m: dict, vocab: list[bytes], groups: list[list[int]], owner: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
-    x, (wid, tid, tat, tlen) = inputs(m, vocab)
+def peaks(m: dict, table: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The highest window logit of each text, whose words are rows of table, and where that window lies."""
+    where = [(d, s, e) for d, ids in enumerate(texts) for s, e in windows(len(ids))]
+    where.sort(key=lambda w: w[2] - w[1])
+    best, place = np.full(len(texts), -np.inf), [(0, 0)] * len(texts)
+    for i in range(0, len(where), 512):
+        part = where[i : i + 512]
+        lengths = np.array([e - s for _, s, e in part], np.int64)
+        at = np.zeros((max(int(lengths.max()), 1), len(part)), np.int64)
+        for j, (d, s, e) in enumerate(part):
+            at[: e - s, j] = texts[d][s:e]
+        for (d, s, e), z in zip(part, logits(m, table, at, lengths).tolist()):
+            if z > best[d]:
+                best[d], place[d] = z, (s, e)
+    return best, place
+
+
+def _gradients(m: dict, ids: tuple, groups: list[list[int]], owner: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
+    (wid, tid, _), (x, tlen) = ids, inputs(m, ids)
     table = project(m, x)
     at, lengths = _frame(groups)
     mask = (np.arange(len(at))[:, None] < lengths[None, :]).astype(np.float32)[:, :, None]
@@ -168,28 +186,48 @@ def _gradients(m: dict, vocab: list[bytes], groups: list[list[int]], owner: np.n
     return g
 
 
-def train(docs: list[tuple[list[list[bytes]], int]]) -> dict[str, np.ndarray]:
-    """A model from (windows of words, label) rows; without rows of both classes it scores all texts below one half."""
+class Lesson:
+    """Training texts as places in a list of their distinct words, whose buckets are computed once."""
+
+    def __init__(self, docs: list[tuple[list[bytes], int]]):
+        at: dict[bytes, int] = {b".": 0}
+        self.texts = [np.fromiter((at.setdefault(w, len(at)) for w in ws), np.int32, len(ws)) for ws, _ in docs]
+        self.labels = np.array([y for _, y in docs], np.int64)
+        self._ids = word_ids(list(at))
+
+    def part(self, rows: np.ndarray) -> tuple[tuple, list[np.ndarray]]:
+        """The word ids of some texts, and these with their words as places in them."""
+        own = [self.texts[i] for i in rows]
+        used, at = np.unique(np.concatenate([[0], *own]).astype(np.int64), return_inverse=True)
+        wid, tid, tat = self._ids
+        lengths = np.diff(np.append(tat, len(tid)))[used]
+        begin = np.cumsum(lengths) - lengths
+        ids = wid[used], tid[np.repeat(tat[used] - begin, lengths) + np.arange(lengths.sum())], begin
+        return ids, np.split(at[1:], np.cumsum([len(x) for x in own])[:-1])
+
+
+def train(docs: list[tuple[list[bytes], int]]) -> dict[str, np.ndarray]:
+    """A model from (words, label) rows; without rows of both classes it scores all texts below one half."""
     m = new_model()
     positive = sum(y for _, y in docs)
     if not 0 < positive < len(docs):
         m["out"][:] = 0
         m["out_b"][:] = -1
         return m
-    balance = {1: len(docs) / 2 / positive, 0: len(docs) / 2 / (len(docs) - positive)}
+    lesson = Lesson(docs)
+    balance = np.array([len(docs) / 2 / (len(docs) - positive), len(docs) / 2 / positive])
     rng = np.random.default_rng(SEED)
     first, second = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
     step, total = 0, max(60, EPOCHS * -(-len(docs) // BATCH))
     while step < total:
         order = rng.permutation(len(docs))
         for i in range(0, len(docs), BATCH):
-            part = [docs[j] for j in order[i : i + BATCH]]
-            at: dict[bytes, int] = {b".": 0}
-            groups = [[at.setdefault(w, len(at)) for w in ws] for wins, _ in part for ws in wins]
-            owner = np.repeat(np.arange(len(part)), [len(wins) for wins, _ in part])
-            labels = np.array([y for _, y in part], np.float32)
-            weights = np.array([balance[y] for _, y in part], np.float32) / len(part)
-            g = _gradients(m, list(at), groups, owner, labels, weights)
+            rows = order[i : i + BATCH]
+            ids, texts = lesson.part(rows)
+            place = peaks(m, project(m, inputs(m, ids)[0]), texts)[1]
+            groups = [t[s:e].tolist() for t, (s, e) in zip(texts, place)]
+            labels = lesson.labels[rows]
+            g = _gradients(m, ids, groups, np.arange(len(rows)), labels.astype(np.float32), (balance[labels] / len(rows)).astype(np.float32))
             step += 1
             rate = RATE * min(1, 2 * (1 - (step - 1) / total))
             for k, v in g.items():
@@ -198,29 +236,31 @@ def train(docs: list[tuple[list[list[bytes]], int]]) -> dict[str, np.ndarray]:
                 m[k] -= (rate / (1 - 0.9**step) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             if step == total:
                 break
-    return _centred(m, docs)
+    return _centred(m, lesson)
 
 
-def _centred(m: dict, docs: list[tuple[list[list[bytes]], int]]) -> dict[str, np.ndarray]:
+def _centred(m: dict, lesson: Lesson) -> dict[str, np.ndarray]:
     """Moves the output so that one half lies midway between the classes: between the documents of either that come nearest to the other, but for a few."""
-    scorer, best = Scorer(m), {0: [], 1: []}
-    for i in range(0, len(docs), 256):
-        part = docs[i : i + 256]
-        joined = [b" ".join(w for ws in wins for w in ws) for wins, _ in part]
-        for (_, y), z in zip(part, scorer.logits_of(joined)):
-            best[y].append(z)
-    low, high = np.quantile(best[1], 0.01), np.quantile(best[0], 0.999)
+    every = []
+    for i in range(0, len(lesson.texts), 256):
+        ids, texts = lesson.part(np.arange(i, min(i + 256, len(lesson.texts))))
+        every.append(peaks(m, project(m, inputs(m, ids)[0]), texts)[0])
+    best = np.concatenate(every)
+    bad, good = best[lesson.labels == 1], best[lesson.labels == 0]
+    low, high = np.quantile(bad, 0.01), np.quantile(good, 0.999)
     if low <= high:
-        marks = np.unique(np.quantile(best[0] + best[1], np.linspace(0, 1, 400)))
-        wrong = [np.mean(np.array(best[1]) < c) + np.mean(np.array(best[0]) >= c) for c in marks]
+        marks = np.unique(np.quantile(best, np.linspace(0, 1, 400)))
+        wrong = [np.mean(bad < c) + np.mean(good >= c) for c in marks]
         low = high = marks[int(np.argmin(wrong))]
     return m | {"out_b": m["out_b"] - np.float32((low + high) / 2)}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> list[tuple[list[list[bytes]], int]]:
-    """At most `rows` rows of either class, those with the lowest hashes, with at most SAMPLE_WINDOWS windows each.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[list[bytes], int]]:
+    """(words, label) of at most `rows` rows of either class: those with the lowest hashes, as long as they have `chars` characters together.
 
-    An id labelled more than once counts as toxic if any of its labels is; null ids, labels and texts teach nothing.
+    Texts are whole. A row that would go beyond the characters is passed over, the next ones are not. An id labelled
+    more than once counts as toxic if any of its labels is; of rows that repeat an id one teaches, the text with the
+    lowest hash; null ids, labels and texts teach nothing.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -232,23 +272,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         part = known.where(((F.col("y") > 0).cast("int") == c) & F.col("id").isNotNull() & (F.shiftrightunsigned(F.xxhash64("id"), 44) < share))
         part = part.orderBy(F.xxhash64("id"), "id").limit(rows)
         lowest = part if lowest is None else lowest.unionByName(part)
-
-    def sample(batches):
-        for b in batches:
-            out = []
-            for text in as_bytes(b.column(2)):
-                ws = words(text)
-                wins = windows(len(ws))
-                if len(wins) > SAMPLE_WINDOWS:
-                    pick = np.random.default_rng(len(ws)).choice(len(wins), SAMPLE_WINDOWS, replace=False)
-                    wins = [wins[i] for i in sorted(pick)]
-                out.append("\n".join(b" ".join(ws[s:e]).decode("utf-8", "replace") for s, e in wins))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "y", "wins"])
-
-    taken = own.where("text is not null").join(F.broadcast(lowest), "id").select("id", "y", "text").mapInArrow(tidy(sample), "id long, y int, wins string")
-    got = sorted((r.id, r.y, r.wins) for r in taken.collect())
-    same: dict[bytes, bytes] = {}  # equal words are one object on the driver
-    return [([[same.setdefault(x, x) for x in w.encode().split()] for w in wins.split("\n")], int(y > 0)) for _, y, wins in got]
+    taken = own.where("text is not null").join(F.broadcast(lowest), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    taken = cut(taken.select("id", "y", F.col("t.text").alias("text"), F.length("t.text").cast("long").alias("n")), "lesson")
+    held, use = {0: 0, 1: 0}, []
+    for r in taken.select("id", "y", "n", F.xxhash64("id").alias("h")).orderBy("h", "id").collect():
+        c = int(r.y > 0)
+        if held[c] + r.n <= chars:
+            held[c] += r.n
+            use.append((r.id, c))
+    fits = docs.sparkSession.createDataFrame(use, "id long, c int")
+    got = taken.join(F.broadcast(fits), "id").select("id", "c", "text").toArrow()
+    order = np.argsort(got.column(0).to_numpy(), kind="stable")
+    label, text = got.column(1).to_numpy(), as_bytes(got.column(2).combine_chunks())
+    return [(words(text[i]), int(label[i])) for i in order]
 
 
 class Scorer:
@@ -270,7 +306,7 @@ class Scorer:
             self._table = grown
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
-            self._table[self._used : self._used + len(part)] = project(self._m, inputs(self._m, part)[0])
+            self._table[self._used : self._used + len(part)] = project(self._m, inputs(self._m, word_ids(part))[0])
             self._at.update(zip(part, range(self._used, self._used + len(part))))
             self._used += len(part)
 
@@ -288,17 +324,7 @@ class Scorer:
             self._learn([b"."])
         get = self._at.__getitem__
         flat = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in split]
-        where = [(d, s, e) for d, ids in enumerate(flat) for s, e in windows(len(ids))]
-        where.sort(key=lambda w: w[2] - w[1])
-        best = np.full(len(texts), -np.inf)
-        for i in range(0, len(where), 512):
-            part = where[i : i + 512]
-            lengths = np.array([e - s for _, s, e in part], np.int64)
-            at = np.zeros((max(int(lengths.max()), 1), len(part)), np.int64)
-            for j, (d, s, e) in enumerate(part):
-                at[: e - s, j] = flat[d][s:e]
-            np.maximum.at(best, [d for d, _, _ in part], logits(self._m, self._table, at, lengths))
-        return best
+        return peaks(self._m, self._table, flat)[0]
 
 
 def _scored(model: dict, batches, text_at: int):

@@ -10,10 +10,10 @@ from quernstone.llm.queries import QUERIES
 def test_gradients_are_the_slopes():
     m = {k: v.astype(np.float64) for k, v in toxicity.new_model().items()}
     vocab = [b".", b"aa", b"bcd", b"e"]
-    args = (vocab, [[1, 2, 3, 1], [2, 2], [3]], np.array([0, 0, 1]), np.array([1.0, 0.0]), np.array([0.5, 0.5]))
+    args = (toxicity.word_ids(vocab), [[1, 2, 3, 1], [2, 2], [3]], np.array([0, 0, 1]), np.array([1.0, 0.0]), np.array([0.5, 0.5]))
 
     def loss():
-        table = toxicity.project(m, toxicity.inputs(m, vocab)[0])
+        table = toxicity.project(m, toxicity.inputs(m, args[0])[0])
         at, lengths = toxicity._frame(args[1])
         z = toxicity.logits(m, table, at, lengths)
         z = np.array([max(z[0], z[1]), z[2]])
@@ -64,6 +64,53 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_score_like_brute_force():
+    """Every window of a text by the formulas, one word and one gate at a time."""
+    rng = np.random.default_rng(5)
+    m = {k: v.astype(np.float64) + rng.normal(0, 0.2, v.shape) for k, v in toxicity.new_model().items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    H = toxicity.HIDDEN
+
+    def word(w):
+        code = lambda t: ((((t[0] << 16) | (t[1] << 8) | t[2]) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 40) % toxicity.TRIGRAM_BUCKETS
+        own = b"<" + w + b">"
+        return np.concatenate([m["word"][zlib.crc32(w) % toxicity.WORD_BUCKETS], np.mean([m["trigram"][code(own[i : i + 3])] for i in range(len(w))], axis=0)])
+
+    def direction(d, xs):
+        h, out = np.zeros(H), []
+        for x in xs:
+            p, u = x @ m[f"x_{d}"] + m[f"b_{d}"], h @ m[f"h_{d}"]
+            z, r = sig(p[:H] + u[:H]), sig(p[H : 2 * H] + u[H : 2 * H])
+            n = np.tanh(p[2 * H :] + r * u[2 * H :])
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out
+
+    def window(ws):
+        xs = [word(w) for w in ws]
+        states = np.concatenate([direction("f", xs), direction("b", xs[::-1])[::-1]], axis=1)
+        a = np.exp(np.tanh(states @ m["att"] + m["att_b"]) @ m["att_v"])
+        return (a / a.sum()) @ states @ m["out"] + m["out_b"][0]
+
+    texts = [" ".join(rng.choice(["ab", "cde", "Fool!", "été", "z"], n)) for n in (1, 5, 64, 65, 200)]
+    want = []
+    for t in texts:
+        ws = toxicity.words(t.encode())
+        starts = range(0, max(len(ws) - 16, 1), 48)
+        want.append(max(sig(window(ws[s : s + 64])) for s in starts))
+    got = toxicity.Scorer({k: v.astype(np.float32) for k, v in m.items()}).scores([t.encode() for t in texts])
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_lessons_are_bounded_and_whole(spark):
+    docs = spark.createDataFrame([(i, "w " * (10 * i)) for i in range(1, 40)] + [(3, "other text")] * 50 + [(50, "x " * 90_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] + [(50, 1), (3, 1)], "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic")
+    assert len(every) == 40 and max(len(ws) for ws, _ in every) == 90_000
+    few = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", rows=8, chars=2000)
+    assert len(few) <= 16 and all(sum(2 * len(ws) for ws, y in few if y == c) <= 2000 for c in (0, 1)) and few
+
+
 def test_query(spark):
     import duckdb
 
