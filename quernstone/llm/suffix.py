@@ -253,7 +253,8 @@ def _matches(batches):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start_word, end_word, n_words, partner_id), one for each stretch of a document that repeats.
 
-    A stretch is a union of overlapping passages of LEAST words or more that another row has too; end_word is
+    A stretch is a union of overlapping passages of LEAST words or more that another row has too, and passages
+    that only touch are two; end_word is
     exclusive; partner_id is the smallest id that a passage in it was matched with. Words are those that ASCII
     blanks part, in ASCII lower case. Null, empty and shorter texts have none; a null id stays null; repeated rows
     match each other; repetition inside one row doesn't count. An empty table gives an empty one; other columns
@@ -275,7 +276,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = found.where("h is null").select(*names).unionByName(met.select(*names))
     by = Window.partitionBy("row").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    marked = spans.withColumn("new", F.coalesce((F.col("start") >= before).cast("int"), F.lit(1)))
     marked = marked.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy("row", "island").agg(F.first("id").alias("doc_id"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("partner").alias("partner_id"))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "partner_id")
