@@ -70,30 +70,44 @@ def mix(docs: DataFrame, path: dict[str, Column], weights: Sequence[Column], num
 
     The budget is numerator / denominator of all tokens. Null names in the path are empty ones; null
     texts have no tokens; a leaf without tokens takes none of its documents. Rows that repeat are taken each
-    for itself. Whole-number division may leave a few tokens of a budget undealt, fewer than a node has children.
+    for itself, also where a prefix ends among equal rows. Rows that share id and tokens are ordered by a hash of all
+    columns. Columns of docs that have the names of the three new ones are replaced; other names may be anything.
+    Whole-number division may leave a few tokens of a budget undealt, fewer than a node has children.
     """
-    names = list(path)
+    names, kept = list(path), [c for c in docs.columns if c not in ("__path", "__tokens", "__epoch")]
     own = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in path.items()]
-    rows = docs.withColumn("__path", F.struct(*own)).withColumn("__tokens", tokens(F.col(text_col)))
+    # the caller's columns travel in one struct, so that no name of theirs can clash
+    every = F.xxhash64(*[F.col(c).cast("string") for c in kept])
+    rows = docs.select(F.struct(*own).alias("__path"), tokens(F.col(text_col)).alias("__tokens"), F.col(id_col).alias("__id"), every.alias("__all"), F.struct(*kept).alias("__row"))
     sizes = rows.groupBy(*[F.col("__path")[n].alias(n) for n in names]).agg(F.sum("__tokens").alias("size"))
     plan = budgets(sizes, names, weights, numerator, denominator, epochs).where("size > 0")
     plan = cut(plan.select(F.struct(*names).alias("__path"), F.expr("budget div size").alias("whole"), F.expr("budget % size").alias("rest")), "budgets")
     # few leaves go to all tasks; many are joined by shuffling, where adaptive execution splits hot ones
     small = plan.count() <= BROADCAST_LEAVES
     to_all = F.broadcast if small else (lambda df: df)
-    keyed = rows.select("__path", F.col(id_col).alias("id"), F.col("__tokens").alias("n")).join(to_all(plan), "__path").where("rest > 0")
+    keyed = rows.select("__path", F.col("__id").alias("id"), F.col("__tokens").alias("n"), F.col("__all").alias("h")).join(to_all(plan), "__path").where("rest > 0")
     keyed = keyed.withColumn("at", place(seed, F.col("whole"), F.col("id"))).withColumn("slice", F.substring("at", 1, SLICE))
     sums = keyed.groupBy("__path", "slice").agg(F.sum("n").alias("own"))
     before = Window.partitionBy("__path").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select("__path", "slice", (F.sum("own").over(before) - F.col("own")).alias("before"))
-    inside = Window.partitionBy("__path", "slice").orderBy("at", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    upto = keyed.join(sums, ["__path", "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    last = upto.where("upto <= rest").groupBy("__path").agg(F.max(F.struct("at", "id", "n")).alias("last"))
-    plan = plan.join(last, "__path", "left").select("__path", F.struct("whole", "last").alias("__plan"))
-    at = F.struct(place(seed, F.col("__plan.whole"), F.col(id_col)).alias("at"), F.col(id_col).alias("id"), F.col("__tokens").alias("n"))
-    count = F.col("__plan.whole") + F.coalesce((at <= F.col("__plan.last")).cast("long"), F.lit(0))
-    each = F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("__epoch")
-    return rows.join(to_all(plan), "__path").where(count > 0).select(*[F.col(c) for c in docs.columns], "__path", "__tokens", each)
+    by = Window.partitionBy("__path", "slice").orderBy("at", "id", "n", "h")
+    upto = keyed.join(sums, ["__path", "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = upto.withColumn("nth", F.row_number().over(by) - F.rank().over(by) + 1).withColumn("there", F.count("*").over(by.rangeBetween(Window.currentRow, Window.currentRow)))
+    last = upto.where("upto <= rest").groupBy("__path").agg(F.max(F.struct("at", "id", "n", "h", "nth", "there")).alias("last"))
+    plan = cut(plan.join(last, "__path", "left").select("__path", "whole", "last"), "prefixes")
+    torn = plan.where("last.nth < last.there").count() > 0
+    key = lambda s: F.struct(*[s[x].alias(x) for x in ("at", "id", "n", "h")])
+    at = F.struct(place(seed, F.col("whole"), F.col("__id")).alias("at"), F.col("__id").alias("id"), F.col("__tokens").alias("n"), F.col("__all").alias("h"))
+    taken = rows.join(to_all(plan), "__path").withColumn("__at", at)
+    split = F.coalesce((F.col("__at") == key(F.col("last"))) & (F.col("last.nth") < F.col("last.there")), F.lit(False))
+    count = F.col("whole") + F.coalesce((F.col("__at") <= key(F.col("last"))).cast("long"), F.lit(0))
+    out = taken.where(~split & (count > 0)).select("__row", "__path", "__tokens", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("__epoch"))
+    if torn:  # a prefix ends among rows that are equal in all columns: as many of them as fit have one epoch more
+        same = taken.where(split).groupBy("__path").agg(*[F.first(c).alias(c) for c in ("__row", "__tokens", "whole", "last")])
+        same = same.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last.there"))))
+        count = F.col("whole") + (F.col("i") <= F.col("last.nth")).cast("long")
+        out = out.unionByName(same.where(count > 0).select("__row", "__path", "__tokens", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("__epoch")))
+    return out.select("__row.*", "__path", "__tokens", "__epoch")
 
 
 #: The tree of the tables here: sources by number make up domains.

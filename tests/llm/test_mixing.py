@@ -31,3 +31,23 @@ def test_prefix_epochs_and_odd_rows(spark):
         assert all(used[k] <= epochs * sizes[k] for k in used) and sum(used.values()) <= total
         assert used["zz"] == 0 and used[""] == epochs * sizes[""] and used["en"] == epochs * sizes["en"] or epochs == 3
     assert mixing.mix(df2.limit(0), path, [F.lit(1), F.lit(1)], 1, 2).count() == 0
+
+
+def test_a_prefix_that_ends_among_equal_rows(spark):
+    schema = "doc_id long, text string, source string"
+    rows = [(1, "a b", "s")] * 4
+    got = mixing.mix(spark.createDataFrame(rows, schema), {"source": F.col("source")}, [F.lit(1)], 1, 2, epochs=1, seed=3).collect()
+    assert [(r.doc_id, r["__epoch"]) for r in got] == [(1, 1), (1, 1)]
+    got = mixing.mix(spark.createDataFrame(rows, schema), {"source": F.col("source")}, [F.lit(1)], 3, 2, epochs=2, seed=3).collect()
+    assert Counter(r["__epoch"] for r in got) == {1: 4, 2: 2}
+    rows = [(i % 5 if i % 7 else None, "a b" if i % 2 else "c d", f"s{i % 3}") for i in range(90)]
+    for numerator in range(1, 12):
+        got = mixing.mix(spark.createDataFrame(rows, schema), {"source": F.col("source")}, [F.lit(1)], numerator, 12, epochs=1, seed=5).collect()
+        used = Counter(r["__path"].source for r in got)
+        assert all(abs(2 * n - 180 * numerator / 36) < 3 and 2 * n <= 180 * numerator / 36 for n in used.values()) and sum(used.values()) >= 90 * numerator // 12 - 5
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 1, 2, 3, 4, {"k": i}) for i in range(20)], "doc_id long, text string, __path string, __tokens int, __plan int, __id int, __all int, __row map<string,int>")
+    got = mixing.mix(df, {"source": F.col("__path")}, [F.lit(1)], 1, 2).collect()
+    assert len(got) == 10 and all(r["__tokens"] == 3 and r["__path"].source == "s" and r["__row"] == {"k": r.doc_id} and r["__id"] == 2 + 1 for r in got)
