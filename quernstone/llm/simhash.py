@@ -21,8 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, cut, loose, tidy, words_of
 from .components import components
@@ -149,6 +151,35 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return variants.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(link), "src long, dst long").distinct()
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component of linked texts, with all its columns: the one with the smallest id, of equal ids that with the smallest fingerprint, of these the first written.
+
+    Rows are told apart by where they stand, not by their ids, so of rows that repeat one stays, and texts that share
+    an id are decided each for itself. A null id comes after all others. Null and empty texts have fingerprint zero.
+    An empty table gives an empty one. Columns may have any names and types.
+    """
+    at = docs.columns.index(text_col)
+
+    def each(batches):
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                fps = np.array([fingerprint(t) for t in as_bytes(part.column(at))], np.uint64).view(np.int64)
+                whole = pa.StructArray.from_arrays(part.columns, part.schema.names)
+                yield pa.record_batch([whole, pa.array(fps), pa.array(np.arange(row, row + len(fps)))], ["doc", "fp", "row"])
+                row += len(fps)
+
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())])
+    made = cut(docs.mapInArrow(tidy(each), schema), "fingerprinted")
+    roots = components(fingerprint_links(made.select("fp"))).select(F.col("node").alias("fp"), "root")
+    own = F.col("doc")[id_col]
+    firsts = made.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("no"), own.cast("long").alias("id"), "fp", "row")).alias("first"))
+    firsts = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = cut(firsts.select(F.col("first.row").alias("row")), "stay")
+    return made.join(stay.select(loose("row")), "row", "left_semi").select("doc.*")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of docs.
 

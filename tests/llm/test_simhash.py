@@ -56,3 +56,12 @@ def test_documents(spark):
     h = spark.sql("select lower(hex(xxhash64('uno dos'))) h").first().h
     assert by[3][0] == h.zfill(16)
     assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(1, "t t t"), (1, "t t t"), (2, "t t t"), (2, "u v w x"), (None, "t t t"), (None, "only here once"), (None, "only here once"), (7, None), (8, ""), (3, "T t  t")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "t t t"), ("2", "u v w x"), ("7", None), ("None", "only here once")]
+    assert simhash.keep_first(df.limit(0)).count() == 0
