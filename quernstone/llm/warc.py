@@ -4,8 +4,9 @@ Pages are sorted inside each partition by URL key, timestamp and id, and written
 records with a run of index lines beside them, in the same order. Splitters from a thinned sample of
 the runs' keys cut the key space into ranges, so that a key with very many captures is cut too. One
 task merges one range: a loser tree over the runs, each opened at the place that its sparse index
-gives. What the tree puts out is the global capture history; records are read from the archives as
-they come up, which is in the order in which they lie there.
+gives. More than FAN_IN runs are merged in several passes through files in the shared folder. What the
+last tree puts out is the global capture history; records are read from the archives as they come up,
+which is in the order in which they lie there, through a pool of HANDLES open archives.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import uuid
 from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
@@ -28,6 +31,8 @@ from .common import cut, new_path
 TIMESTAMP = "20240101000000"
 #: Index lines between two entries of a run's sparse index; keys sampled for splitters; bytes of an archive.
 SPARSE, SAMPLED, ARCHIVE_BYTES = 128, 4096, 1 << 30
+#: Runs that a tree merges at once, archives that a task holds open, repeated digests that a broadcast may hold.
+FAN_IN, HANDLES, BROADCAST_DIGESTS = 64, 64, 1_000_000
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -122,9 +127,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     files.append(f"{name}-{len(files)}.warc.gz")
                     out = fs.open_output_stream(files[-1], compression=None)
                     index = index or fs.open_output_stream(f"{name}.cdx")
-                kind = "response" if page is None or first == page else "revisit"
+                kind = "response" if page is None or first is None or first == page else "revisit"
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                raw = gzip.compress(record(kind, page, url or "", stamp, (payload or "").encode(), digest, first), 1, mtime=0)
+                raw = gzip.compress(record(kind, page, url or "", stamp, (payload or "").encode(), digest, first if kind == "revisit" else None), 1, mtime=0)
                 if n % SPARSE == 0:
                     sparse.append((key, stamp, page if page is not None else -(1 << 62), place))
                 line = f"{key}\t{stamp}\t{'' if page is None else page}\t{len(files) - 1}\t{out.tell()}\t{len(raw)}\n".encode()
@@ -159,6 +164,31 @@ def _lines(fs, run: str, at: int, low: tuple | None, high: tuple | None) -> Iter
                     yield entry
 
 
+def _in_passes(fs, top: str, runs: list[Iterator[tuple]], made: list[str]) -> Iterator[tuple]:
+    """The runs' entries in order, FAN_IN of them at a time; intermediate files are added to made."""
+
+    def again(path: str) -> Iterator[tuple]:
+        with fs.open_input_stream(path, compression=None) as f:
+            rest = b""
+            while block := f.read(1 << 16):
+                *lines, rest = (rest + block).split(b"\n")
+                for line in lines:
+                    key, stamp, *numbers = line.split(b"\t")
+                    yield (key, stamp, *map(int, numbers))
+
+    while len(runs) > FAN_IN:
+        merged = []
+        for i in range(0, len(runs), FAN_IN):
+            path = f"{top}/merge-{uuid.uuid4().hex}"
+            made.append(path)
+            with fs.open_output_stream(path, compression=None) as out:
+                for key, stamp, *numbers in LoserTree(runs[i : i + FAN_IN]):
+                    out.write(b"\t".join([key, stamp, *(b"%d" % n for n in numbers)]) + b"\n")
+            merged.append(again(path))
+        runs = merged
+    yield from LoserTree(runs)
+
+
 def merge(runs: DataFrame, folder: str, ranges: int) -> DataFrame:
     """All captures of the runs in global order (part, seq), with what their records say."""
     entries = runs.select(F.explode(F.arrays_zip("keys", "stamps", "pages")).alias("e"))
@@ -179,20 +209,28 @@ def merge(runs: DataFrame, folder: str, ranges: int) -> DataFrame:
     names = ["part", "seq", "url_key", "stamp", "page_id", "archive", "offset", "length", "record_type", "payload_digest", "payload_bytes", "refers_to"]
     schema = "part int, seq long, url_key string, stamp string, page_id long, archive string, offset long, length long, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
-    def one(fs, part: int, opened: list[tuple[str, list[str], int]]):
+    def one(fs, top: str, part: int, opened: list[tuple[str, list[str], int]]):
         low, high = cuts[part - 1] if part else None, cuts[part] if part < len(cuts) else None
-        handles: dict[str, object] = {}
+        handles: OrderedDict[str, object] = OrderedDict()
+        made: list[str] = []
 
         def tagged(i, run, at):
             for e in _lines(fs, run, at, low, high):
                 yield (*e[:3], i, *e[3:])
 
+        def handle(path):
+            if path not in handles:
+                if len(handles) >= HANDLES:
+                    handles.popitem(last=False)[1].close()
+                handles[path] = fs.open_input_file(path)
+            handles.move_to_end(path)
+            return handles[path]
+
         try:
-            for seq, (key, stamp, page, i, file, offset, length) in enumerate(LoserTree(tagged(i, run, at) for i, (run, _, at) in enumerate(opened))):
+            entries = _in_passes(fs, top, [tagged(i, run, at) for i, (run, _, at) in enumerate(opened)], made)
+            for seq, (key, stamp, page, i, file, offset, length) in enumerate(entries):
                 path = opened[i][1][file]
-                if path not in handles:
-                    handles[path] = fs.open_input_file(path)
-                fields, http, payload = parse(gzip.decompress(handles[path].read_at(length, offset)))
+                fields, http, payload = parse(gzip.decompress(handle(path).read_at(length, offset)))
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(http["Content-Length"])
                 if fields["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
@@ -203,16 +241,18 @@ def merge(runs: DataFrame, folder: str, ranges: int) -> DataFrame:
         finally:
             for h in handles.values():
                 h.close()
+            for path in made:
+                fs.delete_file(path)
 
     def merged(batches):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, top = pafs.FileSystem.from_uri(folder)
         held: dict[int, list] = {}
         for b in batches:
             for r in b.to_pylist():
                 held.setdefault(r["part"], []).append((r["run"], r["files"], r["at"]))
         rows = []
         for part in sorted(held):
-            for row in one(fs, part, sorted(held[part])):
+            for row in one(fs, top, part, sorted(held[part])):
                 rows.append(row)
                 if len(rows) == 4096:
                     yield batch(rows)
@@ -240,9 +280,12 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     folder = folder or new_path(spark, "archives")
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), (stamp if stamp is not None else F.lit(TIMESTAMP)).alias("stamp"))
     own = own.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    firsts = own.where("id is not null").groupBy("sha").agg(F.min("id").alias("first")).select(F.concat("sha", F.lit("")).alias("sha"), "first")
+    # only digests that repeat need a look-up; while they are few, payloads aren't shuffled for them
+    firsts = own.where("id is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("same"), "first")
+    firsts = cut(firsts, "digests")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_DIGESTS else firsts
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = cut(write(own.join(firsts, "sha", "left").withColumn("key", url_key(F.col("url"))), folder), "runs")
+    runs = cut(write(own.join(firsts, F.col("sha") == F.col("same"), "left").withColumn("key", url_key(F.col("url"))), folder), "runs")
     return merge(runs, folder, ranges)
 
 

@@ -14,6 +14,21 @@ def test_loser_tree():
         assert list(warc.LoserTree(map(iter, runs))) == sorted(x for r in runs for x in r)
 
 
+def test_many_runs_merge_in_passes(tmp_path, monkeypatch):
+    import os
+
+    from pyarrow import fs
+
+    rng = random.Random(5)
+    runs = [sorted((b"key%d" % rng.randint(0, 9), b"2024", rng.randint(0, 99), r, 0, i, 1) for i in range(rng.randint(0, 40))) for r in range(23)]
+    for fan in (2, 3, 5, 64):
+        monkeypatch.setattr(warc, "FAN_IN", fan)
+        made: list[str] = []
+        got = list(warc._in_passes(fs.LocalFileSystem(), str(tmp_path), [iter(r) for r in runs], made))
+        assert got == sorted(e for r in runs for e in r)
+        assert bool(made) == (fan < 23) and all(map(os.path.exists, made))
+
+
 def test_round_trip(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, f"http://www.h{rng.randint(0, 5)}.example.com:80/a{rng.randint(0, 30)}?q#f", rng.choice(["<p>one</p>", f"<p>{i}é</p>", "", None, "x" * 300_000 if i == 7 else "y"]), 1) for i in range(900)]
