@@ -7,9 +7,10 @@ from the training documents by expectation-maximisation over the same lattices.
 words, so a document's marginal is a sum over its words, and each distinct word is computed once.
 
 A word that training saw also has an arc of its own across its whole lattice, with its frequency
-less a discount; what the discounts free weights the segmentations. Scores are kept for each class
-of training documents (their language, say), and a text's probability is the mixture over classes,
-which takes nothing but the text. Over all texts the probabilities sum to one at most.
+less a discount; what the discounts free weights the segmentations. The score without such arcs,
+of the pieces alone, stands beside it. Scores are kept for each class of training documents (their
+language, say), and a text's probability is the mixture over classes, which takes nothing but the
+text. Over all texts the probabilities sum to one at most.
 
 Counts are gathered from all training documents. A bounded number of the most frequent words is
 sent to all tasks; the others meet the documents that hold them in a join by word.
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, many, words_of
 
-#: Classes at most, the least frequent together in the last; rounds of estimation; what each word's count is less by.
+#: Parts of the mixture at most, the least frequent classes together in the last; rounds of estimation; what each word's count is less by.
 CLASSES, ROUNDS, DISCOUNT = 8, 3, 0.75
 #: Most frequent words that every task knows.
 FREQUENT = 1 << 17
 
-#: Longest piece, in bytes with the blank before a word, that the lattice uses.
-LONGEST = 16
+#: Words of more bytes are scored on their own, in stretches of bounded memory, and teach in parts of so many bytes.
+LONG = 2048
 _P = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
@@ -53,7 +54,7 @@ def vocabulary(path: str | None = None) -> list[bytes]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
             piece = sp.id_to_piece(i).replace("▁", " ").encode()
-            if b" " not in piece[1:] and len(piece) <= LONGEST:
+            if b" " not in piece[1:]:
                 pieces.add(piece)
     return sorted(pieces)
 
@@ -64,6 +65,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes]):
         self.n = len(pieces)
         keys, lengths = np.zeros(self.n, np.uint64), np.array([len(p) for p in pieces])
+        self.longest = int(lengths.max())
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             keys[at] = self._key(np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, n))
@@ -107,7 +109,7 @@ class Lattice:
         codes = rows.astype(np.uint64) + np.uint64(1)
         out = []
         with np.errstate(over="ignore"):
-            for n in range(1, min(LONGEST, rows.shape[1]) + 1):
+            for n in range(1, min(self.longest, rows.shape[1]) + 1):
                 h = h[:, : rows.shape[1] - n + 1] * _P + codes[:, n - 1 :]
                 out.append(self._find(h.ravel()).reshape(h.shape))
         return out
@@ -127,6 +129,25 @@ class Lattice:
             alpha[t] = self._sum([alpha[t - n] + s[n - 1][:, t - n] for n in range(1, min(t, len(s)) + 1)])
         return alpha, s
 
+    def whole(self, word: bytes, score: np.ndarray) -> np.ndarray:
+        """Log probability of one word, however long, in every class; score is (class, piece)."""
+        text, m, step = np.frombuffer(b" " + word, np.uint8), self.longest, 4096
+        kept = np.full((m + step, len(score)), -np.inf)
+        kept[m - 1] = 0
+        for lo in range(0, len(text), step):
+            hi, begin = min(lo + step, len(text)), max(0, lo - m + 1)
+            own = np.full((hi - lo, m, len(score)), -np.inf)
+            for n, ids in enumerate(self.arcs(text[None, begin:hi]), 1):
+                ends = begin + n + np.arange(ids.shape[1])
+                use = ends > lo
+                own[ends[use] - lo - 1, m - n] = score[:, ids[0, use]].T
+            for j in range(hi - lo):
+                x = kept[j : j + m] + own[j]
+                top = x.max(axis=0)
+                kept[m + j] = top + np.log(np.exp(x - top).sum(axis=0))
+            kept[:m] = kept[hi - lo : hi - lo + m].copy()
+        return kept[m - 1]
+
     def expected(self, arcs: list[np.ndarray], score: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """How often each piece is expected, over all segmentations of the words, each counted by its weight."""
         alpha, s = self.forward(arcs, score)
@@ -146,18 +167,18 @@ class Lattice:
         order = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
         for part in np.split(order, cuts):
-            size = max(1, min(block, 400_000 // (int(lengths[part[0]]) + 1))) if len(part) else 1
+            size = max(1, min(block, 200_000 // (int(lengths[part[0]]) + 1))) if len(part) else 1
             for i in range(0, len(part), size):
                 at = part[i : i + size]
                 yield at, np.frombuffer(b"".join(b" " + words[j] for j in at), np.uint8).reshape(len(at), -1)
 
 
-def _class_of(docs: DataFrame, train: Column, class_col: str | None) -> tuple[Column, list[int]]:
+def _class_of(docs: DataFrame, train: Column, class_col: str | None, classes: int) -> tuple[Column, list[int]]:
     """Class numbers, and how many training documents each class has."""
     if class_col is None:
         return F.lit(0), [docs.where(train).count()]
     by = docs.where(train).groupBy(F.col(class_col).cast("string").alias("k")).count()
-    top = by.where("k is not null").orderBy(F.desc("count"), "k").limit(CLASSES - 1).collect()
+    top = by.where("k is not null").orderBy(F.desc("count"), "k").limit(classes - 1).collect()
     total = by.agg(F.sum("count")).first()[0] or 0
     names = {r.k: i for i, r in enumerate(top)}
     column = F.lit(len(names))
@@ -196,6 +217,11 @@ def estimate(words: DataFrame, classes: int, pieces: list[bytes], rounds: int =
             for b in many(batches):
                 text = b.column(0).to_pylist()
                 counts = np.stack([np.asarray(b.column(k + 1)) for k in range(classes)]).astype(np.float64)
+                parts = [(w[i : i + LONG], j) for j, w in enumerate(text) if len(w) > LONG for i in range(0, len(w), LONG)]
+                if parts:
+                    short = [j for j, w in enumerate(text) if len(w) <= LONG]
+                    counts = counts[:, short + [j for _, j in parts]]
+                    text = [text[j] for j in short] + [p for p, _ in parts]
                 for at, rows in lattice.by_length(text):
                     arcs = lattice.arcs(rows)
                     for k in range(classes):
@@ -232,16 +258,18 @@ def _frequent_from(words: DataFrame) -> int:
     return least
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, vocabulary_path: str | None = None) -> DataFrame:
-    """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score), one for each row of docs.
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, vocabulary_path: str | None = None, classes: int = CLASSES) -> DataFrame:
+    """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score, lattice_score), one for each row of docs.
 
+    score has an arc across each word that training saw, lattice_score has the pieces' arcs only. The mixture has
+    `classes` parts at most; all documents of further classes teach its last part together.
     train marks the rows to learn from (null: learn). A null or empty text is its end token alone; a null id stays
     null; repeated rows count and score each for itself; without training rows the lattice has uniform scores.
     An empty table gives an empty one; other columns are read only if they are named.
     """
     spark = docs.sparkSession
     pieces = vocabulary(vocabulary_path)
-    cls, ends = _class_of(docs, F.coalesce(train, F.lit(True)), class_col)
+    cls, ends = _class_of(docs, F.coalesce(train, F.lit(True)), class_col, classes)
     used = [k for k, n in enumerate(ends) if n] or [0]
     ends = [ends[k] for k in used]
     number = F.coalesce(*[F.when(cls == k, F.lit(i)) for i, k in enumerate(used)], F.lit(0))
@@ -257,24 +285,34 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def value(batches):
         lattice = Lattice(pieces)
+        free = [math.log(1 - ends[k] / seen[k]) if seen[k] > ends[k] else 0.0 for k in range(kinds)]
         for b in many(batches):
             text = b.column(0).to_pylist()
             counts = np.stack([np.asarray(b.column(k + 1)) for k in range(kinds)]).astype(np.float64)
-            out = np.empty_like(counts)
-            for at, rows in lattice.by_length(text):
-                arcs = lattice.arcs(rows)
+            out = np.empty((2 * kinds, len(text)))
+
+            def put(k, at, pieced):
+                out[kinds + k, at] = (pieced + free[k]) / math.log(10)
+                if seen[k]:
+                    with np.errstate(divide="ignore"):
+                        pieced = np.logaddexp(np.log(np.maximum(counts[k, at] - DISCOUNT, 0)), math.log(DISCOUNT * max(kept[k], 1)) + pieced) - math.log(seen[k])
+                out[k, at] = pieced / math.log(10)
+
+            short = [j for j, w in enumerate(text) if len(w) <= LONG]
+            for own, rows in lattice.by_length([text[j] for j in short]):
+                at, arcs = np.array(short)[own], lattice.arcs(rows)
                 for k in range(kinds):
-                    whole = lattice.forward(arcs, sent.value[k])[0][-1]
-                    if seen[k]:
-                        with np.errstate(divide="ignore"):
-                            whole = np.logaddexp(np.log(np.maximum(counts[k, at] - DISCOUNT, 0)), math.log(DISCOUNT * max(kept[k], 1)) + whole) - math.log(seen[k])
-                    out[k, at] = whole / math.log(10)
-            yield pa.record_batch([b.column(0), pa.array(counts.sum(axis=0).astype(np.int64)), *map(pa.array, out)], ["word", "n", *(f"s{k}" for k in range(kinds))])
-
-    doubles = ", ".join(f"s{k} double" for k in range(kinds))
+                    put(k, at, lattice.forward(arcs, sent.value[k])[0][-1])
+            for j, w in enumerate(text):
+                if len(w) > LONG:
+                    for k, pieced in enumerate(lattice.whole(w, sent.value)):
+                        put(k, np.array([j]), np.array([pieced]))
+            yield pa.record_batch([b.column(0), pa.array(counts.sum(axis=0).astype(np.int64)), *map(pa.array, out)], ["word", "n", *(f"s{k}" for k in range(2 * kinds))])
+
+    doubles = ", ".join(f"s{k} double" for k in range(2 * kinds))
     valued = cut(words.mapInArrow(value, f"word binary, n long, {doubles}"), "valued")
     top = valued.where(_octave(F.col("n")) >= _frequent_from(valued)).toArrow()
-    least = spark.sparkContext.broadcast((top.column(0).to_pylist(), np.column_stack([top.column(i + 1).to_numpy() for i in range(kinds + 1)])))
+    least = spark.sparkContext.broadcast((top.column(0).to_pylist(), np.column_stack([top.column(i + 1).to_numpy() for i in range(2 * kinds + 1)])))
 
     def texts(batches):
         names, table = least.value
@@ -283,7 +321,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         with np.errstate(divide="ignore"):
             values = np.column_stack([np.log10(table[:, 0] + 0.5), table[:, 0] > 0, table[:, 1:]])
         values = np.vstack([values, np.zeros(values.shape[1])])
-        schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("base", pa.float64()), ("known", pa.float64()), *((f"s{k}", pa.float64()) for k in range(kinds))])
+        schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("base", pa.float64()), ("known", pa.float64()), *((f"s{k}", pa.float64()) for k in range(2 * kinds))])
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
@@ -306,19 +344,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 yield pa.record_batch([pa.array(row), pa.array([own[r] for r in row], pa.int64()), pa.array(word, pa.binary()), pa.array(n), *map(pa.array, np.array(sums).T)], schema=schema)
 
     found = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(texts, f"row long, id long, word binary, n long, base double, known double, {doubles}"), "found")
-    by_row = found.where("word is null").select("row", "id", "n", "base", "known", *[f"s{k}" for k in range(kinds)])
+    by_row = found.where("word is null").select("row", "id", "n", "base", "known", *[f"s{k}" for k in range(2 * kinds)])
     rare = found.where("word is not null").select("row", "word", F.col("n").alias("tf")).join(valued, "word")
     tf = F.col("tf")
-    rare = rare.groupBy("row").agg(F.sum(tf * F.log10(F.col("n") + 0.5)).alias("rb"), F.sum(F.when(F.col("n") > 0, tf).otherwise(0)).alias("rk"), *[F.sum(tf * F.col(f"s{k}")).alias(f"r{k}") for k in range(kinds)])
+    rare = rare.groupBy("row").agg(F.sum(tf * F.log10(F.col("n") + 0.5)).alias("rb"), F.sum(F.when(F.col("n") > 0, tf).otherwise(0)).alias("rk"), *[F.sum(tf * F.col(f"s{k}")).alias(f"r{k}") for k in range(2 * kinds)])
     both = by_row.join(rare, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     less = math.log10(n_all + 0.5 * (v_all + 1))
     base = F.col("base") + zero("rb") + math.log10(sum(ends) + 0.5) - (F.col("n") + 1) * less
     total = max(sum(ends), 1)
-    parts = [F.col(f"s{k}") + zero(f"r{k}") + (math.log10(max(ends[k], 1) / total) + (math.log10(ends[k] / seen[k]) if ends[k] else 0.0)) for k in range(kinds)]
-    best = F.greatest(*parts) if kinds > 1 else parts[0]
-    mixed = best + F.log10(sum((F.pow(F.lit(10.0), p - best) for p in parts), F.lit(0.0))) if kinds > 1 else best
+    prior = [math.log10(max(ends[k], 1) / total) + (math.log10(ends[k] / seen[k]) if ends[k] else 0.0) for k in range(kinds)]
+
+    def mixture(first: int) -> Column:
+        parts = [F.col(f"s{first + k}") + zero(f"r{first + k}") + prior[k] for k in range(kinds)]
+        best = F.greatest(*parts) if kinds > 1 else parts[0]
+        return best + F.log10(sum((F.pow(F.lit(10.0), p - best) for p in parts), F.lit(0.0))) if kinds > 1 else best
+
     return both.select(
         F.col("id").alias("doc_id"), (F.col("n") + 1).alias("n_tokens"), (F.col("known") + zero("rk") + int(sum(ends) > 0)).cast("long").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), mixed.alias("score"),
+        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), mixture(0).alias("score"), mixture(kinds).alias("lattice_score"),
     )

@@ -31,7 +31,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lattice.score(table(spark, sf_dir, "documents"), bucket(5) != 1, class_col="lang")
-    return got.select("doc_id", F.coalesce(bucket(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return got.select("doc_id", F.coalesce(bucket(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
