@@ -122,7 +122,10 @@ class Encoder:
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents, as postings by term."""
+    """BM25 over the token ids of a shard's documents, as postings by term; those of terms that many documents have are rows of a matrix.
+
+    It shrinks to the unused documents when half of those that it holds are used; weights stay those of the whole shard.
+    """
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = n = len(docs)
@@ -142,21 +145,50 @@ class Index:
         weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
         self._terms = terms
         self._own = np.searchsorted(owner, np.arange(n + 1))
+        self._held = np.arange(n)
+        common = np.flatnonzero(df > max(n // 8, 64))
+        self._row = np.full(top, -1, np.int32)
+        self._row[common] = np.arange(len(common))
+        row = self._row[terms]
+        self._dense = np.zeros((len(common), n), np.float32)
+        self._dense[row[row >= 0], owner[row >= 0]] = weight[row >= 0]
+        terms, owner, weight = terms[row < 0], owner[row < 0], weight[row < 0]
         order = np.argsort(terms, kind="stable")
         self._docs, self._post = owner[order], weight[order]
         self._at = np.searchsorted(terms[order], np.arange(top + 1))
 
-    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term, best first, ties to the earlier one."""
+    def _shrink(self, unused: np.ndarray) -> None:
+        keep = unused[self._held]
+        if len(keep) <= 64 or 2 * keep.sum() > len(keep):
+            return
+        stay = keep[self._docs]
+        self._docs, self._post = (np.cumsum(keep) - 1)[self._docs[stay]].astype(np.int32), self._post[stay]
+        self._at = np.append(0, np.cumsum(stay))[self._at]
+        self._dense, self._held = np.ascontiguousarray(self._dense[:, keep]), self._held[keep]
+
+    def ranking(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term, best first, ties to the earlier one; those that come far behind are only sorted when they are asked for."""
+        self._shrink(unused)
         terms = self._terms[self._own[doc] : self._own[doc + 1]]
         terms = terms[self._df[terms] > 1]
-        if not len(terms):
-            return terms
-        spans = [slice(s, e) for s, e in zip(self._at[terms].tolist(), self._at[terms + 1].tolist())]
-        score = np.bincount(np.concatenate([self._docs[x] for x in spans]), np.concatenate([self._post[x] for x in spans]), self.n)
-        score[~unused] = 0
+        row = self._row[terms]
+        rare = terms[row < 0]
+        spans = [slice(s, e) for s, e in zip(self._at[rare].tolist(), self._at[rare + 1].tolist())]
+        score = np.zeros(len(self._held))
+        if spans:
+            score += np.bincount(np.concatenate([self._docs[x] for x in spans]), np.concatenate([self._post[x] for x in spans]), len(score))
+        if len(rare) < len(terms):
+            has = np.zeros(len(self._dense), np.float32)
+            has[row[row >= 0]] = 1
+            score += has @ self._dense
+        score[~unused[self._held]] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        first = score[found] >= np.partition(score[found], -64)[-64] if len(found) > 64 else np.ones(len(found), bool)
+        for part in (found[first], found[~first]):
+            yield from self._held[part[np.argsort(-score[part], kind="stable")]].tolist()
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        return np.fromiter(self.ranking(doc, unused), np.int64)
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -170,7 +202,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
     unused = left > 0
     index = Index(docs)
     open_, room, seed, upto = [], window, None, 0
-    ranked: list[int] = []
+    ranked: Iterator[int] = iter(())
 
     def take(d: int) -> None:
         nonlocal room
@@ -195,13 +227,13 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
         if not open_:
             seed = nxt
             take(nxt)
-            ranked = index.neighbours(seed, unused).tolist() if room else []
+            ranked = index.ranking(seed, unused) if room else iter(())
         else:
             take(nxt)
         if not room:
             yield open_
             seed = open_[-1][0] if unused[open_[-1][0]] else None
-            open_, room, ranked = [], window, []
+            open_, room, ranked = [], window, iter(())
     rest = window - room
     while rest:
         size = 1 << (rest.bit_length() - 1)
@@ -216,32 +248,49 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
         yield part
 
 
+def _flat(ids: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column in a row, and where each document's begin."""
+    size = sizes[0].as_py()
+    at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
+    return np.frombuffer(ids.buffers()[2], f"<u{size}")[at[0] // size : at[-1] // size], (at - at[0]) // size
+
+
+def _terms(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, how often) of all ids of each document."""
+    keys = np.repeat(np.arange(len(at) - 1, dtype=np.uint64) << np.uint64(32), np.diff(at)) if flat.itemsize > 2 else np.repeat(np.arange(len(at) - 1, dtype=np.uint32) << np.uint32(16), np.diff(at))
+    bits = keys.dtype.type(4 * keys.itemsize)
+    keys |= flat
+    keys, tf = np.unique(keys, return_counts=True)
+    return (keys >> bits).astype(np.int64), (keys & keys.dtype.type((1 << int(bits)) - 1)).astype(np.int64), tf
+
+
 def _frequencies(encoded: DataFrame) -> dict[int, int]:
     """In how many documents each id is, over all of them, and under -1 how many there are; no more rows than the vocabulary has."""
 
     def each(batches):
-        held = np.zeros(0, np.int64)
-        docs = 0
+        held, docs = np.zeros(0, np.int64), 0
         for b in batches:
-            for raw, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.unique(np.frombuffer(raw, f"<u{size}"))
-                if len(ids) and ids[-1] >= len(held):
-                    held = np.concatenate([held, np.zeros(int(ids[-1]) + 1 - len(held), np.int64)])
-                held[ids] += 1
-                docs += 1
-        own = np.flatnonzero(held)
-        yield pa.record_batch([pa.array(np.append(own, -1)), pa.array(np.append(held[own], docs))], ["term", "n"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                own = np.bincount(_terms(*_flat(part.column(0), part.column(1)))[1], minlength=len(held))
+                own[: len(held)] += held
+                held, docs = own, docs + part.num_rows
+        terms = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(np.append(terms, -1)), pa.array(np.append(held[terms], docs))], ["term", "n"])
 
     rows = encoded.select("ids", "size").mapInArrow(tidy(each), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     return {r.term: r.n for r in rows}
 
 
-def heaviest(ids: np.ndarray, idf: np.ndarray) -> list[int]:
-    """The document's KEY_TERMS heaviest terms, in falling order; ids with no weight are in one document only."""
-    terms, tf = np.unique(ids, return_counts=True)
-    weight = idf[terms] * tf / (tf + K1)
-    order = np.argsort(-weight, kind="stable")[:KEY_TERMS]
-    return terms[order][weight[order] > 0].tolist()
+def heaviest(flat: np.ndarray, at: np.ndarray, idf: np.ndarray) -> pa.ListArray:
+    """Each document's KEY_TERMS heaviest terms, in falling order; terms of one document only have no weight and aren't among them."""
+    doc, term, tf = _terms(flat, at)
+    weight = (idf[term] * tf / (tf + K1)).astype(np.float32)
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(32)) | (np.uint32(0xFFFFFFFF) - weight.view(np.uint32)), kind="stable")
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    use = (place < KEY_TERMS) & (weight[order] > 0)
+    ends = np.append(0, np.cumsum(np.bincount(doc[use], minlength=len(at) - 1)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term[order][use], pa.int32()))
 
 
 def _placed(encoded: DataFrame) -> DataFrame:
@@ -255,8 +304,10 @@ def _placed(encoded: DataFrame) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            keys = [heaviest(np.frombuffer(raw, f"<u{size}"), sent.value) for raw, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.record_batch([*b.columns, pa.array(keys, pa.list_(pa.int32()))], ["id", "ids", "size", "terms"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                terms = heaviest(*_flat(part.column(1), part.column(2)), sent.value)
+                yield pa.record_batch([*part.columns, terms], ["id", "ids", "size", "terms"])
 
     placed = encoded.select("id", "ids", "size").mapInArrow(tidy(each), "id long, ids binary, size int, terms array<int>")
     return placed.withColumn("hash", F.xxhash64("id", "ids"))
@@ -279,9 +330,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                made = [np.append(ids, ids.dtype.type(end)) for ids in encode(as_bytes(part.column(1)))]
-                raw = [x.astype(x.dtype.newbyteorder("<")).tobytes() for x in made]
-                yield pa.record_batch([part.column(0), pa.array(raw, pa.binary()), pa.array([x.itemsize for x in made], pa.int32())], ["id", "ids", "size"])
+                made = encode(as_bytes(part.column(1)))
+                last = made[0].dtype.type(end).tobytes()
+                raw = [x.tobytes() + last for x in made]
+                yield pa.record_batch([part.column(0), pa.array(raw, pa.binary()), pa.array([len(last)] * len(made), pa.int32())], ["id", "ids", "size"])
 
     def packed(batches):
         number = TaskContext.get().partitionId() << 40
@@ -312,13 +364,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return pa.record_batch([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols)], names)
 
         for b in batches:
-            for i in range(b.num_rows):
-                raw, size = b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                own.append(b.column(0)[i].as_py())
-                shard.append(np.frombuffer(raw, f"<u{size}"))
-                tokens += len(shard[-1])
-                if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                    yield from flush()
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                flat, at = _flat(part.column(1), part.column(2))
+                flat = flat.copy()
+                for key, s, e in zip(part.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    own.append(key)
+                    shard.append(flat[s:e])
+                    tokens += e - s
+                    if len(shard) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
+                        yield from flush()
         if shard:
             yield from flush()
 

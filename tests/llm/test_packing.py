@@ -116,7 +116,7 @@ def greedy(docs, window):
 
 def test_windows_fill_like_brute_force():
     rng = np.random.default_rng(11)
-    for size in (1, 7, 60):
+    for size in (1, 7, 60, 130):
         docs = [np.append(rng.choice(40, rng.integers(0, 30), p=np.arange(1, 41) / 820), 2).astype(np.uint16) for _ in range(size)] + [np.full(70, 3, np.uint16)]
         want, last = greedy([d.tolist() for d in docs], 32)
         got = list(packing.pack_shard(docs, 32))
