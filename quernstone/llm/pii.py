@@ -250,35 +250,45 @@ def train(spark: SparkSession) -> Trees:
     return Trees(np.array([r[3] for r in got]), np.array([KINDS.index(r[1]) for r in got]), np.array([float(r[2]) for r in got]))
 
 
-def _found(docs: DataFrame, trees: Trees, text_col: str) -> DataFrame:
-    """Adds __base and __spans.
+def _own_names(docs: DataFrame) -> Callable[[str], str]:
+    """Names for columns in between that no column of docs has."""
+    start = "__"
+    while any(c.lower().startswith(start) for c in docs.columns):
+        start += "_"
+    return lambda name: start + name
+
+
+def _found(docs: DataFrame, trees: Trees, text_col: str) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: base spans and all spans.
 
     Base formats are looked for in the original text; the generators read what the base formats left.
     """
+    own = _own_names(docs)
+    o, t, p = own("o"), own("t"), own("p")
     cover = lambda x: F.repeat(F.lit(_COVER), F.length(x))
-    df = docs.withColumn("__o", F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, _OTHER))
-    df = df.withColumn("__t", F.col("__o"))
+    df = docs.withColumn(o, F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, _OTHER))
+    df = df.withColumn(t, F.col(o))
     for kind in KINDS:
-        df = df.withColumn("__p", _pieces(F.col("__t"), BASE[kind]))
-        df = df.withColumn("__t", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, base_test(k)), lambda g: _rebuilt(p, g, base_test(k), F.array_join(p, ""), cover))))
+        df = df.withColumn(p, _pieces(F.col(t), BASE[kind]))
+        df = df.withColumn(t, _let(F.col(p), lambda x, k=kind: _let(_good(x, base_test(k)), lambda g: _rebuilt(x, g, base_test(k), F.array_join(x, ""), cover))))
     for kind in KINDS:
-        df = df.withColumn("__p", _pieces(F.col("__t"), GENERATORS[kind]))
-        df = df.withColumn(f"__add_{kind}", _let(F.col("__p"), lambda p, k=kind: _let(_good(p, trees.test(k)), lambda g: _spans(p, g, KINDS.index(k)))))
+        df = df.withColumn(p, _pieces(F.col(t), GENERATORS[kind]))
+        df = df.withColumn(own(f"add_{kind}"), _let(F.col(p), lambda x, k=kind: _let(_good(x, trees.test(k)), lambda g: _spans(x, g, KINDS.index(k)))))
     for n, kind in enumerate(KINDS):
-        df = df.withColumn(f"__base_{kind}", _let(_pieces(F.col("__o"), BASE[kind]), lambda p, k=kind, n=n: _let(_good(p, base_test(k)), lambda g: _spans(p, g, n))))
-    base, added = [F.col(f"__base_{k}") for k in KINDS], [F.col(f"__add_{k}") for k in KINDS]
-    df = df.withColumn("__base", F.array_sort(F.concat(*base))).withColumn("__spans", F.array_sort(F.array_distinct(F.concat(*base, *added))))
-    return df.drop("__o", "__t", "__p", *[f"__{a}_{k}" for a in ("base", "add") for k in KINDS])
+        df = df.withColumn(own(f"base_{kind}"), _let(_pieces(F.col(o), BASE[kind]), lambda x, k=kind, n=n: _let(_good(x, base_test(k)), lambda g: _spans(x, g, n))))
+    base, added = [F.col(own(f"base_{k}")) for k in KINDS], [F.col(own(f"add_{k}")) for k in KINDS]
+    df = df.withColumn(own("base"), F.array_sort(F.concat(*base))).withColumn(own("spans"), F.array_sort(F.array_distinct(F.concat(*base, *added))))
+    return df.drop(o, t, p, *[own(f"{a}_{k}") for a in ("base", "add") for k in KINDS]), own("base"), own("spans")
 
 
 def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """docs with columns base and spans: arrays of (start, kind number, end), in order, in code points, end exclusive.
 
     A null or empty text has none. Rows are neither dropped nor joined, whatever they hold; columns of docs
-    named base or spans are replaced.
+    named base or spans are replaced, all others stay, whatever their names.
     """
-    df = _found(docs, trees, text_col)
-    return df.withColumn("base", F.col("__base")).withColumn("spans", F.col("__spans")).drop("__base", "__spans")
+    df, base, spans = _found(docs, trees, text_col)
+    return df.withColumn("base", F.col(base)).withColumn("spans", F.col(spans)).drop(base, spans)
 
 
 def listed(spans: str) -> Column:
@@ -328,7 +338,7 @@ def _masked(text: Column, spans: Column, chunk: int = 64) -> Column:
 
 def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """docs with each span that find() gives, overlapping ones united, replaced by its kind in brackets; a null text stays null."""
-    df = _found(docs, trees, text_col)
+    df, base, spans = _found(docs, trees, text_col)
     text = F.col(text_col)
-    masked = _let(F.col("__spans"), lambda spans: _let(_merged(spans), lambda merged: _masked(text, merged)))
-    return df.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__base", "__spans")
+    masked = _let(F.col(spans), lambda spans: _let(_merged(spans), lambda merged: _masked(text, merged)))
+    return df.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop(base, spans)

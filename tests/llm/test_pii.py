@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+import regex
 
 from quernstone.llm import pii
 
@@ -60,6 +61,59 @@ def test_base_spans_like_brute_force(spark, trees):
     assert pii.digest(pii.find(df.limit(0), trees)).count() == 0
 
 
+def candidate_features(s, before, after):
+    near, nxt, digits = before[-40:], after[:12], re.sub("[^0-9]", "", s)
+    small = all(int(x or 0) <= 255 for x in re.split("[^0-9]+", s))
+    has = lambda pattern, x: int(bool(regex.search(pattern, x)))
+    return [
+        len(s), len(digits), len(re.findall("[A-Za-z]", s)), int(bool(digits) and luhn(digits)), len(re.findall("[ ./-]", s)), int("(" in s), has(r"[\[({]at|[\[({]dot|\[\.\]", s), int(small),
+        len(re.split("[^0-9]+", s)), s.count(":"), *(has(pii._CONTEXT[k], near) for k in ("phone", "card", "email", "ip", "other")), has(r"[\p{L}0-9]$", near), has(r"^[\p{L}0-9]", nxt),
+        int(digits[0]) if digits else -1, len(re.findall("[0-9]", near)), len(set(digits)), has(" at | dot ", s),
+    ]
+
+
+def brute_spans(text, trees):
+    """Base spans, and candidates of what those leave that the trees pick, one tree after the other."""
+    t = text or ""
+    tests = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": lambda s: 12 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s)), "phone": lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15}
+    for kind, pattern in zip(pii.KINDS, (EMAIL, IP, CARD, PHONE)):
+        t = pattern.sub(lambda m, k=kind: pii._COVER * len(m[0]) if tests[k](m[0]) else m[0], t)
+    out = set(brute(text))
+    for k, kind in enumerate(pii.KINDS):
+        found = list(regex.finditer(pii.GENERATORS[kind], t))
+        for i, m in enumerate(found):
+            before = t[found[i - 1].end() if i else 0 : m.start()]
+            after = t[m.end() : found[i + 1].start() if i + 1 < len(found) else len(t)]
+            f = [*candidate_features(m[0], before, after), k]
+            score = 0.0
+            for asked, values in trees.trees:
+                leaf = 0
+                for j, c in asked:
+                    leaf = 2 * leaf + (f[j] > c)
+                score += values[leaf]
+            if score >= trees.limits[k]:
+                out.add((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_all_spans_like_brute_force(spark, trees):
+    import duckdb
+
+    texts = [t for t in TEXTS if not t or len(t) < 10_000] + [t for _, t, _ in pii._invented(seed=5, n=8)]
+    texts += [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(df, trees)).collect()}
+    want = [listed(brute_spans(t, trees)) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(w != listed(brute(t)) for w, t in zip(want, texts)) > 20
+
+
+def test_columns_of_any_name_stay(spark, trees):
+    df = spark.createDataFrame([(1, "mail x@y.zz", "o", "t", 3, "s")], "doc_id long, text string, __o string, __T string, __base int, ___spans string")
+    assert pii.redact(df, trees).collect() == [(1, "mail [EMAIL]", "o", "t", 3, "s")]
+    assert pii.find(df, trees).columns == [*df.columns, "base", "spans"]
+
+
 def test_redaction(spark, trees):
     df = spark.createDataFrame([(1, "mail x@y.zz or 1.2.3.4, +1 (743) 555-3824 end", "a"), (2, None, "b"), (3, "clean 12 text ", "c"), (None, "4465758382889437", None)], "doc_id long, text string, lang string")
     got = pii.redact(df, trees)
