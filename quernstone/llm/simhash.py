@@ -21,10 +21,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import as_bytes, cut, loose, tidy, words_of
 from .components import components
@@ -152,32 +150,35 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component of linked texts, with all its columns: the one with the smallest id, of equal ids that with the smallest fingerprint, of these the first written.
+    """One row of docs for each component of linked texts, with all its columns: the one with the smallest id, of equal ids that with the smallest fingerprint, then the smallest hash of its columns.
 
-    Rows are told apart by where they stand, not by their ids, so of rows that repeat one stays, and texts that share
-    an id are decided each for itself. A null id comes after all others. Null and empty texts have fingerprint zero.
-    An empty table gives an empty one. Columns may have any names and types.
+    A row is known by a 128-bit hash of all its columns, so texts that share an id are decided each for itself, and of
+    rows that are equal in all columns one stays. A null id comes after all others. Null and empty texts have
+    fingerprint zero. An empty table gives an empty one. Columns may have any names.
     """
-    at = docs.columns.index(text_col)
+    columns = [F.col(c).cast("string") for c in docs.columns]
+    key = F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
 
     def each(batches):
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                fps = np.array([fingerprint(t) for t in as_bytes(part.column(at))], np.uint64).view(np.int64)
-                whole = pa.StructArray.from_arrays(part.columns, part.schema.names)
-                yield pa.record_batch([whole, pa.array(fps), pa.array(np.arange(row, row + len(fps)))], ["doc", "fp", "row"])
-                row += len(fps)
-
-    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType())])
-    made = cut(docs.mapInArrow(tidy(each), schema), "fingerprinted")
+            fps = np.array([fingerprint(t) for i in range(0, b.num_rows, 512) for t in as_bytes(b.column(1).slice(i, 512))], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    made = cut(texts.mapInArrow(tidy(each), "id long, key struct<a:long,b:long>, fp long"), "fingerprinted")
+    rows = made.groupBy("key", "id", "fp").agg(F.count("*").alias("n"))
     roots = components(fingerprint_links(made.select("fp"))).select(F.col("node").alias("fp"), "root")
-    own = F.col("doc")[id_col]
-    firsts = made.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("no"), own.cast("long").alias("id"), "fp", "row")).alias("first"))
-    firsts = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = cut(firsts.select(F.col("first.row").alias("row")), "stay")
-    return made.join(stay.select(loose("row")), "row", "left_semi").select("doc.*")
+    place = F.struct(F.col("id").isNull().alias("no"), "id", "fp", "key")
+    firsts = made.groupBy("fp").agg(F.min(place).alias("first")).join(roots, "fp", "left")
+    firsts = firsts.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = firsts.select(F.col("first.key").alias("key"), F.lit(True).alias("stays"))
+    fate = rows.join(stay, "key", "left").where("stays is null or n > 1").select("key", F.coalesce("stays", F.lit(False)).alias("stays"))
+    fate = cut(fate, "fate")
+    # what goes and what repeats is told by narrow tables, which Spark sends to all tasks while they are small
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
+    alone = whole.join(fate.select("key"), "key", "left_anti")
+    repeated = whole.join(fate.where("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return alone.unionByName(repeated).select("doc.*")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
