@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import numbers as N
 from ..functions import text as T
@@ -150,16 +152,45 @@ def tiered(score: Column, days: Column) -> list[Column]:
     return [tier.alias("tier"), F.round(decay, 6).alias("decay"), F.round(score * decay * N.by_tier(tier, N.TIER_WEIGHTS), 6).alias("adjusted"), F.round(F.greatest(F.lit(1.0), N.half_life(tier) / 3), 4).alias("review_days")]
 
 
-def demotions(history: DataFrame, key: str, order: Sequence[Column], tier: str = "tier") -> DataFrame:
-    """For each assessment whether it moves the memory: up at once, down when the one before said the same."""
-    w = Window.partitionBy(key).orderBy(*order)
+def demotions(history: DataFrame, key: str, order: Sequence[Column], tier: str = "tier", window: int = 3) -> DataFrame:
+    """For each assessment whether it moves the memory: up at once, down when it and the pending ones before it all say the same.
+
+    The first assessment gives the tier to begin with. Pending ones are the last `window` that said less than the tier
+    then, since the last move up. Each step hangs on the one before, so a key's rows pass in order, one at a time.
+    """
     level = F.coalesce(*[F.when(F.col(tier) == t, F.lit(i)) for i, t in enumerate(N.TIERS)])
-    own = history.withColumn("level", level).withColumn("before", F.lag("level").over(w)).withColumn("earlier", F.lag("level", 2).over(w))
-    return own.withColumn("moves", F.coalesce(F.when(F.col("level") > F.col("before"), True).when(F.col("level") < F.coalesce("earlier", "before"), F.col("level") == F.col("before")), F.lit(False))).drop("before", "earlier")
+    own = history.withColumn("level", level)
+    at = own.columns.index(key)
+
+    def each(batches):
+        now = current = None
+        pending: list[int] = []
+        begun = False
+        for b in batches:
+            moves = []
+            for k, new in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if not begun or k != now:
+                    begun, now, current, pending = True, k, new, []
+                    moves.append(False)
+                    continue
+                if new is None or current is None or new == current:
+                    moves.append(False)
+                elif new > current:
+                    pending = []
+                    moves.append(True)
+                else:
+                    pending = [*pending, new][-window:]
+                    moves.append(len(pending) >= 2 and set(pending) == {new})
+                if moves[-1] or current is None:
+                    current = new
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(moves, pa.bool_())], names=[*b.schema.names, "moves"])
+
+    schema = types.StructType([*own.schema.fields, types.StructField("moves", types.BooleanType())])
+    return own.repartition(key).sortWithinPartitions(key, *order).mapInArrow(each, schema)
 
 
 def merge_memories(rows: DataFrame, key: str, least: float = 0.6) -> DataFrame:
-    """Greedy merging by tag similarity within each key, in id order: (key, id, merged_into, recalls, tags).
+    """Greedy merging by tag similarity within each key, in id order: (key, id, merged_into, recalls, queries, tags).
 
     A memory takes in later ones, with tags grown by those before; each step hangs on the last, so a key's
     candidates are handled together.
@@ -169,7 +200,7 @@ def merge_memories(rows: DataFrame, key: str, least: float = 0.6) -> DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         into: dict[int, int] = {}
         tags = [set(x) for x in pdf["tags"]]
-        recalls = pdf["recalls"].tolist()
+        recalls, queries = pdf["recalls"].tolist(), pdf["queries"].tolist()
         for i in range(len(pdf)):
             if i in into:
                 continue
@@ -177,11 +208,12 @@ def merge_memories(rows: DataFrame, key: str, least: float = 0.6) -> DataFrame:
                 if j not in into and tags[i] and tags[j] and len(tags[i] & tags[j]) / len(tags[i] | tags[j]) >= least:
                     into[j] = i
                     recalls[i] += recalls[j]
+                    queries[i] += queries[j]
                     tags[i] = tags[i] | tags[j]
-        return pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "merged_into": pd.array([pdf["id"][into[i]] if i in into else None for i in range(len(pdf))], "Int64"), "recalls": recalls, "n_tags": [len(x) for x in tags]})
+        return pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "merged_into": pd.array([pdf["id"][into[i]] if i in into else None for i in range(len(pdf))], "Int64"), "recalls": recalls, "queries": queries, "n_tags": [len(x) for x in tags]})
 
-    own = rows.select(F.col(key).alias("key"), "id", "tags", "recalls")
-    return own.groupBy("key").applyInPandas(each, "key long, id long, merged_into long, recalls long, n_tags long")
+    own = rows.select(F.col(key).alias("key"), "id", "tags", "recalls", "queries")
+    return own.groupBy("key").applyInPandas(each, "key long, id long, merged_into long, recalls long, queries long, n_tags long")
 
 
 def convergence(rounds: DataFrame, key: str, least: int, most: int, target: float, small: float) -> DataFrame:

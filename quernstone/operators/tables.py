@@ -107,7 +107,7 @@ def aggregate(df: DataFrame, group_by: str, agg: str, column: str | None = None,
     return top_k(out, k, F.col("value").desc() if descending else F.col("value").asc(), F.col("bucket").asc())
 
 
-_FORBIDDEN = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|copy|call|set|add|load|refresh|cache|uncache|analyze|msck|repair|use)\b", re.I)
+_FORBIDDEN = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|copy|call|set|add|load|refresh|cache|uncache|analyze|msck|repair|use|vacuum|reindex|lock|execute|prepare)\b", re.I)
 
 
 def read_only_sql(spark: SparkSession, sql: str, cap: int = 200) -> DataFrame:

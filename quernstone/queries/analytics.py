@@ -153,9 +153,9 @@ def compare_values(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", *N.compared(F.lit(5000.0), F.col("c_acctbal")))
 
 
-@query("SELECT p_partkey, p_size * CAST(0.001 AS DOUBLE) AS metres, round(p_retailprice * 0.0001, 6) AS wan FROM part")
+@query("SELECT p_partkey, round(p_size * CAST(0.001 AS DOUBLE), 8) AS metres, round(p_retailprice / 10000, 6) AS wan FROM part")
 def unit_convert(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", N.convert(F.col("p_size"), "mm", "m").alias("metres"), F.round(N.convert(F.col("p_retailprice"), "yuan", "wan"), 6).alias("wan"))
+    return t(spark, sf, "part").select("p_partkey", N.convert(F.col("p_size"), "mm", "m").alias("metres"), F.round(N.convert(F.col("p_retailprice"), "元", "万元"), 6).alias("wan"))
 
 
 @query("""

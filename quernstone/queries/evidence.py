@@ -26,13 +26,13 @@ def text_search(spark, sf):
 
 
 @query("""
-    WITH h AS (SELECT 'part' AS kind, p_partkey AS ref FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM nation UNION ALL SELECT 'event', event_id FROM events WHERE event_id % 100 = 0)
+    WITH h AS (SELECT 'part' AS kind, p_partkey AS ref FROM part UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM nation UNION ALL SELECT 'event', event_id FROM events)
     SELECT kind, ref, p_name AS evidence FROM h JOIN part ON kind = 'part' AND ref = p_partkey UNION ALL SELECT kind, ref, n_name FROM h JOIN nation ON kind = 'nation' AND ref = n_nationkey UNION ALL SELECT kind, ref, event_type FROM h JOIN events ON kind = 'event' AND ref = event_id
 """)
 def evidence_materialiser(spark, sf):
     part, nation, ev = t(spark, sf, "part"), t(spark, sf, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("long")), t(spark, sf, "events")
     kind = lambda df, name, key: df.select(F.lit(name).alias("kind"), F.col(key).alias("ref"))
-    hits = kind(part.where("p_partkey % 7 = 0"), "part", "p_partkey").unionByName(kind(nation, "nation", "n_nationkey")).unionByName(kind(ev.where("event_id % 100 = 0"), "event", "event_id"))
+    hits = kind(part, "part", "p_partkey").unionByName(kind(nation, "nation", "n_nationkey")).unionByName(kind(ev, "event", "event_id"))
     tables = {"part": (part, "p_partkey", F.col("p_name")), "nation": (nation, "n_nationkey", F.col("n_name")), "event": (ev, "event_id", F.col("event_type"))}
     return S.materialise(hits, tables).select("kind", "ref", "evidence")
 

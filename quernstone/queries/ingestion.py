@@ -62,7 +62,7 @@ def cells_to_rows(spark, sf):
     cells = p.select(F.col("p_partkey").alias("table_id"), F.inline(F.array(*head, *body)))
     got = I.cells_to_rows(cells, ["table_id"])
     c = lambda k: F.col("cells")[k]
-    return got.select("table_id", "row", c("name").alias("name"), c("spec").alias("spec"), c("unit").alias("unit"), c("col_3").alias("extra"))
+    return got.select("table_id", "row", c("material_name").alias("name"), c("spec").alias("spec"), c("unit").alias("unit"), c("col_3").alias("extra"))
 
 
 @query(f"""
@@ -95,12 +95,12 @@ def ocr_confidence(spark, sf):
     return I.ocr_quality(c).join(n, "doc_id").select("doc_id", "blocks", "low_blocks", "confidence")
 
 
-_BOXES = "boxes AS (SELECT o_custkey % 40 AS page_id, o_orderkey AS id, CAST(o_orderkey % 7 * 40 AS DOUBLE) AS x, CAST(o_orderkey % 11 * 25 AS DOUBLE) AS y, 30.0 AS w, 20.0 AS h, o_orderpriority AS text FROM orders WHERE o_orderkey % 50 = 0)"
+_BOXES = "boxes AS (SELECT o_orderkey // 100 AS page_id, o_orderkey AS id, CAST(o_orderkey % 7 * 40 AS DOUBLE) AS x, CAST(o_orderkey % 11 * 25 AS DOUBLE) AS y, 30.0 AS w, 20.0 AS h, o_orderpriority AS text FROM orders)"
 
 
 def _boxes(spark, sf):
     k = F.col("o_orderkey")
-    return t(spark, sf, "orders").where(k % 50 == 0).select((F.col("o_custkey") % 40).alias("page_id"), k.alias("id"), (k % 7 * 40).cast("double").alias("x"), (k % 11 * 25).cast("double").alias("y"), F.lit(30.0).alias("w"), F.lit(20.0).alias("h"), F.col("o_orderpriority").alias("text"))
+    return t(spark, sf, "orders").select(F.floor(k / 100).cast("long").alias("page_id"), k.alias("id"), (k % 7 * 40).cast("double").alias("x"), (k % 11 * 25).cast("double").alias("y"), F.lit(30.0).alias("w"), F.lit(20.0).alias("h"), F.col("o_orderpriority").alias("text"))
 
 
 @query(f"""
@@ -157,11 +157,11 @@ def ocr_file_choice(spark, sf):
 
 
 @query("""
-    SELECT 'doc' || (l_orderkey % 50) AS base, count(*) AS pages, string_agg(l_comment, chr(10) ORDER BY l_linenumber, l_orderkey, l_comment) AS text FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linenumber AS l_comment FROM lineitem WHERE l_orderkey < 500) GROUP BY 1
+    SELECT 'doc' || (l_orderkey // 50) AS base, count(*) AS pages, string_agg(l_comment, chr(10) ORDER BY l_linenumber, l_orderkey, l_comment) AS text FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linenumber AS l_comment FROM lineitem) GROUP BY 1
 """)
 def ocr_chunk_merge(spark, sf):
-    own = t(spark, sf, "lineitem").where("l_orderkey < 500")
-    parts = own.select(F.concat(F.lit("doc"), (F.col("l_orderkey") % 50).cast("string"), F.lit("_chunk_"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_orderkey").alias("page"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
+    own = t(spark, sf, "lineitem")
+    parts = own.select(F.concat(F.lit("doc"), F.expr("l_orderkey div 50").cast("string"), F.lit("_chunk_"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_orderkey").alias("page"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"))
     return I.merge_ocr_chunks(parts)
 
 

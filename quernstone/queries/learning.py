@@ -51,11 +51,11 @@ def _signals(spark, sf):
 
 
 @query(f"""
-    WITH {_SIGNALS}, w AS (SELECT * FROM sig WHERE event_id % 40 = 0)
+    WITH {_SIGNALS}, w AS (SELECT * FROM sig)
     SELECT route, CAST(least(100, sum(CASE kind WHEN 'failure' THEN 20 WHEN 'violation' THEN 15 WHEN 'repeat' THEN 5 WHEN 'topology' THEN 8 ELSE CASE WHEN rating <= 2 THEN 3 ELSE 0 END END)) AS INTEGER) AS severity FROM w GROUP BY 1
 """)
 def signal_severity(spark, sf):
-    return L.severity(_signals(spark, sf).where("event_id % 40 = 0"), ["route"])
+    return L.severity(_signals(spark, sf), ["route"])
 
 
 @query(f"""
@@ -194,9 +194,16 @@ def memory_tiers(spark, sf):
 
 
 @query("""
-    WITH h AS (SELECT event_id, user_id, ts, CASE WHEN value >= 70 THEN 2 WHEN value >= 40 THEN 1 ELSE 0 END AS level FROM events),
-    b AS (SELECT *, lag(level) OVER w AS before, lag(level, 2) OVER w AS earlier FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, coalesce(CASE WHEN level > before THEN true WHEN level < coalesce(earlier, before) THEN level = before END, false) AS moves FROM b
+    WITH RECURSIVE h AS (SELECT event_id, user_id, CASE WHEN value >= 70 THEN 2 WHEN value >= 40 THEN 1 ELSE 0 END AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (
+        SELECT user_id, n, event_id, level AS current, CAST([] AS INTEGER[]) AS pending, false AS moves FROM h WHERE n = 1
+        UNION ALL
+        SELECT user_id, n, event_id, CASE WHEN level > current OR (level < current AND len(pending) >= 2 AND len(list_distinct(pending)) = 1) THEN level ELSE current END, pending,
+               level > current OR (level < current AND len(pending) >= 2 AND len(list_distinct(pending)) = 1)
+        FROM (SELECT h.user_id, h.n, h.event_id, h.level, r.current, CASE WHEN h.level > r.current THEN CAST([] AS INTEGER[]) WHEN h.level < r.current THEN list_append(r.pending, h.level)[-3:] ELSE r.pending END AS pending
+              FROM r JOIN h ON h.user_id = r.user_id AND h.n = r.n + 1)
+    )
+    SELECT event_id, moves FROM r
 """)
 def demotion_hysteresis(spark, sf):
     h = t(spark, sf, "events").withColumn("tier", F.when(F.col("value") >= 70, "core").when(F.col("value") >= 40, "working").otherwise("peripheral"))
@@ -205,8 +212,8 @@ def demotion_hysteresis(spark, sf):
 
 @query()
 def memory_merge(spark, sf):
-    rows = t(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"), F.count("*").alias("recalls"))
-    return L.merge_memories(rows.select((F.col("user_id") % 7).alias("key"), F.col("user_id").alias("id"), "tags", "recalls"), "key")
+    rows = t(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"), F.count("*").alias("recalls"), F.countDistinct("event_type").alias("queries"))
+    return L.merge_memories(rows.select((F.col("user_id") % 7).alias("key"), F.col("user_id").alias("id"), "tags", "recalls", "queries"), "key")
 
 
 @query("""

@@ -50,13 +50,13 @@ def sub_query_fan_out(spark, sf):
 
 
 @query(f"""
-    WITH v AS (SELECT vec_id AS chunk, embedding FROM embeddings WHERE vec_id % 2 = 0), s AS (SELECT e.chunk, round({_COS}, 4) AS score FROM v e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q ORDER BY score DESC, chunk LIMIT 30)
+    WITH v AS (SELECT vec_id AS chunk, embedding FROM embeddings), s AS (SELECT e.chunk, round({_COS}, 4) AS score FROM v e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q ORDER BY score DESC, chunk LIMIT 30)
     SELECT s.chunk, s.score, d.lang, CASE WHEN d.doc_id % 3 = 0 THEN 'raw' ELSE 'page_summary' END AS view FROM s JOIN documents d ON d.doc_id = s.chunk
 """)
 def multi_view_search(spark, sf):
     e = t(spark, sf, "embeddings")
     q = e.where("vec_id = 1").select(F.col("embedding").alias("q")).limit(1)
-    views = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("chunk"), "embedding").crossJoin(F.broadcast(q))
+    views = e.select(F.col("vec_id").alias("chunk"), "embedding").crossJoin(F.broadcast(q))
     parents = t(spark, sf, "documents").select(F.col("doc_id").alias("chunk"), "lang", F.when(F.col("doc_id") % 3 == 0, "raw").otherwise("page_summary").alias("view"))
     return S.by_view(views, parents, F.col("q"), 30, "chunk", "embedding").select("chunk", "score", "lang", "view")
 
@@ -141,14 +141,14 @@ def doc_name_enrichment(spark, sf):
 
 
 @query("""
-    WITH s AS (SELECT doc_id AS chunk, round(doc_id % 37 / 37.0, 4) AS v, round(doc_id % 23 / 23.0, 4) AS r, round(doc_id % 11 / 11.0, 4) AS k, round(doc_id % 7 / 7.0, 4) AS g, CASE doc_id % 4 WHEN 0 THEN 'vector' WHEN 1 THEN 'keyword' WHEN 2 THEN 'graph' ELSE 'x' END AS source FROM documents)
-    SELECT chunk, round(CASE source WHEN 'vector' THEN 0.4 * v + 0.4 * r + 0.1 * k + 0.1 * g WHEN 'keyword' THEN 0.1 * v + 0.4 * r + 0.4 * k + 0.1 * g WHEN 'graph' THEN 0.1 * v + 0.4 * r + 0.1 * k + 0.4 * g ELSE 0.25 * v + 0.4 * r + 0.25 * k + 0.1 * g END, 6) AS fused FROM s
+    WITH s AS (SELECT doc_id AS chunk, round(doc_id % 37 / 37.0, 4) AS v, round(doc_id % 23 / 23.0, 4) AS r, CASE doc_id % 4 WHEN 0 THEN 'vector' WHEN 1 THEN 'keyword' WHEN 2 THEN 'graph' ELSE 'x' END AS source FROM documents)
+    SELECT chunk, round(v * 0.3 + r * 0.5 + CASE WHEN source IN ('keyword', 'graph') THEN v * 0.1 ELSE 0 END, 6) AS fused FROM s
 """)
 def source_feature_fusion(spark, sf):
     i = F.col("doc_id")
     part = lambda n: F.round(i % n / float(n), 4)
     source = F.element_at(F.array(*map(F.lit, ("vector", "keyword", "graph", "x"))), (i % 4 + 1).cast("int"))
-    return t(spark, sf, "documents").select(i.alias("chunk"), F.round(FU.by_source(source, part(37), part(23), part(11), part(7)), 6).alias("fused"))
+    return t(spark, sf, "documents").select(i.alias("chunk"), F.round(FU.by_source(source, part(37), part(23)), 6).alias("fused"))
 
 
 @query("""

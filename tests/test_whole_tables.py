@@ -6,7 +6,7 @@ from quernstone.queries import QUERIES
 
 
 def merged(rows):
-    """Rows (key, id, merged_into, recalls, n_tags) of greedy merging, from (user_id, event_type) rows."""
+    """Rows (key, id, merged_into, recalls, queries, n_tags) of greedy merging, from (user_id, event_type) rows."""
     users: dict = {}
     for user, kind in rows:
         users.setdefault(user, []).append(kind)
@@ -14,13 +14,15 @@ def merged(rows):
     for key in {u % 7 for u in users}:
         ids = sorted(u for u in users if u % 7 == key)
         tags, recalls, into = {u: set(users[u]) for u in ids}, {u: len(users[u]) for u in ids}, {}
+        queries = {u: len(t) for u, t in tags.items()}
         for n, a in enumerate(ids):
             for b in ids[n + 1 :] if a not in into else []:
                 if b not in into and len(tags[a] & tags[b]) / len(tags[a] | tags[b]) >= 0.6:
                     into[b] = a
                     recalls[a] += recalls[b]
+                    queries[a] += queries[b]
                     tags[a] |= tags[b]
-        out += [(key, u, into.get(u), recalls[u], len(tags[u])) for u in ids]
+        out += [(key, u, into.get(u), recalls[u], queries[u], len(tags[u])) for u in ids]
     return sorted(out, key=str)
 
 
