@@ -58,6 +58,24 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda r: ~r.isin(STOP_TERMS)))
 
 
+def ilike_any(col: Column, patterns: list[str]) -> Column:
+    """Whether the text is like one of the patterns, regardless of case."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | col.ilike(p)
+    return out
+
+
+def json_has(col: Column, key: str) -> Column:
+    """Whether a JSON object has the key; false for what is no object."""
+    return F.coalesce(F.array_contains(F.json_object_keys(col), key), F.lit(False))
+
+
+def json_without(col: Column, key: str) -> Column:
+    """A JSON object without the key, its other values as they were; null for what is no object."""
+    return F.to_json(F.map_filter(F.from_json(col, "map<string,variant>"), lambda k, _: k != key))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of lower-case words, each word with two blanks before it and one after."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\\u00c0-\\u024f\\u4e00-\\u9fa5]+"), lambda w: F.length(w) > 0)

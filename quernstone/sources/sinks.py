@@ -11,21 +11,35 @@ from ..operators.search import postings
 from ..operators.tables import latest_per_key, upsert
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _swap(df: DataFrame, path: str) -> None:
-    """Writes a table beside its old version, then puts it in its place: a query may read the old one meanwhile."""
+    """Writes a table beside its old version, then puts it in its place.
+
+    The old version is moved aside, not deleted, until the new one stands: whoever stops between finds it again by `exists`.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
     df.write.mode("overwrite").parquet(path + ".new")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, place = _fs(spark, path)
+    new, old = (_fs(spark, path + end)[1] for end in (".new", ".old"))
     fs.delete(old, True)
-    if not fs.rename(new, old):
+    if fs.exists(place) and not fs.rename(place, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, place):
         raise OSError(f"can't put {path}.new in place")
+    fs.delete(old, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether there is a table; one that a swap left aside is put back first."""
+    fs, place = _fs(spark, path)
+    old = _fs(spark, path + ".old")[1]
+    if not fs.exists(place) and fs.exists(old):
+        fs.rename(old, place)
+    return fs.exists(place)
 
 
 def rebuild(df: DataFrame, path: str) -> None:
@@ -63,9 +77,17 @@ def stable_id(*parts: Column) -> Column:
 
 
 def write_vectors(df: DataFrame, path: str, doc: str, chunk: str, buckets: int = 16) -> None:
-    """Vectors under ids that hang on document and chunk alone, in overwritten buckets."""
-    own = df.withColumn("id", stable_id(F.col(doc), F.col(chunk))).withColumn("bucket", F.pmod("id", F.lit(buckets)))
+    """Vectors under ids that hang on document and chunk alone, over those that are there; only buckets that get new ones are written again."""
+    spark = df.sparkSession
+    own = df.withColumn("id", stable_id(F.col(doc), F.col(chunk))).withColumn("bucket", F.pmod("id", F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        there = spark.read.parquet(path).join(F.broadcast(own.select("bucket").distinct()), "bucket", "left_semi")  # `buckets` rows at most
+        rows = own.unionByName(there.join(own.select("id"), "id", "left_anti"), allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(path + ".merged")
+        own = spark.read.parquet(path + ".merged")
     own.write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(path)
+    fs, merged = _fs(spark, path + ".merged")
+    fs.delete(merged, True)
 
 
 def write_postings(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "content", buckets: int = 32) -> None:

@@ -245,3 +245,20 @@ def test_memories_merge_with_their_counts(spark):
     df = spark.createDataFrame(rows, "key long, id long, tags array<string>, recalls long, queries long")
     got = {r.id: (r.merged_into, r.recalls, r.queries, r.n_tags) for r in L.merge_memories(df, "key").collect()}
     assert got == {1: (None, 7, 3, 3), 2: (1, 4, 1, 2), 3: (None, 1, 1, 1), 4: (None, 1, 5, 0)}
+
+
+def test_vectors_stay_beside_new_ones(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    rows = lambda ids, x: spark.createDataFrame([(1, i, x) for i in ids], "doc long, chunk long, v string")
+    sinks.write_vectors(rows(range(40), "a"), path, "doc", "chunk", 4)
+    sinks.write_vectors(rows((3, 50), "b"), path, "doc", "chunk", 4)
+    got = {r.chunk: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {i: "a" for i in range(40)} | {3: "b", 50: "b"}
+
+
+def test_a_stopped_swap_loses_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    sinks.upsert_into(spark.createDataFrame([(1, "a")], "id long, v string"), path, ["id"])
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    sinks.upsert_into(spark.createDataFrame([(2, "b")], "id long, v string"), path, ["id"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b")] and not (tmp_path / "t.old").exists()
