@@ -51,8 +51,8 @@ def fan_out(queries: DataFrame, search: Callable[[DataFrame], DataFrame], most:
     """Results of a search over every part of each query, each chunk once with its best score, the best ones first."""
     from pyspark.sql import Window
 
-    own = queries.select(F.col("query_id").alias("whole"), F.posexplode(parts(F.col("query"))).alias("n", "query")).withColumn("query_id", F.col("whole") * 1000 + F.col("n"))
-    got = search(own.select("query_id", "query")).withColumn("whole", F.floor(F.col("query_id") / 1000)).groupBy("whole", "chunk").agg(F.max("score").alias("score"))
+    own = queries.select(F.col("query_id").alias("whole"), F.posexplode(parts(F.col("query"))).alias("n", "query")).withColumn("query_id", F.struct("whole", "n"))
+    got = search(own.select("query_id", "query")).groupBy(F.col("query_id.whole").alias("whole"), "chunk").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("whole").orderBy(F.desc("score"), "chunk"))
     return got.withColumn("rank", rank).where(F.col("rank") <= most).withColumnRenamed("whole", "query_id")
 

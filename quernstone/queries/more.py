@@ -12,7 +12,7 @@ from ..operators import search as S
 from ..operators import tables as O
 from ..operators import understanding as U
 from .registry import CHUNKS_SQL, PRICES_SQL, chunks, prices, query, sql_tokens, t
-from .retrieval import _BM25, _COS, _asked, _docs
+from .retrieval import _BM25, _COS, _asked, _docs, _vectors
 
 
 @query("""
@@ -62,25 +62,25 @@ def multi_view_search(spark, sf):
 
 
 @query(f"""
-    WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id < 40), c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id >= 40),
+    WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id NOT IN (SELECT item_id FROM benchmark)),
     b AS (SELECT q.qid, max(round({_COS}, 4)) AS best FROM q, c e GROUP BY 1)
     SELECT qid, best, best < 0.55 AS gap FROM b
 """)
 def find_knowledge_gaps(spark, sf):
-    e = t(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
-    best = e.where("vec_id >= 40").join(q).groupBy("qid").agg(F.max(F.round(cosine(F.col("embedding"), F.col("q")), 4)).alias("best"))
+    q = _vectors(spark, sf).withColumnRenamed("query_id", "qid")
+    known = t(spark, sf, "embeddings").join(q, F.col("vec_id") == F.col("qid"), "left_anti")
+    best = known.crossJoin(q).groupBy("qid").agg(F.max(F.round(cosine(F.col("embedding"), F.col("q")), 4)).alias("best"))
     return best.withColumn("gap", F.col("best") < 0.55)
 
 
 @query(f"""
-    WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, round({_COS.replace('e.', 'a.').replace('q.', 'b.')}, 4) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < 60 AND b.vec_id < 60 AND a.vec_id < b.vec_id)
+    WITH p AS (SELECT q.vec_id AS x, e.vec_id AS y, round({_COS}, 4) AS s FROM embeddings e JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id)
     SELECT x, y, s FROM p WHERE s > 0.3
 """)
 def repeat_questions(spark, sf):
-    e = t(spark, sf, "embeddings").where("vec_id < 60")
-    a, b = e.select(F.col("vec_id").alias("x"), F.col("embedding").alias("u")), e.select(F.col("vec_id").alias("y"), F.col("embedding").alias("v"))
-    return a.join(F.broadcast(b), F.col("x") < F.col("y")).select("x", "y", F.round(cosine(F.col("u"), F.col("v")), 4).alias("s")).where("s > 0.3")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("y"), "embedding")
+    q = _vectors(spark, sf).select(F.col("query_id").alias("x"), "q")
+    return e.join(q, F.col("x") != F.col("y")).select("x", "y", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("s")).where("s > 0.3")
 
 
 @query("""
@@ -232,24 +232,25 @@ def time_series_query(spark, sf):
 
 
 @query(f"""
-    WITH {_BM25}, h AS (SELECT query_id, max((chunk % 10 = query_id)::INT) AS hit, min(CASE WHEN chunk % 10 = query_id THEN rank END) AS first FROM bm WHERE rank <= 10 GROUP BY 1)
+    WITH {_BM25}, h AS (SELECT query_id, max((chunk % 10 = query_id % 10)::INT) AS hit, min(CASE WHEN chunk % 10 = query_id % 10 THEN rank END) AS first FROM bm WHERE rank <= 10 GROUP BY 1)
     SELECT count(*) AS queries, round(avg(hit), 4) AS hit_rate, round(avg(coalesce(1 / first, 0)), 4) AS mrr, avg(hit) >= 0.25 AS accepted FROM h
 """)
 def layer_evaluation(spark, sf):
     top = S.bm25(_docs(spark, sf), _asked(spark, sf), 10)
-    hit = F.col("chunk") % 10 == F.col("query_id")
+    hit = F.col("chunk") % 10 == F.col("query_id") % 10
     h = top.groupBy("query_id").agg(F.max(hit.cast("int")).alias("hit"), F.min(F.when(hit, F.col("rank"))).alias("first"))
     return h.agg(F.count("*").alias("queries"), F.round(F.avg("hit"), 4).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 4).alias("mrr"), (F.avg("hit") >= 0.25).alias("accepted"))
 
 
 @query("""
-    WITH c AS (SELECT substr(sha256(trim(regexp_replace(lower(substr(text, 1, 8)), '[^\\p{L}\\p{N}_]+', ' ', 'g'))), 1, 16) AS h, count(*) AS hits FROM conversations WHERE turn % 2 = 0 GROUP BY 1)
-    SELECT q.conv_id, q.turn, c.hits FROM conversations q JOIN c ON c.h = substr(sha256(trim(regexp_replace(lower(substr(q.text, 1, 8)), '[^\\p{L}\\p{N}_]+', ' ', 'g'))), 1, 16) WHERE q.turn % 2 = 1
+    WITH q AS (SELECT doc_id, substr(sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'))), 1, 16) AS h FROM documents),
+    c AS (SELECT h, min(doc_id) AS entry FROM q GROUP BY 1)
+    SELECT doc_id, entry FROM q JOIN c USING (h) WHERE doc_id > entry
 """)
 def semantic_cache_lookup(spark, sf):
-    c = t(spark, sf, "conversations").withColumn("h", T.question_hash(F.substring("text", 1, 8)))
-    cache = c.where("turn % 2 = 0").groupBy("h").agg(F.count("*").alias("hits"))
-    return c.where("turn % 2 = 1").join(cache, "h").select("conv_id", "turn", "hits")
+    q = t(spark, sf, "documents").select("doc_id", T.question_hash(F.col("text")).alias("h"))
+    cache = q.groupBy("h").agg(F.min("doc_id").alias("entry"))
+    return q.join(cache, "h").where("doc_id > entry").select("doc_id", "entry")
 
 
 @query("""

@@ -44,9 +44,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Chunks: the lines of documents.
+#: Chunks: the lines of documents, numbered apart for up to ten million lines a document.
 CHUNKS_SQL = """chunks AS (
-    SELECT doc_id * 10000 + pos AS chunk_id, doc_id, pos AS page, source, trim(line, ' ') AS content
+    SELECT doc_id * 10000000 + pos AS chunk_id, doc_id, pos AS page, source, trim(line, ' ') AS content
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
     WHERE trim(line, ' ') <> ''
 )"""
@@ -54,7 +54,7 @@ CHUNKS_SQL = """chunks AS (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    return lines.select((F.col("doc_id") * 10000 + F.col("p") + 1).alias("chunk_id"), "doc_id", (F.col("p") + 1).cast("long").alias("page"), "source", F.trim("line").alias("content")).where("content <> ''")
+    return lines.select((F.col("doc_id") * 10000000 + F.col("p") + 1).alias("chunk_id"), "doc_id", (F.col("p") + 1).cast("long").alias("page"), "source", F.trim("line").alias("content")).where("content <> ''")
 
 
 #: The token expression in DuckDB.

@@ -19,15 +19,35 @@ def aggregate_query(spark, sf):
     return got.select("bucket", F.round("value", 2).alias("value"))
 
 
-@query("""
-    SELECT 'region' AS name, count(*) AS n_rows, 2 AS n_columns FROM region UNION ALL SELECT 'nation', count(*), 3 FROM nation
-    UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'events', count(*), 6 FROM events
-""")
+_TABLES = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def _listed(name):
+    columns = _TABLES[name].split()
+    return f"SELECT '{name}' AS name, count(*) AS n_rows, {len(columns)} AS n_columns, '{','.join(columns[:6])}' AS first_columns FROM {name}"
+
+
+@query(" UNION ALL ".join(map(_listed, _TABLES)))
 def list_tables(spark, sf):
     out = None
-    for name in ("region", "nation", "customer", "events"):
+    for name in _TABLES:
         df = t(spark, sf, name)
-        row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns[:6])).alias("first_columns"))
         out = row if out is None else out.unionByName(row)
     return out
 

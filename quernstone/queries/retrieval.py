@@ -47,7 +47,7 @@ def keyword_search(spark, sf):
 _BM25 = f"""
     toks AS (SELECT doc_id AS chunk, {sql_tokens('text')} AS t FROM documents WHERE len({sql_tokens('text')}) > 0),
     tot AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks),
-    asked AS (SELECT item_id AS query_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM benchmark WHERE item_id < 10),
+    asked AS (SELECT item_id AS query_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM benchmark),
     post AS (SELECT term, chunk, length, count(*) AS tf FROM (SELECT chunk, len(t) AS length, unnest(t) AS term FROM toks) GROUP BY ALL),
     dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
     scored AS (SELECT query_id, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 4) AS score
@@ -57,7 +57,13 @@ _BM25 = f"""
 
 
 def _asked(spark, sf):
-    return t(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _vectors(spark, sf):
+    """The vectors of the questions (query_id, q, ql): those of the benchmark items' numbers."""
+    items = t(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return t(spark, sf, "embeddings").join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
 
 
 def _docs(spark, sf):
@@ -119,10 +125,10 @@ def fragment_search(spark, sf):
 
 
 _LEGS = f"""
-    {_BM25}, emb AS (SELECT e.vec_id AS chunk, q.vec_id AS query_id, round({_COS}, 4) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q WHERE e.vec_id <> q.vec_id),
+    {_BM25}, emb AS (SELECT e.vec_id AS chunk, q.vec_id AS query_id, round({_COS}, 4) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE e.vec_id <> q.vec_id),
     vec AS (SELECT query_id, chunk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS INTEGER) AS rank, score FROM emb),
     lit AS (SELECT b.item_id AS query_id, d.doc_id AS chunk, CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text), d.doc_id) AS INTEGER) AS rank, 0.72 AS score
-            FROM benchmark b JOIN documents d ON b.item_id < 10 AND contains(lower(d.text), lower(b.text))),
+            FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
     legs AS (SELECT 'text' AS path, * FROM bm WHERE rank <= 20 UNION ALL SELECT 'vector', * FROM vec WHERE rank <= 20 UNION ALL SELECT 'literal', * FROM lit WHERE rank <= 10),
     fused AS (SELECT query_id, chunk, round(sum(1 / (60.0 + rank)), 6) AS rrf_score, CAST(count(DISTINCT path) AS INTEGER) AS hits, min(rank) AS best_rank,
                      round(least(0.99, max(score) + least(0.12, 8 * sum(1 / (60.0 + rank)) + 0.03 * (count(DISTINCT path) - 1))), 4) AS score FROM legs GROUP BY 1, 2)
@@ -130,15 +136,13 @@ _LEGS = f"""
 
 
 def legs(spark, sf):
-    """Ranked lists of three paths for the first ten benchmark items: BM25, vectors, literal hits."""
+    """Ranked lists of three paths for all benchmark items: BM25, the vector of the same number, literal hits."""
     docs, asked = _docs(spark, sf), _asked(spark, sf)
     text = S.bm25(docs, asked, 20)
-    e = t(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk"), F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+    scored = t(spark, sf, "embeddings").join(_vectors(spark, sf), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk"), F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
     by = Window.partitionBy("query_id")
     vector = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= 20)
-    hits = docs.join(F.broadcast(asked), F.lower("content").contains(F.lower("query")))
+    hits = S.literal_matches(docs, asked).select("query_id", "chunk_id", "content")
     literal = hits.withColumn("rank", F.row_number().over(by.orderBy(F.length("content"), "chunk_id"))).where(F.col("rank") <= 10).select("query_id", F.col("chunk_id").alias("chunk"), "rank", F.lit(0.72).alias("score"))
     named = lambda df, path: df.select(F.lit(path).alias("path"), "query_id", "chunk", "rank", "score")
     return FU.union([named(text, "text"), named(vector, "vector"), named(literal, "literal")])
@@ -177,7 +181,7 @@ def weighted_rrf(spark, sf):
 
 @query(f"""
     WITH {_LEGS}, c AS (SELECT query_id, chunk, max(CASE WHEN path = 'vector' THEN score END) AS vector, max(CASE WHEN path = 'text' THEN score / 100 END) AS keyword FROM legs GROUP BY 1, 2)
-    SELECT query_id, chunk, round(rrf_score * (w[1] * coalesce(vector, 0.5) + w[2] * 0.5 + w[3] * coalesce(keyword, 0.5)), 6) AS weighted
+    SELECT query_id, chunk, floor(rrf_score * (CAST(w[1] AS DOUBLE) * coalesce(vector, 0.5) + CAST(w[2] AS DOUBLE) * 0.5 + CAST(w[3] AS DOUBLE) * coalesce(keyword, 0.5)) * 1000000 + 0.5) / 1000000 AS weighted
     FROM (SELECT f.query_id, f.chunk, f.rrf_score, c.vector, c.keyword, CASE WHEN regexp_matches(b.text, '[0-9]{{4,}}|^[0-9]+$') THEN [0.3, 0.2, 0.5] WHEN regexp_matches(b.text, '[工程|费率|标准|系数|费用]') THEN [0.4, 0.4, 0.2]
                  WHEN length(b.text) > 20 THEN [0.5, 0.3, 0.2] ELSE [0.4, 0.3, 0.3] END AS w
           FROM fused f JOIN c USING (query_id, chunk) JOIN benchmark b ON b.item_id = f.query_id)
@@ -237,8 +241,8 @@ def diversity_rerank(spark, sf):
 
 @query(f"""
     WITH r AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 4) DESC, e.vec_id) AS rank
-               FROM embeddings e JOIN embeddings q ON q.vec_id < 10 AND e.vec_id <> q.vec_id),
-    rel AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk FROM embeddings e JOIN embeddings q ON q.vec_id < 10 AND e.vec_id <> q.vec_id AND e.label = q.label),
+               FROM embeddings e JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id),
+    rel AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk FROM embeddings e JOIN embeddings q ON q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id AND e.label = q.label),
     top AS (SELECT r.*, (rel.chunk IS NOT NULL)::INT AS hit FROM r LEFT JOIN rel USING (query_id, chunk) WHERE rank <= 10),
     g AS (SELECT query_id, sum(hit) AS hits, sum(hit / log2(rank + 1)) AS dcg, min(CASE WHEN hit = 1 THEN rank END) AS first FROM top GROUP BY 1),
     w AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1)
@@ -247,22 +251,20 @@ def diversity_rerank(spark, sf):
     FROM w LEFT JOIN g USING (query_id)
 """)
 def ir_metrics(spark, sf):
-    e = t(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql")))
-    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk"), "label", "ql", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+    pairs = t(spark, sf, "embeddings").join(_vectors(spark, sf), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk"), "label", "ql", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk"))
     return FU.ir_metrics(pairs.withColumn("rank", rank), pairs.where("label = ql").select("query_id", "chunk"), 10)
 
 
 @query(f"""
-    WITH {_BM25}, x AS (SELECT query_id, rank, d.text AS content, bm.score / 100 AS score, length(d.text) // 3 AS cost FROM bm JOIN documents d ON d.doc_id = chunk WHERE query_id = 1 AND rank <= 8),
-    r AS (SELECT *, sum(cost) OVER (ORDER BY rank) AS used FROM x), o AS (SELECT *, (used > 2000)::INT AS over, sum((used > 2000)::INT) OVER (ORDER BY rank) AS overs FROM r)
-    SELECT rank, CAST(CASE WHEN overs = 0 THEN length(content) ELSE least(length(content), (2000 - (used - cost)) * 3) END AS BIGINT) AS chars FROM o
+    WITH {_BM25}, x AS (SELECT query_id, rank, d.text AS content, bm.score / 100 AS score, length(d.text) // 3 AS cost FROM bm JOIN documents d ON d.doc_id = chunk WHERE rank <= 8),
+    r AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM x), o AS (SELECT *, (used > 2000)::INT AS over, sum((used > 2000)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS overs FROM r)
+    SELECT query_id, rank, CAST(CASE WHEN overs = 0 THEN length(content) ELSE least(length(content), (2000 - (used - cost)) * 3) END AS BIGINT) AS chars FROM o
     WHERE overs = 0 OR (overs = 1 AND over = 1 AND (2000 - (used - cost)) * 3 > 200 AND score > 0.05)
 """)
 def token_budget(spark, sf):
-    own = _top10(spark, sf).where("query_id = 1").select("rank", "content", "score")
-    return S.token_budget(own, 2000, sure=0.05).select("rank", F.length("content").cast("long").alias("chars"))
+    own = _top10(spark, sf).select("query_id", "rank", "content", "score")
+    return S.token_budget(own, ["query_id"], 2000, sure=0.05).select("query_id", "rank", F.length("content").cast("long").alias("chars"))
 
 
 @query("""
@@ -359,8 +361,7 @@ def cascade_retrieval(spark, sf):
     e = t(spark, sf, "embeddings")
     seeds = S.similar_rows(e, 5, 16, "vec_id", "embedding").select(F.col("vec_id").alias("chunk"), F.col("score").alias("vector"))
     g = t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("chunk")).agg(F.count("*").alias("n"))
-    asked = t(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    k = S.bm25(_docs(spark, sf), asked.where("query_id = 2"), 1 << 30).select("chunk", "score")
+    k = S.bm25(_docs(spark, sf), _asked(spark, sf).where("query_id = 2"), 16, among=seeds).select("chunk", "score")
     return cascade(seeds, g, k)
 
 
