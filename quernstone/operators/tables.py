@@ -15,6 +15,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("__n", n).where(F.col("__n") <= rows).drop("__n")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt over all cores if its files give fewer partitions than there are cores. For plain scans: others would be run to learn their partitions."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def top_k(df: DataFrame, k: int, *order: Column, most: int = 200) -> DataFrame:
     """The first rows in order, at least 1 and at most `most`."""
     return df.orderBy(*order).limit(max(1, min(k, most)))

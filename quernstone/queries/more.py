@@ -6,13 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine
 from ..operators import fusion as FU
 from ..operators import search as S
 from ..operators import tables as O
 from ..operators import understanding as U
 from .registry import CHUNKS_SQL, PRICES_SQL, chunks, prices, query, sql_tokens, t
-from .retrieval import _BM25, _COS, _asked, _docs, _vectors
+from .retrieval import _BM25, _COS, _asked, _docs, _rows, _vectors
 
 
 @query("""
@@ -67,9 +66,9 @@ def multi_view_search(spark, sf):
     SELECT qid, best, best < 0.55 AS gap FROM b
 """)
 def find_knowledge_gaps(spark, sf):
-    q = _vectors(spark, sf).withColumnRenamed("query_id", "qid")
-    known = t(spark, sf, "embeddings").join(q, F.col("vec_id") == F.col("qid"), "left_anti")
-    best = known.crossJoin(q).groupBy("qid").agg(F.max(F.round(cosine(F.col("embedding"), F.col("q")), 4)).alias("best"))
+    q = _vectors(spark, sf)
+    known = _rows(spark, sf).join(q, F.col("vec_id") == F.col("query_id"), "left_anti")
+    best = S.against_all(known, q, "vec_id", "embedding").groupBy(F.col("query_id").alias("qid")).agg(F.max("score").alias("best"))
     return best.withColumn("gap", F.col("best") < 0.55)
 
 
@@ -78,9 +77,8 @@ def find_knowledge_gaps(spark, sf):
     SELECT x, y, s FROM p WHERE s > 0.3
 """)
 def repeat_questions(spark, sf):
-    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("y"), "embedding")
-    q = _vectors(spark, sf).select(F.col("query_id").alias("x"), "q")
-    return e.join(q, F.col("x") != F.col("y")).select("x", "y", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("s")).where("s > 0.3")
+    pairs = S.against_all(_rows(spark, sf), _vectors(spark, sf), "vec_id", "embedding")
+    return pairs.select(F.col("query_id").alias("x"), F.col("vec_id").alias("y"), F.col("score").alias("s")).where("s > 0.3")
 
 
 @query("""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.vectors import cosine
 from ..operators import fusion as FU
 from ..operators import graph as G
 from ..operators import search as S
@@ -66,8 +65,12 @@ def _vectors(spark, sf):
     return t(spark, sf, "embeddings").join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
 
 
+def _rows(spark, sf):
+    return O.spread(t(spark, sf, "embeddings"))
+
+
 def _docs(spark, sf):
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
+    return O.spread(t(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", "lang")
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk, rank, score FROM bm WHERE rank <= 10")
@@ -139,7 +142,7 @@ def legs(spark, sf):
     """Ranked lists of three paths for all benchmark items: BM25, the vector of the same number, literal hits."""
     docs, asked = _docs(spark, sf), _asked(spark, sf)
     text = S.bm25(docs, asked, 20)
-    scored = t(spark, sf, "embeddings").join(_vectors(spark, sf), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk"), F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+    scored = S.against_all(_rows(spark, sf), _vectors(spark, sf), "vec_id", "embedding").select("query_id", F.col("vec_id").alias("chunk"), "score")
     by = Window.partitionBy("query_id")
     vector = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= 20)
     hits = S.literal_matches(docs, asked).select("query_id", "chunk_id", "content")
@@ -251,7 +254,7 @@ def diversity_rerank(spark, sf):
     FROM w LEFT JOIN g USING (query_id)
 """)
 def ir_metrics(spark, sf):
-    pairs = t(spark, sf, "embeddings").join(_vectors(spark, sf), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("chunk"), "label", "ql", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+    pairs = S.against_all(_rows(spark, sf), _vectors(spark, sf), "vec_id", "embedding").select("query_id", F.col("vec_id").alias("chunk"), "label", "ql", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk"))
     return FU.ir_metrics(pairs.withColumn("rank", rank), pairs.where("label = ql").select("query_id", "chunk"), 10)
 

@@ -75,3 +75,12 @@ def test_fan_out_tells_many_parts_apart(spark):
     asked = spark.createDataFrame([(1, one), (2, "other")], "query_id long, query string")
     got = U.fan_out(asked, lambda q: q.selectExpr("query_id", "try_cast(regexp_replace(query, '[^0-9]', '') as long) as chunk", "1.0D as score").where("chunk is not null"), 2000).collect()
     assert {r.query_id for r in got} == {1} and sorted(r.chunk for r in got) == list(range(1200))
+
+
+def test_against_all(spark):
+    vectors = {1: [1.0, 0.0], 2: [3.0, 4.0], 3: None, 4: [0.0, 0.0], 5: [1.0, 0.0]}
+    rows = spark.createDataFrame([(i, v, i * 10) for i, v in vectors.items()], "vec_id long, embedding array<double>, label long")
+    asked = rows.selectExpr("vec_id as query_id", "embedding as q")
+    got = {(r.query_id, r.vec_id): r.score for r in S.against_all(rows, asked, "vec_id", "embedding").collect()}
+    known = {(1, 2): 0.6, (2, 1): 0.6, (2, 5): 0.6, (5, 2): 0.6, (1, 5): 1.0, (5, 1): 1.0}
+    assert got == {(q, i): known.get((q, i)) for q in vectors for i in vectors if q != i}
