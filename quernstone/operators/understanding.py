@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Words that point to an intent, the first intent that matches counts.
+#: Words that point to an intent, the first intent that matches counts; a choice of its own, not a fixed list.
 INTENTS = {
     "trend": ["trend", "change", "趋势", "走势", "变化"],
     "compare": ["compare", "versus", "difference", "比较", "对比", "区别"],

@@ -7,12 +7,26 @@ from pyspark.sql import functions as F
 
 from ..operators.fusion import rrf
 
-#: Rows that each leg fetches, by what is asked for.
-FETCH = {"price": {"vector": 10, "text": 30}, "rule": {"vector": 20, "text": 30}, "general": {"vector": 30, "text": 20}}
-
-
-def fetch_sizes(intent: str) -> dict[str, int]:
-    return FETCH.get(intent, FETCH["general"])
+#: How many times k each leg fetches, by what is asked for (1 where nothing is given), and the least score of vectors.
+FETCH = {
+    "rule": {"vector": 1, "text": 3, "structured": 2, "literal": 3},
+    "trend": {"vector": 1, "text": 1, "structured": 3, "literal": 1},
+    "compare": {"vector": 1, "text": 2, "structured": 3, "literal": 2},
+    "price": {"vector": 1, "text": 2, "structured": 3, "literal": 1},
+}
+LEAST_VECTOR = 0.40
+
+
+def most_fetched(path: str, k: int) -> int:
+    """Rows of a leg beyond which no intent fetches any."""
+    return k * max(own.get(path, 1) for own in FETCH.values())
+
+
+def fetched(legs: DataFrame, intents: DataFrame, k: int) -> DataFrame:
+    """The rows of legs (path, query_id, chunk, rank, score) that each query's intent (query_id, intent) fetches from each path; vectors only from the least score on."""
+    times = F.coalesce(*[F.when((F.col("intent") == i) & (F.col("path") == p), n) for i, own in FETCH.items() for p, n in own.items()], F.lit(1))
+    near = (F.col("path") != "vector") | (F.col("score") >= LEAST_VECTOR)
+    return legs.join(intents, "query_id").where(near & (F.col("rank") <= times * k)).drop("intent")
 
 
 def hybrid(legs: DataFrame, k: int, gated: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import fusion as FU
 from ..operators import graph as G
 from ..operators import search as S
 from ..operators import tables as O
+from ..operators.understanding import intent
 from .registry import CHUNKS_SQL, chunks, query, sql_tokens, t
 
 _COS = "list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
@@ -127,38 +128,53 @@ def fragment_search(spark, sf):
     return got.select("p_partkey", "probe")
 
 
-_LEGS = f"""
+_INTENT = """CASE WHEN regexp_matches(lower(text), 'trend|change|趋势|走势|变化') THEN 'trend' WHEN regexp_matches(lower(text), 'compare|versus|difference|比较|对比|区别') THEN 'compare'
+    WHEN regexp_matches(lower(text), 'price|cost|how much|价格|单价|多少钱|造价') THEN 'price' WHEN regexp_matches(lower(text), 'rule|clause|standard|rate|费率|规定|条款|标准') THEN 'rule'
+    WHEN regexp_matches(lower(text), 'what is|define|meaning|什么是|定义|含义') THEN 'definition' ELSE 'general' END"""
+
+
+def _legs_sql(legs):
+    return f"""
     {_BM25}, emb AS (SELECT e.vec_id AS chunk, q.vec_id AS query_id, round({_COS}, 4) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE e.vec_id <> q.vec_id),
     vec AS (SELECT query_id, chunk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS INTEGER) AS rank, score FROM emb),
     lit AS (SELECT b.item_id AS query_id, d.doc_id AS chunk, CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text), d.doc_id) AS INTEGER) AS rank, 0.72 AS score
             FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
-    legs AS (SELECT 'text' AS path, * FROM bm WHERE rank <= 20 UNION ALL SELECT 'vector', * FROM vec WHERE rank <= 20 UNION ALL SELECT 'literal', * FROM lit WHERE rank <= 10),
+    legs AS ({legs}),
     fused AS (SELECT query_id, chunk, round(sum(1 / (60.0 + rank)), 6) AS rrf_score, CAST(count(DISTINCT path) AS INTEGER) AS hits, min(rank) AS best_rank,
                      round(least(0.99, max(score) + least(0.12, 8 * sum(1 / (60.0 + rank)) + 0.03 * (count(DISTINCT path) - 1))), 4) AS score FROM legs GROUP BY 1, 2)
 """
 
 
-def legs(spark, sf):
-    """Ranked lists of three paths for all benchmark items: BM25, the vector of the same number, literal hits."""
+_LEGS = _legs_sql("SELECT 'text' AS path, * FROM bm WHERE rank <= 20 UNION ALL SELECT 'vector', * FROM vec WHERE rank <= 20 UNION ALL SELECT 'literal', * FROM lit WHERE rank <= 10")
+_BY_INTENT = _legs_sql("""
+        SELECT 'text' AS path, bm.* FROM bm JOIN kinds USING (query_id) WHERE rank <= 8 * CASE intent WHEN 'rule' THEN 3 WHEN 'compare' THEN 2 WHEN 'price' THEN 2 ELSE 1 END UNION ALL
+        SELECT 'vector', vec.* FROM vec WHERE rank <= 8 AND score >= 0.4 UNION ALL
+        SELECT 'literal', lit.* FROM lit JOIN kinds USING (query_id) WHERE rank <= 8 * CASE intent WHEN 'rule' THEN 3 WHEN 'compare' THEN 2 ELSE 1 END""")
+
+
+def legs(spark, sf, words=20, near=20, held=10):
+    """Ranked lists of three paths for all benchmark items: BM25, the vector of the same number, literal hits, each of so many rows."""
     docs, asked = _docs(spark, sf), _asked(spark, sf)
-    text = S.bm25(docs, asked, 20)
+    text = S.bm25(docs, asked, words)
     scored = S.against_all(_rows(spark, sf), _vectors(spark, sf), "vec_id", "embedding").select("query_id", F.col("vec_id").alias("chunk"), "score")
     by = Window.partitionBy("query_id")
-    vector = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= 20)
+    vector = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= near)
     hits = S.literal_matches(docs, asked).select("query_id", "chunk_id", "content")
-    literal = hits.withColumn("rank", F.row_number().over(by.orderBy(F.length("content"), "chunk_id"))).where(F.col("rank") <= 10).select("query_id", F.col("chunk_id").alias("chunk"), "rank", F.lit(0.72).alias("score"))
+    literal = hits.withColumn("rank", F.row_number().over(by.orderBy(F.length("content"), "chunk_id"))).where(F.col("rank") <= held).select("query_id", F.col("chunk_id").alias("chunk"), "rank", F.lit(0.72).alias("score"))
     named = lambda df, path: df.select(F.lit(path).alias("path"), "query_id", "chunk", "rank", "score")
     return FU.union([named(text, "text"), named(vector, "vector"), named(literal, "literal")])
 
 
 @query(f"""
-    WITH {_LEGS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, score DESC, chunk) AS n FROM fused)
+    WITH kinds AS (SELECT item_id AS query_id, {_INTENT} AS intent FROM benchmark), {_BY_INTENT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, score DESC, chunk) AS n FROM fused)
     SELECT query_id, chunk, rrf_score, hits, best_rank, score FROM r WHERE n <= 8
 """)
 def hybrid_search(spark, sf):
-    from ..plans.hybrid import hybrid
+    from ..plans import hybrid as H
 
-    return hybrid(legs(spark, sf), 8)
+    own = legs(spark, sf, *[H.most_fetched(path, 8) for path in ("text", "vector", "literal")])
+    intents = _asked(spark, sf).select("query_id", intent(F.col("query")).alias("intent"))
+    return H.hybrid(H.fetched(own, intents, 8), 8)
 
 
 @query(f"WITH {_LEGS} SELECT query_id, chunk, rrf_score, hits, best_rank, score FROM fused")

@@ -84,3 +84,18 @@ def test_against_all(spark):
     got = {(r.query_id, r.vec_id): r.score for r in S.against_all(rows, asked, "vec_id", "embedding").collect()}
     known = {(1, 2): 0.6, (2, 1): 0.6, (2, 5): 0.6, (5, 2): 0.6, (1, 5): 1.0, (5, 1): 1.0}
     assert got == {(q, i): known.get((q, i)) for q in vectors for i in vectors if q != i}
+
+
+def test_fetched_by_intent(spark):
+    from quernstone.plans import hybrid as H
+
+    rows = [(p, q, 100 * q + r, r, 1.0 - r / 10) for p in ("text", "vector", "literal", "other") for q in (1, 2, 3) for r in range(1, 9)]
+    legs = spark.createDataFrame(rows, "path string, query_id int, chunk int, rank int, score double")
+    intents = spark.createDataFrame([(1, "rule"), (2, "compare"), (3, "general")], "query_id int, intent string")
+    got = {}
+    for r in H.fetched(legs, intents, 2).collect():
+        got[r.query_id, r.path] = max(r.rank, got.get((r.query_id, r.path), 0))
+    times = {1: {"text": 3, "literal": 3}, 2: {"text": 2, "literal": 2}, 3: {}}
+    assert got == {(q, p): 2 * times[q].get(p, 1) for q in times for p in ("text", "vector", "literal", "other")}
+    assert max(r.rank for r in H.fetched(legs, intents, 8).where("path = 'vector'").collect()) == 6
+    assert H.most_fetched("text", 8) == 24 and H.most_fetched("vector", 8) == 8
