@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,18 @@ def loose(column: str):
     return (F.col(column) + F.lit(0)).alias(column)
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever signs the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_hash(df: DataFrame, columns: list[str], seed: int) -> Column:
+    """A 64-bit hash of these columns. Hash functions pass nulls over, so each value goes in with a mark of whether it is there; nested values go in as JSON."""
+    nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map", "variant")}
+    parts = [x for c in columns for x in (named(c).isNull(), F.to_json(F.struct(named(c))) if c in nested else named(c).cast("string"))]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def many(batches, rows: int = 1 << 17):
     """Record batches put together until they have so many rows."""
     held: list[pa.RecordBatch] = []

@@ -7,9 +7,11 @@ shortage goes to its siblings, and only what no sibling can take is missing furt
 capacities are known before budgets, one pass down does this exactly, in whole tokens.
 
 A leaf with budget b takes whole epochs while they fit, and of the next one the longest prefix, in
-that epoch's seeded order, whose tokens fit. The prefix is found by two sums: over slices of the
-order, then inside a slice, so that no leaf is ever in one task. Texts are not shuffled: what a
-leaf takes is told by the last place of its prefix.
+that epoch's seeded order, whose tokens fit. Where the prefix ends is found by going down: sums over
+slices of the order name the slice that it ends in, sums inside that slice the id, and where many
+rows share that id, sums over slices of a hash of the rows, then of single hashes. Rows that are
+equal in all columns are one row with a count, so no leaf, id or group of copies is ever in one
+task. Texts are not shuffled: what a leaf takes is told by the place where its prefix ends.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, named, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hexadecimal digits of the order that name a slice.
+#: Hexadecimal digits of the order, and of a row's hash, that name a slice.
 SLICE = 3
+#: Equal rows that one task makes at most, where a prefix ends among them.
+STRETCH = 100_000
 #: Leaves that a broadcast may hold.
 BROADCAST_LEAVES = 20_000
 
@@ -70,42 +74,49 @@ def mix(docs: DataFrame, path: dict[str, Column], weights: Sequence[Column], num
 
     The budget is numerator / denominator of all tokens. Null names in the path are empty ones; null
     texts have no tokens; a leaf without tokens takes none of its documents. Rows that repeat are taken each
-    for itself, also where a prefix ends among equal rows. Rows that share id and tokens are ordered by a hash of all
-    columns. Columns of docs that have the names of the three new ones are replaced; other names may be anything.
+    for itself, also where a prefix ends among equal rows. Rows that share an id, null ones among them, are ordered by a hash of all
+    columns, nulls told apart. Columns of docs that have the names of the three new ones are replaced; other names may be anything.
     Whole-number division may leave a few tokens of a budget undealt, fewer than a node has children.
     """
     names, kept = list(path), [c for c in docs.columns if c not in ("__path", "__tokens", "__epoch")]
     own = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in path.items()]
     # the caller's columns travel in one struct, so that no name of theirs can clash
-    every = F.xxhash64(*[F.col(c).cast("string") for c in kept])
-    rows = docs.select(F.struct(*own).alias("__path"), tokens(F.col(text_col)).alias("__tokens"), F.col(id_col).alias("__id"), every.alias("__all"), F.struct(*kept).alias("__row"))
+    every = F.lower(F.lpad(F.hex(row_hash(docs, kept, seed)), 16, "0"))
+    rows = docs.select(F.struct(*own).alias("__path"), tokens(named(text_col)).alias("__tokens"), named(id_col).alias("__id"), every.alias("__all"), F.struct(*[named(c) for c in kept]).alias("__row"))
     sizes = rows.groupBy(*[F.col("__path")[n].alias(n) for n in names]).agg(F.sum("__tokens").alias("size"))
     plan = budgets(sizes, names, weights, numerator, denominator, epochs).where("size > 0")
     plan = cut(plan.select(F.struct(*names).alias("__path"), F.expr("budget div size").alias("whole"), F.expr("budget % size").alias("rest")), "budgets")
     # few leaves go to all tasks; many are joined by shuffling, where adaptive execution splits hot ones
     small = plan.count() <= BROADCAST_LEAVES
     to_all = F.broadcast if small else (lambda df: df)
-    keyed = rows.select("__path", F.col("__id").alias("id"), F.col("__tokens").alias("n"), F.col("__all").alias("h")).join(to_all(plan), "__path").where("rest > 0")
-    keyed = keyed.withColumn("at", place(seed, F.col("whole"), F.col("id"))).withColumn("slice", F.substring("at", 1, SLICE))
-    sums = keyed.groupBy("__path", "slice").agg(F.sum("n").alias("own"))
-    before = Window.partitionBy("__path").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("__path", "slice", (F.sum("own").over(before) - F.col("own")).alias("before"))
-    by = Window.partitionBy("__path", "slice").orderBy("at", "id", "n", "h")
-    upto = keyed.join(sums, ["__path", "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = upto.withColumn("nth", F.row_number().over(by) - F.rank().over(by) + 1).withColumn("there", F.count("*").over(by.rangeBetween(Window.currentRow, Window.currentRow)))
-    last = upto.where("upto <= rest").groupBy("__path").agg(F.max(F.struct("at", "id", "n", "h", "nth", "there")).alias("last"))
-    plan = cut(plan.join(last, "__path", "left").select("__path", "whole", "last"), "prefixes")
-    torn = plan.where("last.nth < last.there").count() > 0
-    key = lambda s: F.struct(*[s[x].alias(x) for x in ("at", "id", "n", "h")])
-    at = F.struct(place(seed, F.col("whole"), F.col("__id")).alias("at"), F.col("__id").alias("id"), F.col("__tokens").alias("n"), F.col("__all").alias("h"))
+    placed = rows.join(to_all(plan.where("rest > 0")), "__path").select("__path", "rest", place(seed, F.col("whole"), F.col("__id")).alias("at"), F.col("__all").alias("h"), F.col("__tokens").alias("n"))
+    keyed = cut(placed.groupBy("__path", "rest", "at", "h", "n").agg(F.count("*").alias("m")), "places")
+    slices = {"at_slice": F.substring("at", 1, SLICE), "at": F.col("at"), "h_slice": F.substring("h", 1, SLICE), "h": F.col("h")}
+    here, known = keyed.withColumn("t", F.col("n") * F.col("m")), ["__path"]
+    for level, of in slices.items():
+        # the prefix ends in the first slice by whose end the rest is used up; only its rows are looked at further
+        sums = here.withColumn(level, of).groupBy(*known, level).agg(F.sum("t").alias("t"), F.first("rest").alias("rest"), F.max("n").alias("n"))
+        upto = sums.withColumn("upto", F.sum("t").over(Window.partitionBy(*known).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)))
+        edge = upto.where("upto > rest").groupBy(*known).agg(F.min(F.struct(level, (F.col("rest") - (F.col("upto") - F.col("t"))).alias("left"), "n")).alias("e"))
+        edge = cut(edge.select(*known, F.col("e")[level].alias(level), F.col("e.left").alias("left"), F.col("e.n").alias("n")), "edges")
+        known.append(level)
+        if level != "h":
+            here = here.withColumn(level, of).drop("rest").join(to_all(edge.drop("n").withColumnRenamed("left", "rest")), known)
+    # of the rows at the edge, equal in all columns, so many fit
+    edge = edge.select("__path", F.struct("at", "h").alias("edge"), F.expr("left div n").alias("fit"))
+    plan = cut(plan.join(edge, "__path", "left").select("__path", "whole", "edge", "fit"), "prefixes")
+    torn = plan.where("fit > 0").count() > 0
+    at = F.struct(place(seed, F.col("whole"), F.col("__id")).alias("at"), F.col("__all").alias("h"))
     taken = rows.join(to_all(plan), "__path").withColumn("__at", at)
-    split = F.coalesce((F.col("__at") == key(F.col("last"))) & (F.col("last.nth") < F.col("last.there")), F.lit(False))
-    count = F.col("whole") + F.coalesce((F.col("__at") <= key(F.col("last"))).cast("long"), F.lit(0))
+    split = F.coalesce((F.col("__at") == F.col("edge")) & (F.col("fit") > 0), F.lit(False))
+    count = F.col("whole") + F.coalesce((F.col("__at") < F.col("edge")).cast("long"), F.lit(0))
     out = taken.where(~split & (count > 0)).select("__row", "__path", "__tokens", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("__epoch"))
     if torn:  # a prefix ends among rows that are equal in all columns: as many of them as fit have one epoch more
-        same = taken.where(split).groupBy("__path").agg(*[F.first(c).alias(c) for c in ("__row", "__tokens", "whole", "last")])
-        same = same.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last.there"))))
-        count = F.col("whole") + (F.col("i") <= F.col("last.nth")).cast("long")
+        same = taken.where(split).groupBy("__path").agg(*[F.first(c).alias(c) for c in ("__row", "__tokens", "whole", "fit")], F.count("*").alias("there"))
+        # in stretches that are dealt out, for there may be very many of them
+        stretches = same.withColumn("lo", F.explode(F.sequence(F.lit(1).cast("long"), F.col("there"), F.lit(STRETCH)))).repartition("__path", "lo")
+        same = stretches.withColumn("i", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + (STRETCH - 1), "there"))))
+        count = F.col("whole") + (F.col("i") <= F.col("fit")).cast("long")
         out = out.unionByName(same.where(count > 0).select("__row", "__path", "__tokens", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("__epoch")))
     return out.select("__row.*", "__path", "__tokens", "__epoch")
 

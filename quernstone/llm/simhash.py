@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, loose, tidy, words_of
+from .common import as_bytes, cut, loose, row_hash, tidy, words_of
 from .components import components
 
 RADIUS = 3
@@ -152,12 +152,11 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component of linked texts, with all its columns: the one with the smallest id, of equal ids that with the smallest fingerprint, then the smallest hash of its columns.
 
-    A row is known by a 128-bit hash of all its columns, so texts that share an id are decided each for itself, and of
+    A row is known by a 128-bit hash of all its columns, nulls told apart, so texts that share an id are decided each for itself, and of
     rows that are equal in all columns one stays. A null id comes after all others. Null and empty texts have
     fingerprint zero. An empty table gives an empty one. Columns may have any names.
     """
-    columns = [F.col(c).cast("string") for c in docs.columns]
-    key = F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
+    key = F.struct(row_hash(docs, docs.columns, 1).alias("a"), row_hash(docs, docs.columns, 2).alias("b"))
 
     def each(batches):
         for b in batches:

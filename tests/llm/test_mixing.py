@@ -51,3 +51,28 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(i, "a b c", "s", 1, 2, 3, 4, {"k": i}) for i in range(20)], "doc_id long, text string, __path string, __tokens int, __plan int, __id int, __all int, __row map<string,int>")
     got = mixing.mix(df, {"source": F.col("__path")}, [F.lit(1)], 1, 2).collect()
     assert len(got) == 10 and all(r["__tokens"] == 3 and r["__path"].source == "s" and r["__row"] == {"k": r.doc_id} and r["__id"] == 2 + 1 for r in got)
+
+
+def test_nulls_in_other_columns_tell_rows_apart(spark):
+    rows = [(7, "a b", "X", None), (7, "a b", None, "X")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c1 string, c2 string")
+    got = mixing.mix(df, {"all": F.lit("")}, [F.lit(1)], 3, 2, epochs=2).collect()
+    assert sorted(Counter((r.c1, r.c2) for r in got).values()) == [1, 2]
+
+
+def test_rows_that_share_an_id_are_dealt_out_by_their_hashes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    rows = [(None, f"t{i % 90} {'w ' * (i % 4)}", i % 90) for i in range(180)] + [(5, f"u{i}", i) for i in range(60)] + [(i, "", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nr int").repartition(5)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    for twelfths in (1, 7, 11, 17):
+        budget = min(total * twelfths // 12, 2 * total)
+        got = mixing.mix(df, {"all": F.lit("")}, [F.lit(1)], twelfths, 12, epochs=2, seed=twelfths).collect()
+        used = sum(r["__tokens"] for r in got)
+        assert budget - 4 < used <= budget
+        times = Counter((r.doc_id, r.text, r.nr) for r in got)
+        have = Counter(rows)
+        whole = budget // total
+        # each row has the whole epochs, and one of them at most is torn
+        assert all(whole * have[k] <= times[k] <= (whole + 1) * have[k] for k in have)
+        assert sum(times[k] not in (whole * have[k], (whole + 1) * have[k]) for k in have) <= 1

@@ -65,3 +65,9 @@ def test_one_row_of_each_component_stays(spark):
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "t t t"), ("2", "u v w x"), ("7", None), ("None", "only here once")]
     assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_nulls_in_other_columns_tell_rows_apart(spark):
+    rows = [(7, None, "u v", "a"), (7, "u v", None, "a"), (1, "z", None, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string, c string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [1, 7]
