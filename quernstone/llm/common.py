@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,19 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_lists(text: bytes | None, size: int = 1 << 22):
+    """The text's words `[^\\x20\\x09-\\x0D]+` as they are, in lists from pieces of about so many bytes."""
+    at = 0
+    while text and at < len(text):
+        blank = _BLANK.search(text, at + size)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def loose(column: str):
     """The column as an expression that hides how its table is dealt out, so that a join on it deals both sides anew and adaptive execution may split a hot key."""
     return (F.col(column) + F.lit(0)).alias(column)

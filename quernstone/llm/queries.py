@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, hnsw, kdtree, lattice, lexical, mixing, packing, pii, simhash, suffix, toxicity, warc
+from . import doubling, fim, hnsw, kdtree, lattice, lexical, mixing, packing, pii, simhash, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +71,17 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op3_lattice_score": op3_lattice_score, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op11_fill_in_middle": op11_fill_in_middle, "op12_lexical_search": op12_lexical_search}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.digest(doubling.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op3_lattice_score": op3_lattice_score, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op11_fill_in_middle": op11_fill_in_middle, "op12_lexical_search": op12_lexical_search, "op13_substring_dedup": op13_substring_dedup}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
     "op12_lexical_search": lexical.ORACLE,
+    "op13_substring_dedup": doubling.ORACLE,
     "op2_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
