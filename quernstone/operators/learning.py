@@ -12,6 +12,7 @@ from pyspark.sql import types
 
 from ..functions import numbers as N
 from ..functions import text as T
+from .tables import top_k
 
 #: Points that a signal of each kind gives towards severity.
 SEVERITY = {"failure": 20, "violation": 15, "repeat": 5, "topology": 8}
@@ -127,7 +128,6 @@ def retest_queue(requests: DataFrame) -> DataFrame:
 
 
 def retest_batch(queue: DataFrame, now: Column, k: int) -> DataFrame:
-    from .tables import top_k
 
     return top_k(queue.where(F.col("due") <= now), k, F.desc("priority"), F.col("due"), F.col("question_hash"))
 
@@ -256,3 +256,26 @@ def relevancy(question: Column, answer: Column) -> Column:
     q, a = T.distinct_tokens(question), T.distinct_tokens(answer)
     share = T.overlap_share(q, a)
     return F.when(F.size(q) == 0, 0.5).when(F.length(F.trim(answer)) < 8, F.round(0.6 * share, 4)).otherwise(F.round(F.least(F.lit(1.0), 1.5 * share), 4))
+
+
+def run_summary(runs: DataFrame, feedback: DataFrame, order: Sequence[Column], feedback_order: Sequence[Column], most: int = 500, tools: int = 20) -> DataFrame:
+    """Rows (part, key, n, value) over the last runs (quality, refused, confidence, tools, query_type) and the last feedback (rating).
+
+    Parts: runs, quality, refused, confidence (n runs that have one, value their mean to three places), tool (the most frequent
+    ones, ties by name), type, feedback (positive, negative, total). Good, weak and failure are there even with no run; a missing quality or type is 'unknown'.
+    """
+    last = top_k(runs, most, *order)
+    told = top_k(feedback, most, *feedback_order)
+    none = F.lit(None).cast("double")
+    row = lambda part, key, n, value=none: F.struct(F.lit(part).alias("part"), F.lit(key).alias("key"), n.cast("long").alias("n"), value.alias("value"))
+    quality = F.coalesce("quality", F.lit("unknown"))
+    totals = last.agg(F.array(
+        row("runs", "", F.count("*")), row("refused", "", F.count_if("refused")), row("confidence", "", F.count("confidence"), F.coalesce(F.round(F.avg("confidence"), 3), F.lit(0.0))),
+        *[row("quality", q, F.count_if(quality == q)) for q in ("good", "weak", "failure")],
+    ).alias("x")).select(F.inline("x"))
+    counted = lambda part, rows: rows.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "key", "n", none.alias("value"))
+    other = counted("quality", last.select(quality.alias("key")).where("key not in ('good', 'weak', 'failure')"))
+    used = top_k(counted("tool", last.select(F.explode("tools").alias("key"))), tools, F.desc("n"), F.col("key"))
+    types = counted("type", last.select(F.coalesce("query_type", F.lit("unknown")).alias("key")))
+    heard = told.agg(F.array(row("feedback", "positive", F.count_if(F.col("rating") > 0)), row("feedback", "negative", F.count_if(F.col("rating") < 0)), row("feedback", "total", F.count("*"))).alias("x")).select(F.inline("x"))
+    return totals.unionByName(other).unionByName(used).unionByName(types).unionByName(heard)

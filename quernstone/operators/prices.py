@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from .tables import latest_per_key
+from .tables import latest_per_key, match
 
 
 def price_range(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,39 +74,68 @@ def missing_months(rows: DataFrame, keys: Sequence[str], first: str, last: str)
     return spine(rows, keys, first, last).join(rows.select(*keys, "ym").distinct(), [*keys, "ym"], "left_anti")
 
 
+def slices(values: DataFrame, column: str, most: int = 256) -> DataFrame:
+    """values with the number of the slice that each falls in, slices holding about as many rows each; splitters are taken from the values, and only they come to the driver."""
+    from pyspark.ml.feature import Bucketizer
+
+    own = values.withColumn("__x", F.col(column).cast("double"))
+    cuts = own.where("__x is not null and not isnan(__x)").approxQuantile("__x", [i / most for i in range(1, most)], 1 / (4 * most))
+    splits = [float("-inf"), *sorted({c for c in cuts if abs(c) < float("inf")}), float("inf")]
+    if len(splits) == 2:
+        splits.insert(1, 0.0)
+    return Bucketizer(splits=splits, inputCol="__x", outputCol="slice", handleInvalid="keep").transform(own).drop("__x")
+
+
+def running_counts(rows: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, column, c, upto): how often each value is there, and how many rows of the key are at or below it. No task sees all values of a key, nor all rows of a value."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c"))
+    own = slices(counts, column)
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # over one row a slice
+    sums = own.groupBy(*keys, "slice").agg(F.sum("c").alias("s")).withColumn("before", F.sum("s").over(before) - F.col("s")).drop("s")
+    inside = Window.partitionBy(*keys, "slice").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    here = match(own.withColumn("inside", F.sum("c").over(inside)), sums, [*keys, "slice"])
+    return here.select(*keys, column, "c", (F.col("before") + F.col("inside")).alias("upto"))
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a column for each named share): exact percentiles, interpolated between the two values that the share falls between, of the values that aren't null."""
+    own = running_counts(rows, value, keys)
+    totals = own.groupBy(*keys).agg(F.max("upto").alias("__n"))
+    own = match(own, totals, keys)
+    at = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col(value).cast("double")))
+    place = {name: (F.col("__n") - 1) * F.lit(p) for name, p in shares.items()}
+    got = own.groupBy(*keys).agg(F.max("__n").alias("__n"), *[at(f(x)).alias(f"__{which}_{name}") for name, x in place.items() for which, f in (("low", F.floor), ("high", F.ceil))])
+    between = lambda name, x: (F.ceil(x) - x) * F.col(f"__low_{name}") + (x - F.floor(x)) * F.col(f"__high_{name}")
+    return got.select(*keys, *[F.when(F.ceil(x) == F.floor(x), F.col(f"__low_{name}")).otherwise(between(name, x)).alias(name) for name, x in place.items()])
+
+
 def number_stats(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, range, mean, median, population deviation, interpolated percentiles, sum."""
-    pct = lambda p: F.round(F.percentile(value, p), 6).alias(f"p{round(p * 100)}")
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"), F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("median"),
-        F.round(F.stddev_pop(value), 4).alias("std"), *[pct(p) for p in (0.25, 0.75, 0.95, 0.99)], F.round(F.sum(value), 2).alias("total"),
+    sums = rows.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"), F.round(F.avg(value), 4).alias("mean"),
+        F.round(F.stddev_pop(value), 4).alias("std"), F.round(F.sum(value), 2).alias("total"),
     )
+    shares = percentiles(rows, value, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95, "p99": 0.99}, keys)
+    both = match(sums, shares, keys, "left")
+    return both.select(*keys, "n", "low", "high", "mean", F.round("median", 6).alias("median"), "std", *[F.round(p, 6).alias(p) for p in ("p25", "p75", "p95", "p99")], "total")
 
 
 def outliers(rows: DataFrame, value: str, keys: Sequence[str], method: str = "iqr", least: int = 5) -> DataFrame:
     """Rows outside 1.5 interquartile ranges, or more than 3 population deviations off, of groups with enough rows."""
     if method == "iqr":
-        s = rows.groupBy(*keys).agg(F.count(value).alias("__n"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+        s = match(percentiles(rows, value, {"q1": 0.25, "q3": 0.75}, keys), rows.groupBy(*keys).agg(F.count(value).alias("__n")), keys)
         s = s.select(*keys, "__n", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("__low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("__high"))
     elif method == "zscore":
         s = rows.groupBy(*keys).agg(F.count(value).alias("__n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("d"))
         s = s.select(*keys, "__n", (F.col("m") - 3 * F.col("d")).alias("__low"), (F.col("m") + 3 * F.col("d")).alias("__high"))
     else:
         raise ValueError(f"no such method: {method}")
-    return rows.join(s.where(F.col("__n") >= least), list(keys)).where((F.col(value) < F.col("__low")) | (F.col(value) > F.col("__high"))).drop("__n", "__low", "__high")
-
-
-def average_ranks(rows: DataFrame, column: str, slices: int = 4096) -> DataFrame:
-    """(column, rank) of each distinct value, ties at their mean: sums over slices of the value range, then inside a slice, so that no task sees all values."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    ends = counts.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
-    place = F.floor((F.col(column).cast("double") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0) * slices)
-    own = counts.crossJoin(F.broadcast(ends)).withColumn("slice", place)
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # over one row a slice
-    sums = own.groupBy("slice").agg(F.sum("c").alias("s")).select("slice", (F.sum("s").over(before) - F.col("s")).alias("before"))
-    inside = Window.partitionBy("slice").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    upto = own.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(sums), "slice")
-    return upto.select(column, (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
+    return match(rows, s.where(F.col("__n") >= least), keys).where((F.col(value) < F.col("__low")) | (F.col(value) > F.col("__high"))).drop("__n", "__low", "__high")
+
+
+def average_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """(column, rank) of each distinct value, ties at their mean: sums over slices of the values, then inside a slice, so that no task sees all values."""
+    return running_counts(rows, column).select(column, (F.col("upto") - (F.col("c") - 1) / 2.0).alias("rank"))
 
 
 def correlate(rows: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

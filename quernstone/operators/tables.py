@@ -21,9 +21,42 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def top_k(df: DataFrame, k: int, *order: Column, most: int = 200) -> DataFrame:
-    """The first rows in order, at least 1 and at most `most`."""
-    return df.orderBy(*order).limit(max(1, min(k, most)))
+def top_k(df: DataFrame, k: int, *order: Column, most: int | None = None) -> DataFrame:
+    """The first k rows in order, one at least; of operators that hold k down, at most `most`."""
+    return df.orderBy(*order).limit(max(1, k if most is None else min(k, most)))
+
+
+def match(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """a joined with b on equal keys, nulls being equal; b has one row a key. Without keys b is one row."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
+    other = b.withColumnsRenamed({k: f"__b_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
+    return a.join(other, on, how).drop(*[f"__b_{k}" for k in keys])
+
+
+#: Rows that an operator sends to all tasks at most, counted before it does so.
+SENT_ROWS = 10_000
+
+
+def in_blocks(asked: DataFrame, key: str, most: int | None = None) -> list[DataFrame]:
+    """A stated table as tables of about so many rows, by a hash of its key, each marked to be sent to all tasks. Null keys go along."""
+    most = SENT_ROWS if most is None else most
+    n = -(-asked.count() // most)
+    if n <= 1:
+        return [F.broadcast(asked)]
+    return [F.broadcast(asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
+def with_each(rows: DataFrame, asked: DataFrame, key: str, on: Column | None = None) -> DataFrame:
+    """Rows with each row of a stated table that `on` lets them meet, in blocks of it."""
+    out = None
+    for block in in_blocks(asked, key):
+        own = rows.crossJoin(block) if on is None else rows.join(block, on)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def _sides(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -110,7 +143,7 @@ def aggregate(df: DataFrame, group_by: str, agg: str, column: str | None = None,
         df = df.where(F.col(m[1]) == m[2])
     value = F.count("*") if agg == "count" else getattr(F, agg)(column)
     out = df.groupBy(F.col(group_by).alias("bucket")).agg(value.alias("value"))
-    return top_k(out, k, F.col("value").desc() if descending else F.col("value").asc(), F.col("bucket").asc())
+    return top_k(out, k, F.col("value").desc() if descending else F.col("value").asc(), F.col("bucket").asc(), most=200)
 
 
 _FORBIDDEN = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|copy|call|set|add|load|refresh|cache|uncache|analyze|msck|repair|use|vacuum|reindex|lock|execute|prepare)\b", re.I)

@@ -97,7 +97,7 @@ def contract_violations(spark, sf):
 
 
 @query("""
-    WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200), x AS (SELECT unnest(['tool_' || (user_id % 7), 'tool_' || (event_id % 5)]) AS tool FROM r)
+    WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500), x AS (SELECT unnest(['tool_' || (user_id % 7), 'tool_' || (event_id % 5)]) AS tool FROM r)
     SELECT tool, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, tool LIMIT 20
 """)
 def learning_summary_tools(spark, sf):
@@ -107,6 +107,30 @@ def learning_summary_tools(spark, sf):
     return O.top_k(own, 20, F.desc("n"), F.col("tool"))
 
 
+@query("""
+    WITH r AS (SELECT *, CASE WHEN event_type = 'error' THEN 'failure' WHEN value < 20 THEN 'weak' WHEN value < 400 THEN 'good' END AS quality, event_type = 'error' AS refused, CASE WHEN value < 100 THEN value / 100 END AS confidence
+               FROM events ORDER BY ts DESC, event_id DESC LIMIT 500),
+    f AS (SELECT CASE WHEN value >= 50 THEN 1 WHEN value < 10 THEN -1 ELSE 0 END AS rating FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 500)
+    SELECT 'runs' AS part, '' AS key, count(*) AS n, NULL::DOUBLE AS value FROM r UNION ALL SELECT 'refused', '', count(*) FILTER (refused), NULL FROM r
+    UNION ALL SELECT 'confidence', '', count(confidence), coalesce(round(avg(confidence), 3), 0) FROM r
+    UNION ALL SELECT 'quality', k.q, (SELECT count(*) FROM r WHERE quality = k.q), NULL FROM (VALUES ('good'), ('weak'), ('failure')) k(q)
+    UNION ALL SELECT 'quality', 'unknown', count(*), NULL FROM r WHERE quality IS NULL HAVING count(*) > 0
+    UNION ALL SELECT * FROM (SELECT 'tool', tool, count(*) AS n, NULL FROM (SELECT unnest(['tool_' || (user_id % 7), 'tool_' || (event_id % 5)]) AS tool FROM r) GROUP BY tool ORDER BY n DESC, tool LIMIT 20)
+    UNION ALL SELECT 'type', event_type, count(*), NULL FROM r GROUP BY 2
+    UNION ALL SELECT 'feedback', 'positive', count(*) FILTER (rating > 0), NULL FROM f UNION ALL SELECT 'feedback', 'negative', count(*) FILTER (rating < 0), NULL FROM f UNION ALL SELECT 'feedback', 'total', count(*), NULL FROM f
+""")
+def learning_summary(spark, sf):
+    from ..operators.learning import run_summary
+
+    e, tool = t(spark, sf, "events"), (lambda c: F.concat(F.lit("tool_"), c.cast("string")))
+    v, error = F.col("value"), F.col("event_type") == "error"
+    runs = e.select("ts", "event_id", F.when(error, "failure").when(v < 20, "weak").when(v < 400, "good").alias("quality"), error.alias("refused"), F.when(v < 100, v / 100).alias("confidence"),
+                    F.array(tool(F.col("user_id") % 7), tool(F.col("event_id") % 5)).alias("tools"), F.col("event_type").alias("query_type"))
+    told = e.where("event_type = 'click'").select("ts", "event_id", F.when(v >= 50, 1).when(v < 10, -1).otherwise(0).alias("rating"))
+    late = [F.desc("ts"), F.desc("event_id")]
+    return run_summary(runs, told, late, late)
+
+
 @query("""
     WITH b AS (SELECT event_type, CASE WHEN value <= 10 THEN '10' WHEN value <= 50 THEN '50' WHEN value <= 100 THEN '100' ELSE 'inf' END AS le FROM events)
     SELECT event_type, le, count(*) AS n FROM b GROUP BY 1, 2
