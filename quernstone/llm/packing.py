@@ -33,7 +33,7 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
 #: Heaviest terms that make a document's place in the order, and BM25's constants.
 KEY_TERMS, K1, B = 4, 1.2, 0.75
 #: Runs and words that a worker remembers the ids of, before it starts anew with those in use.
-MEMO = 1 << 17
+MEMO = 1 << 15
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
 KNOWN_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},

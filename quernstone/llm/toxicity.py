@@ -25,7 +25,7 @@ WORD_BUCKETS, TRIGRAM_BUCKETS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 13, 12,
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 30_000_000
 EPOCHS, BATCH, RATE, SEED = 6, 100, 0.02, 7
 #: Words that a worker remembers the inputs of.
-MEMO = 1 << 17
+MEMO = 1 << 16
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
