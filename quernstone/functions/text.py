@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Runs of letters and digits of any script but Han, or single Han characters.
 TOKEN = r"[\u4e00-\u9fa5]|[a-zA-Z0-9_\u00c0-\u024f]+"
+#: What lies between the words that trigrams are taken of.
+NO_WORD = "[^a-z0-9\\u00c0-\\u024f\\u4e00-\\u9fa5]+"
 #: Characters between Chinese terms, words that are no terms, and the dictionary of materials.
 PARTICLES = "的中和或与是以为及对到从在由把被让所对于关于以及通过根据按照另外另一这一那些这些任何什么怎么哪些哪个如何为何多少"
 STOP_TERMS = [
@@ -77,11 +79,16 @@ def json_without(col: Column, key: str) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of lower-case words, each word with two blanks before it and one after."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\\u00c0-\\u024f\\u4e00-\\u9fa5]+"), lambda w: F.length(w) > 0)
+    """Distinct trigrams of a text."""
+    return F.array_distinct(ordered_trigrams(text))
+
+
+def ordered_trigrams(text: Column) -> Column:
+    """Trigrams of lower-case words in order, repeats included, each word with two blanks before it and one after."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda w: F.length(w) > 0)
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    return F.flatten(grams)
 
 
 def period(text: Column) -> Column:

@@ -279,3 +279,30 @@ def run_summary(runs: DataFrame, feedback: DataFrame, order: Sequence[Column], f
     types = counted("type", last.select(F.coalesce("query_type", F.lit("unknown")).alias("key")))
     heard = told.agg(F.array(row("feedback", "positive", F.count_if(F.col("rating") > 0)), row("feedback", "negative", F.count_if(F.col("rating") < 0)), row("feedback", "total", F.count("*"))).alias("x")).select(F.inline("x"))
     return totals.unionByName(other).unionByName(used).unionByName(types).unionByName(heard)
+
+
+def gap_transitions(events: DataFrame, key: str, window_seconds: int, until: Column) -> DataFrame:
+    """(key, at, action, old, new): what becomes of each gap by its events (ts, event_id, kind) up to a time.
+
+    A gap is open. Evidence that passes (kind 'pass') puts it under observation; if none that fails ('fail') comes within the window it is
+    resolved, by itself; if some comes, then or later, it is open again. A repair that is asked for ('repair') while the gap is open opens a task, unless
+    one is; the pass closes it. Other kinds, and what changes nothing, leave no row. Event by event in time, then id. Events that fail next after one
+    that passes cut a gap's history into stretches, and what happens in a stretch are sums over it.
+    """
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    own = events.where(F.col("kind").isin("pass", "fail", "repair") & (F.col("ts") <= until))
+    before = F.last(F.when(F.col("kind") != "repair", F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("cut", F.coalesce(((F.col("kind") == "fail") & (before == "pass")).cast("int"), F.lit(0)))
+    own = own.withColumn("stretch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("ts", "event_id")))
+    runs = own.groupBy(key, "stretch").agg(first("fail").alias("fail"), first("pass").alias("passed"), first("repair").alias("asked"))
+    runs = runs.withColumns({"end": F.lead("fail.ts").over(Window.partitionBy(key).orderBy("stretch")), "deadline": F.col("passed.ts") + F.make_dt_interval(secs=F.lit(window_seconds))})
+    resolved = F.col("passed").isNotNull() & (F.col("deadline") <= until) & (F.col("end").isNull() | (F.col("end") > F.col("deadline")))
+    asked = F.col("asked").isNotNull() & (F.col("passed").isNull() | (F.col("asked") < F.col("passed")))
+    row = lambda when, at, action, old, new: F.when(when, F.struct(at.alias("at"), F.lit(action).alias("action"), (F.lit(old) if isinstance(old, str) else old).alias("old"), F.lit(new).alias("new")))
+    passed, ended = F.col("passed").isNotNull(), F.col("passed").isNotNull() & F.col("end").isNotNull()
+    steps = F.array(
+        row(asked, F.col("asked.ts"), "open_task", "open", "open"), row(asked & passed, F.col("passed.ts"), "close_task", "open", "open"), row(passed, F.col("passed.ts"), "observe", "open", "observing"),
+        row(resolved, F.col("deadline"), "resolve", "observing", "resolved"), row(ended, F.col("end"), "reopen", F.when(resolved, "resolved").otherwise("observing"), "open"),
+    )
+    return runs.select(key, F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")

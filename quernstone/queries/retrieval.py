@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..functions.vectors import cosine
 from ..operators import fusion as FU
 from ..operators import graph as G
 from ..operators import search as S
@@ -79,18 +80,19 @@ def bm25_search(spark, sf):
     return S.bm25(_docs(spark, sf), _asked(spark, sf), 10)
 
 
-_GRAMS = """list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9À-ɏ一-龥]+'), lambda w: len(w) > 0),
-    lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
+_GRAMS = """flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9À-ɏ一-龥]+'), lambda w: len(w) > 0),
+    lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"""
 
 
 @query(f"""
-    WITH q AS (SELECT {_GRAMS.format("'promo brushed'")} AS g), s AS (
-        SELECT p_partkey, round(len(list_intersect(q.g, {_GRAMS.format("p_type || ' ' || p_name")})) / len(q.g), 4) AS score FROM part, q)
+    WITH q AS (SELECT list_distinct({_GRAMS.format("'promo brushed'")}) AS g), p AS (SELECT p_partkey, {_GRAMS.format("p_type || ' ' || p_name")} AS t FROM part),
+    e AS (SELECT p_partkey, g, unnest(flatten(list_transform(range(1, len(t) + 1), lambda i: list_transform(range(i, len(t) + 1), lambda j: list_distinct(t[i:j]))))) AS x FROM p, q),
+    s AS (SELECT p_partkey, round(max(len(list_intersect(g, x)) / (len(g) + len(x) - len(list_intersect(g, x)))), 4) AS score FROM e GROUP BY 1)
     SELECT p_partkey, score FROM s WHERE score > 0.12 ORDER BY score DESC, p_partkey LIMIT 30
 """)
 def word_similarity(spark, sf):
     p = t(spark, sf, "part").withColumn("label", F.concat_ws(" ", "p_type", "p_name"))
-    return S.word_similarity(p, "promo brushed", 0.12, 30, "p_partkey", "label").select("p_partkey", "score")
+    return S.word_similarity(p, "promo brushed", S.LEAST_TEXT, 30, "p_partkey", "label").select("p_partkey", "score")
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, 0.72 AS score FROM chunks WHERE contains(lower(content), 'that the') ORDER BY length(content), chunk_id LIMIT 15")
@@ -339,15 +341,48 @@ def upstream_downstream(spark, sf):
     return G.tree_relatives(tree, two.agg(F.min("path")).first()[0])
 
 
-@query("""
-    WITH h AS (SELECT doc_id, lang, source, round(1.0 / (1 + doc_id % 17), 4) AS score FROM documents),
-    x AS (SELECT 'path' AS kind, source AS term, score * 0.95 AS s FROM h UNION ALL SELECT 'section', lang, score * 0.9 FROM h)
-    SELECT kind, term, round(max(s), 4) AS score FROM x GROUP BY 1, 2
+def _words_sql(n):
+    return f"list_distinct(list_filter({sql_tokens(f'substr(text, 1, {n})')}, lambda w: length(w) >= 4))"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, source, lang, source || '-' || lang AS section, {_words_sql(400)} AS t4, {_words_sql(200)} AS t2 FROM documents),
+    q AS (SELECT e.vec_id, e.embedding, d.source AS concept FROM embeddings e JOIN d ON d.doc_id = e.vec_id WHERE e.vec_id IN (SELECT item_id FROM benchmark)),
+    near AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.concept, e.vec_id AS chunk, round({_COS}, 4) AS score FROM embeddings e, q WHERE e.vec_id <> q.vec_id)
+             QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) <= 30),
+    found AS (SELECT query_id, concept, unnest([source, lang]) AS term, score * 0.95 AS s, 'path' AS source, 0 AS way FROM near JOIN d ON doc_id = chunk
+              UNION ALL SELECT query_id, concept, section, score * 0.9, 'section', 1 FROM near JOIN d ON doc_id = chunk
+              UNION ALL SELECT query_id, concept, term, score * 0.7, 'term', 2 FROM (SELECT query_id, concept, score, unnest(t4) AS term FROM near JOIN d ON doc_id = chunk) WHERE NOT contains(term, concept)),
+    one AS (SELECT query_id, concept, term, max(s) AS s, arg_min(source, way) AS source, min(way) AS way FROM found WHERE term <> concept AND length(term) >= 2 GROUP BY ALL),
+    seeds AS (SELECT query_id, concept, term FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, term) <= 3),
+    pick AS (SELECT s.query_id, s.concept, s.term AS seed, min(chunk) AS chunk FROM seeds s JOIN near n ON n.query_id = s.query_id JOIN d ON doc_id = chunk
+           WHERE s.term = d.source OR s.term = d.lang OR s.term = section OR list_contains(t4, s.term) GROUP BY ALL),
+    v AS (SELECT query_id, concept, seed, embedding FROM pick JOIN embeddings ON vec_id = chunk),
+    hop AS (SELECT * FROM (SELECT q.query_id, q.concept, q.seed, e.vec_id AS chunk, round({_COS}, 4) AS score FROM embeddings e, v q)
+            QUALIFY row_number() OVER (PARTITION BY query_id, seed ORDER BY score DESC, chunk) <= 5),
+    more AS (SELECT query_id, concept, term, score * 0.5 AS s, 'hop2' AS source, 3 AS way FROM (SELECT query_id, concept, seed, score, unnest(t2) AS term FROM hop JOIN d ON doc_id = chunk) WHERE term <> concept AND term <> seed),
+    two AS (SELECT query_id, term, max(s) AS s, arg_min(source, way) AS source FROM (SELECT * FROM one UNION ALL SELECT * FROM more) GROUP BY 1, 2)
+    SELECT query_id, term, round(s, 4) AS score, source FROM two QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, term) <= 15
 """)
 def concept_neighbors(spark, sf):
-    h = t(spark, sf, "documents").withColumn("score", F.round(F.lit(1.0) / (1 + F.col("doc_id") % 17), 4))
-    part = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("term"))
-    return G.neighbours(h, F.array(part("path", "source"), part("section", "lang")), {"path": 0.95, "section": 0.9})
+    """For the source of each question's document, by its vector: terms in two hops."""
+    words = lambda n: F.array_distinct(F.filter(T.tokens(F.substring("text", 1, n)), lambda w: F.length(w) >= 4))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("name"), F.concat_ws("/", "source", "lang").alias("path"), F.concat_ws("-", "source", "lang").alias("section"), words(400).alias("terms"), words(200).alias("more_terms"))
+    e = _rows(spark, sf)
+    top = lambda pairs, keys, n: pairs.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= n)
+    near = top(S.against_all(e, _vectors(spark, sf), "vec_id", "embedding").select("query_id", "vec_id", "score"), ["query_id"], G.NEAR).join(d, "vec_id")
+    near = near.join(d.select(F.col("vec_id").alias("query_id"), F.col("name").alias("asked")), "query_id")
+
+    def vectors(seeds):
+        every = near.select("query_id", "vec_id", F.explode(F.array_union(F.array_union(F.split("path", "/"), F.array("section")), "terms")).alias("term"))
+        first = every.join(seeds, ["query_id", "term"]).groupBy("query_id", "term").agg(F.min("vec_id").alias("vec_id"))
+        return first.join(t(spark, sf, "embeddings"), "vec_id").select("query_id", "term", F.col("embedding").alias("q"))
+
+    def nearest(asked, n):
+        pairs = O.with_each(e, asked, "query_id").select("query_id", "term", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+        return top(pairs, ["query_id", "term"], n).join(d.select("vec_id", "more_terms"), "vec_id")
+
+    return G.concept_walk(near, F.col("asked"), vectors, nearest, 2, 15)
 
 
 @query("""

@@ -56,3 +56,70 @@ def test_projection_like_the_batch(spark, tmp_path):
     pipes.project_into(s, path, *args, checkpoint=f"file://{tmp_path}/cp").awaitTermination()
     want = project(spark.read.schema(SCHEMA).parquet(f"file://{tmp_path}/in/*"), *args)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(map(tuple, want.collect()))
+
+
+def feed_rows(spark, tmp_path, schema, batches):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(*r[:-1], START + timedelta(seconds=r[-1])) for r in rows], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/b={i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+
+
+def test_in_order_holds_back_and_passes_over(spark, tmp_path):
+    batches = [[("a", 2, 20.0, 2), ("a", 1, 10.0, 1), ("b", 3, 3.0, 3)], [("a", 4, 40.0, 5), ("b", 1, 1.0, 4), ("a", 1, 11.0, 6)], [("a", 3, 30.0, 7), ("b", 5, 5.0, 8)], [("z", 1, 0.0, 500)], [("b", 4, 4.0, 501), ("z", 2, 0.0, 900)]]
+    got = drain(pipes.in_order(feed_rows(spark, tmp_path, "k string, seq long, value double, ts timestamp", batches), "k", "seq", "ts", "60 seconds", "10 seconds"), "ordered")
+    by = lambda k: [(r.seq, r.value, r.missed) for r in got if r.key == k]
+    assert by("a") == [(1, 10.0, 0), (2, 20.0, 0), (3, 30.0, 0), (4, 40.0, 0)]
+    # number 2 never comes: 3 goes out when its time is over, then 5, and 4 is too late
+    assert by("b") == [(1, 1.0, 0), (3, 3.0, 1), (5, 5.0, 1)]
+
+
+def test_latest_wins_like_the_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    events, s = [], 0
+    for i in range(120):
+        s += rng.choice([0, 1, 2, 15, 40])
+        events.append((f"k{rng.randint(0, 3)}", i, float(i), s))
+    mixed = [events[i : i + 20] for i in range(0, 120, 20)]
+    for a, b in zip(mixed, mixed[1:]):  # a few come a batch late, within what is allowed
+        b.insert(0, a.pop())
+    for m in mixed:
+        rng.shuffle(m)
+    mixed.append([("end", 999, 0.0, s + 5000)])
+    schema = "k string, id long, value double, ts timestamp"
+    stream = feed_rows(spark, tmp_path, schema, mixed)
+    got = {(r.key, r.event_id, r.value) for r in drain(pipes.latest_wins(stream, "k", "id", "ts", "20 seconds", "500 seconds"), "latest")}
+    want = set()
+    for k in {e[0] for e in events}:
+        own = sorted((e[3], e[1], e[2]) for e in events if e[0] == k)
+        want |= {(k, i, v) for n, (at, i, v) in enumerate(own) if n + 1 == len(own) or own[n + 1][0] >= at + 20}
+    assert got == want and 0 < len(want) < 120
+
+
+def test_gap_lifecycle_like_the_batch(spark, tmp_path):
+    import random
+
+    from quernstone.operators.learning import gap_transitions
+
+    rng = random.Random(9)
+    events, s = [], 0
+    for i in range(200):
+        s += rng.choice([1, 5, 30, 90])
+        events.append((f"g{rng.randint(0, 4)}", i, rng.choice(["fail", "pass", "repair", "other", "pass", "repair"]), s))
+    mixed = [events[i : i + 25] for i in range(0, 200, 25)]
+    for m in mixed:
+        rng.shuffle(m)
+    mixed.append([("end", 999, "other", s + 9000)])
+    schema = "key string, event_id long, kind string, ts timestamp"
+    stream = feed_rows(spark, tmp_path, schema, mixed)
+    got = sorted((r.key, r.at, r.action, r.old, r.new) for r in drain(pipes.gap_lifecycle(stream, "key", "1000 seconds", 120), "gaps"))
+    rows = spark.read.schema(schema).parquet(f"file://{tmp_path}/in/*")
+    until = F.lit(START + timedelta(seconds=s + 8000))
+    want = sorted((r.key, r["at"], r.action, r.old, r.new) for r in gap_transitions(rows, "key", 120, until).collect())
+    assert got == want and {w[2] for w in want} == {"open_task", "close_task", "observe", "resolve", "reopen"}
+    state = {}
+    for key, _, action, old, new in sorted(want, key=lambda w: (w[0], w[1], ["close_task", "observe", "resolve", "reopen", "open_task"].index(w[2]))):
+        status, task = state.get(key, ("open", False))
+        assert old == status and (action != "open_task" or not task) and (action != "close_task" or task)
+        state[key] = (new, action == "open_task" or (task and action not in ("close_task", "open_task")))
