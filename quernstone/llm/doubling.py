@@ -26,10 +26,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from .common import as_bytes, cut, loose, named, tidy, word_lists
+from .sieve import Filter, make_filter
 
 LENGTH, BASE = 35, 10
-#: Bits of a filter at most; windows compared in a task at once; those of a long text that are looked at at once.
-FILTER_BITS, HELD, CHUNK = 1 << 28, 1 << 20, 1 << 18
+#: Windows compared in a task at once; those of a long text that are looked at at once.
+HELD, CHUNK = 1 << 20, 1 << 18
 #: How often the route of windows may occur before they meet by their own hashes.
 HEAVY = 1 << 11
 _P, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -84,34 +85,6 @@ def looked_at(h: np.ndarray, least: np.ndarray, alive: np.ndarray) -> np.ndarray
     return (running(np.concatenate([pad, shown, pad]), span, np.maximum) == h) & (running(np.concatenate([pad, alive.astype(np.uint64), pad]), span, np.maximum) > 0)
 
 
-class Filter:
-    """Hashes of a table, as bits at two places each: none of the table's is missing, others seldom pass."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for at in (h & self.mask, (h >> np.uint64(32)) & self.mask):
-            found &= ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-        return found
-
-
-def make_filter(hashes: DataFrame) -> Filter | None:
-    """A filter of column h with 16 bits or more a hash as far as FILTER_BITS allow, None for an empty table."""
-    n = hashes.count()
-    if not n:
-        return None
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * n).bit_length()))
-    mask = F.lit(bits - 1).cast("long")
-    places = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("p"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    got = places.select(F.shiftright("p", 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return Filter(out.view(np.uint8))
-
-
 def word_hashes(text: bytes | None) -> np.ndarray:
     parts = [np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)) for words in word_lists(text)]
     return np.concatenate([np.empty(0, np.uint64), *parts])

@@ -19,6 +19,7 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, loose, row_hash, tidy, words_of
 from .components import components
+from .sieve import make_filter
 
 RADIUS = 3
 BLOCK = 16
@@ -173,11 +175,21 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = firsts.select(F.col("first.key").alias("key"), F.lit(True).alias("stays"))
     fate = rows.join(stay, "key", "left").where("stays is null or n > 1").select("key", F.coalesce("stays", F.lit(False)).alias("stays"))
     fate = cut(fate, "fate")
-    # what goes and what repeats is told by narrow tables, which Spark sends to all tasks while they are small
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key"))
-    alone = whole.join(fate.select("key"), "key", "left_anti")
-    repeated = whole.join(fate.where("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    return alone.unionByName(repeated).select("doc.*")
+    # a filter of bounded size lets most rows pass, and only those that may be in the table of fates meet it, by a shuffle
+    sieve = make_filter(fate.select(F.col("key.a").alias("h")))
+    if sieve is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    @F.pandas_udf("boolean")
+    def may_be_there(h: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.has(h.to_numpy().view(np.uint64)))
+
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key")).withColumn("may", may_be_there("key.a"))
+    some = whole.where("may")
+    alone = some.join(fate.select("key"), "key", "left_anti")
+    repeated = some.join(fate.where("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return whole.where("not may").unionByName(alone).unionByName(repeated).select("doc.*")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
