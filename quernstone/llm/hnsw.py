@@ -211,6 +211,10 @@ class Graph:
 
     def within(self, q: np.ndarray, width: int, cosine: float = COSINE, start: np.ndarray | None = None) -> list[np.ndarray]:
         """Rows with at least the given cosine to each query, verified in double precision."""
+        return self.within_or_all(q, width, cosine, start)[0]
+
+    def within_or_all(self, q: np.ndarray, width: int, cosine: float = COSINE, start: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """What within gives, and whether a query was put to all rows, so that nothing of it is missing."""
         n = len(self.u)
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
         wide = np.arange(len(q))
@@ -226,7 +230,9 @@ class Graph:
             for i, near in zip(rows, q[rows].astype(np.float32) @ self._f.T >= cosine - _SLACK):
                 c = np.flatnonzero(near)
                 out[i] = c[self.u[c] @ q[i] >= cosine]
-        return out
+        scanned = np.zeros(len(q), bool)
+        scanned[wide] = True
+        return out, scanned
 
     def recalls(self, probes: np.ndarray, width: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
         """For each probe with neighbours: how many there are, and the part of them that a beam finds."""
@@ -266,6 +272,8 @@ def _work(cosine: float):
             self.graph = Graph(units(rows), len(ids))
             self.width = self.graph.audited(cosine)
             self.parent, self.got = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+            # rows asked so far: those that were put to all rows, and which later rows each other one has found
+            self.scanned, self.ahead = np.zeros(len(ids), bool), {}
 
         def roots(self, rows):
             r = self.parent[rows]
@@ -273,18 +281,28 @@ def _work(cosine: float):
                 r = up
             return r
 
+        def uncounted(self, me, near, whole):
+            """Of the rows found near one of the shard's own those whose link hasn't been counted: later ones, and earlier ones that were asked before and didn't find it."""
+            later, earlier = near[near > me], near[near < me]
+            if not whole and len(later):
+                self.ahead[me] = frozenset(later.tolist())  # no more than a part of a beam
+            missed = [e for e in earlier[~self.scanned[earlier]].tolist() if me not in self.ahead.get(e, ())]
+            return np.concatenate([later, np.array(missed, np.int64)])
+
         def ask(self, ids, counts, rows):
             size = max(16, min(512, (64 << 20) // max(len(self.ids), 1)))
             for i in range(0, len(ids), size):
                 out, part = [], ids[i : i + size]
                 at = np.minimum(np.searchsorted(self.ids, part), len(self.ids) - 1)
                 own = self.ids[at] == part  # a shard's own classes ask it too, all of a batch or none
-                hits = self.graph.within(units(rows[i : i + size]), self.width, cosine, at if own.all() else None)
-                for one, n, me, mine, near in zip(part.tolist(), counts[i : i + size].tolist(), at.tolist(), own.tolist(), hits):
+                hits, scanned = self.graph.within_or_all(units(rows[i : i + size]), self.width, cosine, at if own.all() else None)
+                for one, n, me, mine, near, whole in zip(part.tolist(), counts[i : i + size].tolist(), at.tolist(), own.tolist(), hits, scanned.tolist()):
+                    if mine:
+                        self.scanned[me] = whole
                     if len(near):
                         r = self.roots(near)
                         self.parent[r] = r.min()
-                        counted = near[near > me] if mine else near  # inside a shard the first of two finds the second
+                        counted = self.uncounted(me, near, whole) if mine else near
                         self.got[counted] += n
                         if len(counted):
                             out.append((one, self.counts[counted].sum(), self.ids[near[0]]))

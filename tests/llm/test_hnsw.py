@@ -67,3 +67,35 @@ def test_nodes_that_no_path_reaches_get_links():
     seen = np.zeros(len(graph.u), bool)
     graph._reach(graph._entry[-1:], seen)
     assert seen.all()
+
+
+def test_a_link_counts_whichever_end_finds_it(spark, monkeypatch):
+    """Searches that miss at random: a link is counted for both ends if either found it, once."""
+    rng = np.random.default_rng(12)
+    u = hnsw.units(np.concatenate([c + rng.normal(size=(40, 12)) * 0.04 for c in rng.normal(size=(6, 12))]))
+    near = u @ u.T >= 0.95
+    known: dict = {}
+
+    def some(self, q, width, cosine=0.95, start=None):
+        at = [int(np.argmax(self.u @ x)) for x in q]
+        scanned = np.array([a % 3 == 0 for a in at])
+        gone = [np.flatnonzero(self.u @ x >= cosine) for x in q]
+        out = [g if w else g[(np.random.default_rng(a).random(len(g)) < 0.6) | (g == a)] for a, g, w in zip(at, gone, scanned)]
+        return out, scanned
+
+    for a in range(len(u)):
+        g = np.flatnonzero(near[a])
+        known[a] = set(g.tolist()) if a % 3 == 0 else set(g[(np.random.default_rng(a).random(len(g)) < 0.6) | (g == a)].tolist())
+    want = [sum(b in known[a] or a in known[b] for b in range(len(u)) if b != a) for a in range(len(u))]
+    monkeypatch.setattr(hnsw.Graph, "within_or_all", some)
+    monkeypatch.setattr(hnsw.Graph, "audited", lambda self, *x: 24)
+    got = {}
+    batches = []
+    import pyarrow as pa
+
+    for role in (0, 1):
+        batches.append(pa.record_batch([pa.array([12] * len(u), pa.int32()), pa.array([0] * len(u), pa.int32()), pa.array([role] * len(u), pa.int32()), pa.array(range(len(u)), pa.int64()), pa.array(u.tolist(), pa.list_(pa.float64())), pa.array([1] * len(u), pa.int64())], ["dim", "shard", "role", "id", "v", "n"]))
+    for b in hnsw._work(0.95)(batches):
+        for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got[i] = got.get(i, 0) + n
+    assert [got.get(a, 0) for a in range(len(u))] == want and sum(want) < near.sum() - len(u)
