@@ -12,7 +12,9 @@ from ..operators import fusion as FU
 from ..operators import graph as G
 from ..operators import search as S
 from ..operators import tables as O
+from ..operators import text_index as X
 from ..operators.understanding import intent
+from ..sources.shared import fresh_path
 from .registry import CHUNKS_SQL, chunks, query, sql_tokens, t
 
 _COS = "list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
@@ -135,12 +137,13 @@ _INTENT = """CASE WHEN regexp_matches(lower(text), 'trend|change|趋势|走势|
     WHEN regexp_matches(lower(text), 'what is|define|meaning|什么是|定义|含义') THEN 'definition' ELSE 'general' END"""
 
 
-def _legs_sql(legs):
+def _legs_sql(legs, more=""):
     return f"""
     {_BM25}, emb AS (SELECT e.vec_id AS chunk, q.vec_id AS query_id, round({_COS}, 4) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE e.vec_id <> q.vec_id),
     vec AS (SELECT query_id, chunk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS INTEGER) AS rank, score FROM emb),
     lit AS (SELECT b.item_id AS query_id, d.doc_id AS chunk, CAST(row_number() OVER (PARTITION BY b.item_id ORDER BY length(d.text), d.doc_id) AS INTEGER) AS rank, 0.72 AS score
             FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
+    {more}
     legs AS ({legs}),
     fused AS (SELECT query_id, chunk, round(sum(1 / (60.0 + rank)), 6) AS rrf_score, CAST(count(DISTINCT path) AS INTEGER) AS hits, min(rank) AS best_rank,
                      round(least(0.99, max(score) + least(0.12, 8 * sum(1 / (60.0 + rank)) + 0.03 * (count(DISTINCT path) - 1))), 4) AS score FROM legs GROUP BY 1, 2)
@@ -151,13 +154,27 @@ _LEGS = _legs_sql("SELECT 'text' AS path, * FROM bm WHERE rank <= 20 UNION ALL S
 _BY_INTENT = _legs_sql("""
         SELECT 'text' AS path, bm.* FROM bm JOIN kinds USING (query_id) WHERE rank <= 8 * CASE intent WHEN 'rule' THEN 3 WHEN 'compare' THEN 2 WHEN 'price' THEN 2 ELSE 1 END UNION ALL
         SELECT 'vector', vec.* FROM vec WHERE rank <= 8 AND score >= 0.4 UNION ALL
-        SELECT 'literal', lit.* FROM lit JOIN kinds USING (query_id) WHERE rank <= 8 * CASE intent WHEN 'rule' THEN 3 WHEN 'compare' THEN 2 ELSE 1 END""")
+        SELECT 'view', * FROM view_leg WHERE rank <= 8 AND score >= 0.4""", f"""
+    pages AS (SELECT page, list(a ORDER BY i) AS embedding FROM (SELECT vec_id // 4 AS page, i, avg(CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1),
+    seen AS (SELECT e.page * 4 AS chunk, q.vec_id AS query_id, round({_COS}, 4) AS score FROM pages e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q WHERE e.page <> q.vec_id // 4),
+    view_leg AS (SELECT query_id, chunk, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS INTEGER) AS rank, score FROM seen),""")
+
+
+_STORED: dict[tuple[str, str], X.TextIndex] = {}
+
+
+def stored_index(spark, sf):
+    """The text index of the documents, written once a session and folder; questions read buckets of it and no text."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = X.write_index(_docs(spark, sf), fresh_path(spark, "documents"), {"content": "content"})
+    return _STORED[key]
 
 
 def legs(spark, sf, words=20, near=20, held=10):
-    """Ranked lists of three paths for all benchmark items: BM25, the vector of the same number, literal hits, each of so many rows."""
+    """Ranked lists of three paths for all benchmark items: BM25 by a stored index, the vector of the same number, literal hits, each of so many rows."""
     docs, asked = _docs(spark, sf), _asked(spark, sf)
-    text = S.bm25(docs, asked, words)
+    text = X.search(stored_index(spark, sf), asked, words, {"content": 1.0}, 0.0)
     scored = S.against_all(_rows(spark, sf), _vectors(spark, sf), "vec_id", "embedding").select("query_id", F.col("vec_id").alias("chunk"), "score")
     by = Window.partitionBy("query_id")
     vector = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= near)
@@ -167,16 +184,49 @@ def legs(spark, sf, words=20, near=20, held=10):
     return FU.union([named(text, "text"), named(vector, "vector"), named(literal, "literal")])
 
 
+_TAILS = (" price", " trend of cost", " compare", " clause", " what is it", "")
+
+
 @query(f"""
-    WITH kinds AS (SELECT item_id AS query_id, {_INTENT} AS intent FROM benchmark), {_BY_INTENT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, score DESC, chunk) AS n FROM fused)
-    SELECT query_id, chunk, rrf_score, hits, best_rank, score FROM r WHERE n <= 8
+    WITH kinds AS (SELECT query_id, {_INTENT} AS intent FROM (SELECT item_id AS query_id, text || [' price', ' trend of cost', ' compare', ' clause', ' what is it', ''][item_id % 6 + 1] AS text FROM benchmark)), {_BY_INTENT},
+    gate AS (SELECT query_id, intent, b.text, (SELECT w FROM (SELECT unnest({sql_tokens('b.text')}) AS w) ORDER BY length(w) DESC, w LIMIT 1) AS item FROM kinds JOIN benchmark b ON item_id = query_id),
+    held AS (SELECT lit.query_id, chunk, score FROM lit JOIN kinds USING (query_id) WHERE rank <= 8 * CASE intent WHEN 'rule' THEN 3 WHEN 'compare' THEN 2 ELSE 1 END),
+    structured AS (SELECT query_id, -1 - p_partkey AS chunk, 0.9 AS score FROM gate JOIN part ON contains(lower(text), split_part(p_name, ' ', 2)) WHERE intent IN ('rule', 'trend', 'compare', 'price')
+                   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) <= 8 * CASE intent WHEN 'rule' THEN 2 ELSE 3 END),
+    named AS (SELECT query_id, doc_id AS chunk, contains(lower(d.text), 'the') AS marked, contains(lower(d.text), 'the and') AS strong FROM gate JOIN documents d ON contains(lower(d.text), item) WHERE intent = 'rule'),
+    formula AS (SELECT query_id, chunk, 0.97 AS score FROM (SELECT *, max(marked) OVER (PARTITION BY query_id) AS anyone FROM named) WHERE marked OR NOT anyone
+                QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY strong DESC, chunk) <= 8),
+    gated AS (SELECT query_id, chunk, max(score) AS score FROM (SELECT * FROM held UNION ALL SELECT * FROM structured UNION ALL SELECT * FROM formula) g WHERE NOT EXISTS (SELECT 1 FROM fused f WHERE f.query_id = g.query_id AND f.chunk = g.chunk) GROUP BY 1, 2),
+    every AS (SELECT query_id, chunk, rrf_score, hits, best_rank, score FROM fused UNION ALL SELECT query_id, chunk, NULL, 0, NULL, score FROM gated)
+    SELECT query_id, chunk, rrf_score, hits, best_rank, CAST(score AS DOUBLE) AS score FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, score DESC, chunk) <= 30
 """)
 def hybrid_search(spark, sf):
+    """The thirty best of all questions: text, vectors and views of pages are fused; literal hits, and price rows and rule texts where the question's intent lets them, come after. Price rows have negative numbers."""
     from ..plans import hybrid as H
 
-    own = legs(spark, sf, *[H.most_fetched(path, 8) for path in ("text", "vector", "literal")])
-    intents = _asked(spark, sf).select("query_id", intent(F.col("query")).alias("intent"))
-    return H.hybrid(H.fetched(own, intents, 8), 8)
+    k, docs, asked = 8, _docs(spark, sf), _asked(spark, sf)
+    tails = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("query_id") % 6 + 1).cast("int"))
+    intents = asked.select("query_id", intent(F.concat("query", tails)).alias("intent"))
+    three = legs(spark, sf, *[H.most_fetched(path, k) for path in ("text", "vector", "literal")])
+    fused = FU.union([three.where("path <> 'literal'"), page_views(spark, sf, k)])
+    literal = H.fetched(three.where("path = 'literal'"), intents, k).select("query_id", "chunk", "score")
+    part = t(spark, sf, "part").select((-1 - F.col("p_partkey")).alias("chunk"), "p_partkey", F.split("p_name", " ")[1].alias("name"))
+    few = O.latest_per_key(part, ["name"], [F.col("p_partkey")], H.most_fetched("structured", k))
+    structured = H.structured_hits(asked, few, intents, k)
+    item = F.element_at(F.array_sort(F.transform(T.tokens(F.col("query")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    formula = H.marked_hits(docs.select(F.col("chunk_id").alias("chunk"), "content"), asked.join(intents.where("intent = 'rule'"), "query_id").select("query_id", item.alias("item")), "the", "the and", k)
+    return H.hybrid(H.fetched(fused, intents, k), 30, FU.union([literal, structured, formula]))
+
+
+def page_views(spark, sf, k):
+    """The leg of page views: pages are four vectors in a row and seen as their mean, and stand for their first chunk."""
+    e = t(spark, sf, "embeddings").where("embedding is not null").select(F.expr("vec_id div 4").alias("page"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    added = F.aggregate("all", F.transform(F.element_at("all", 1), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    pages = e.groupBy("page").agg(F.collect_list("v").alias("all")).select("page", F.transform(added, lambda x: x / F.size("all")).alias("v"))
+    pairs = O.with_each(pages, _vectors(spark, sf).select("query_id", "q"), "query_id", F.col("page") != F.expr("query_id div 4"))
+    scored = pairs.select("query_id", (F.col("page") * 4).alias("chunk"), F.round(cosine(F.col("v"), F.col("q")), 4).alias("score")).where("score is not null")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk"))).where(F.col("rank") <= k)
+    return ranked.select(F.lit("view").alias("path"), "query_id", "chunk", "rank", "score")
 
 
 @query(f"WITH {_LEGS} SELECT query_id, chunk, rrf_score, hits, best_rank, score FROM fused")
