@@ -214,3 +214,34 @@ def price_query(rows: DataFrame, material: str, k: int, spec: str | None = None,
         before, after = own.where(F.col("ym") < ym).agg(F.max("ym").alias("m")), own.where(F.col("ym") > ym).agg(F.min("ym").alias("m"))
         stages += [own.join(F.broadcast(x), own.ym == x.m, "left_semi") for x in (before, after)]
     return top_k(staged(stages), k, F.desc("ym"), F.col("price"), F.col("id"))
+
+
+#: The unit and the price that a page may show after a material's name, below each other or side by side.
+SHOWN = [r"\s*\n([A-Za-z0-9㎡mM\?³²/\"]{1,8})\s*\n(\d+\.\d{2})", r"\s+([A-Za-z0-9㎡mM\?³²/\"]{1,8})\s+(\d+\.\d{2})"]
+
+
+def anchor_prices(chunks: DataFrame, questions: DataFrame, k: int, answered: DataFrame | None = None, score: float = 0.85) -> DataFrame:
+    """(query_id, rank, doc_id, page, unit, price, score): prices that pages of text show for questions (query_id, material, ym) which no earlier stage has answered (query_id).
+
+    A page is an anchor if one of its chunks (chunk_id, doc_id, page, content) holds both the material, regardless of case, and the month, as
+    2024年3月价格. All chunks of an anchor page are joined in order of their ids, and the unit and price after the material are read there; pages
+    come by number, then document, and the first k that show a price count. One automaton finds the materials of all questions; months are keys of the join.
+    """
+    from .dictionary import occurrences
+
+    open_ = questions if answered is None else questions.join(answered.select("query_id").distinct(), "query_id", "left_anti")
+    open_ = open_.where("trim(material) <> '' and ym rlike '^[0-9]{4}-[0-9]{2}$'").withColumn("month", F.concat(F.substring("ym", 1, 4), F.lit("-"), F.substring("ym", 6, 2)))
+    shown = r"((?:19|20)\d{2})年(\d{1,2})月价格"
+    month = lambda x: F.concat(F.regexp_extract(x, shown, 1), F.lit("-"), F.lpad(F.regexp_extract(x, shown, 2), 2, "0"))
+    dated = chunks.withColumn("months", F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(shown), F.lit(0)), month))).where(F.size("months") > 0)
+    held = occurrences(dated, open_, F.col("content"), "material", ["doc_id", "page", "months"], once=True)
+    anchors = held.select("doc_id", "page", F.explode("months").alias("month"), F.col("name").alias("low")).distinct()
+    pages = anchors.join(open_.select("query_id", "material", "month", F.lower("material").alias("low")), ["month", "low"]).select("query_id", "material", "doc_id", "page").distinct()
+    wanted = chunks.join(pages.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    texts = wanted.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))).alias("x")).select("doc_id", "page", F.array_join(F.transform("x", lambda c: F.coalesce(c["content"], F.lit(""))), "\n").alias("text"))
+    own = pages.join(texts, ["doc_id", "page"])
+    quoted = F.regexp_replace("material", r"([^\p{L}\p{N}\s])", r"\\$1")
+    read = lambda p, i: F.call_function("regexp_extract", F.col("text"), F.concat(quoted, F.lit(p)), F.lit(i))
+    found = own.select("query_id", "doc_id", "page", *[F.coalesce(*[F.nullif(read(p, i), F.lit("")) for p in SHOWN]).alias(n) for n, i in (("unit", 1), ("price", 2))]).where("price is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("page", "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "page", "unit", "price", F.lit(score).alias("score"))
