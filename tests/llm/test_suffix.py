@@ -68,10 +68,7 @@ def test_like_brute_force(spark):
         got[r.doc_id].update(range(r.start_word, r.end_word))
         partners[r.doc_id] = r.partner_id
     want = dict(zip((i for i, _ in rows), brute(rows)))
-    short = {i: (len(want[i] - got[i]), len(got[i] - want[i])) for i in want if want[i] != got[i]}
-    assert not {i: s for i, s in short.items() if s[1]}, short
-    # a pair that chance gives a word more than the passage may be no neighbours
-    assert sum(s[0] for s in short.values()) <= 0.002 * sum(map(len, want.values())), short
+    assert all(want[i] == got[i] for i in want)
     assert {i for i in want if want[i]} == {i for i in got if got[i]}
     assert partners[200] != 200
     assert suffix.repeated_passages(df.limit(0)).count() == 0
