@@ -306,3 +306,19 @@ def gap_transitions(events: DataFrame, key: str, window_seconds: int, until: Col
         row(resolved, F.col("deadline"), "resolve", "observing", "resolved"), row(ended, F.col("end"), "reopen", F.when(resolved, "resolved").otherwise("observing"), "open"),
     )
     return runs.select(key, F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
+
+
+def failure_signals(runs: DataFrame, now: Column, hours: int = 24, slow_ms: int = 5000, most: int = 100) -> DataFrame:
+    """(run_id, ts, kind, duration_ms) of the last runs (run_id, ts, quality, duration_ms, outcome) of the last hours that failed, or took longer than slow_ms without being good or no task; runs answered well after all are left out. At most `most`, the latest first."""
+    recent = runs.where((F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= now) & ~F.col("outcome").eqNullSafe("ANSWERED_OK"))
+    failed = F.coalesce(F.col("quality") == "failure", F.lit(False))
+    slow = F.coalesce(F.col("duration_ms") > slow_ms, F.lit(False)) & ~F.coalesce(F.col("quality").isin("good", "non_task"), F.lit(False))
+    kind = F.when(failed, "failure").when(slow, "slow")
+    return top_k(recent.withColumn("kind", kind).where("kind is not null"), most, F.desc("ts"), F.desc("run_id")).select("run_id", "ts", "kind", "duration_ms")
+
+
+def keep_open_history(evidence: DataFrame, most: int = 5) -> DataFrame:
+    """The last retests (gap_key, evidence_id, ts, evidence_type, decision) of each gap that left it open, numbered from the latest, 20 at most."""
+    kept = evidence.where("evidence_type = 'live_retest' and decision = 'keep_open'")
+    n = F.row_number().over(Window.partitionBy("gap_key").orderBy(F.desc("ts"), F.desc("evidence_id")))
+    return kept.withColumn("n", n).where(F.col("n") <= max(1, min(most, 20)))

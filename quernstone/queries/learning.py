@@ -272,3 +272,23 @@ def repair_promotion(spark, sf):
 @query("SELECT user_id, CAST(coalesce(max(CASE WHEN event_type = 'click' THEN event_id END), 0) + 1 AS BIGINT) AS next_index FROM events GROUP BY 1")
 def next_turn_index(spark, sf):
     return t(spark, sf, "events").groupBy("user_id").agg((F.coalesce(F.max(F.when(F.col("event_type") == "click", F.col("event_id"))), F.lit(0)) + 1).alias("next_index"))
+
+
+@query("""
+    WITH r AS (SELECT event_id AS run_id, ts, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'good' WHEN 'view' THEN 'non_task' WHEN 'click' THEN 'weak' END AS quality, value * 100 AS duration_ms, user_id % 10 = 0 AS fine FROM events)
+    SELECT run_id, ts, CASE WHEN quality = 'failure' THEN 'failure' ELSE 'slow' END AS kind, duration_ms FROM r
+    WHERE ts BETWEEN TIMESTAMP '2024-01-29 12:00:00' AND TIMESTAMP '2024-01-30 12:00:00' AND NOT fine AND (quality IS NOT DISTINCT FROM 'failure' OR (duration_ms > 5000 AND coalesce(quality, '') NOT IN ('good', 'non_task'))) ORDER BY ts DESC, run_id DESC LIMIT 100
+""")
+def failure_signals(spark, sf):
+    kind = F.col("event_type")
+    quality = F.when(kind == "error", "failure").when(kind == "purchase", "good").when(kind == "view", "non_task").when(kind == "click", "weak")
+    runs = t(spark, sf, "events").select(F.col("event_id").alias("run_id"), "ts", quality.alias("quality"), (F.col("value") * 100).alias("duration_ms"), F.when(F.col("user_id") % 10 == 0, "ANSWERED_OK").alias("outcome"))
+    return L.failure_signals(runs, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
+
+
+@query("""
+    SELECT user_id AS gap_key, event_id AS evidence_id, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM events WHERE event_type = 'click' AND value < 50 QUALIFY n <= 5
+""")
+def keep_open_history(spark, sf):
+    kinds = (F.when(F.col("event_type") == "click", "live_retest").otherwise("note").alias("evidence_type"), F.when(F.col("value") < 50, "keep_open").otherwise("resolve").alias("decision"))
+    return L.keep_open_history(t(spark, sf, "events").select(F.col("user_id").alias("gap_key"), F.col("event_id").alias("evidence_id"), "ts", *kinds)).select("gap_key", "evidence_id", "ts", "n")

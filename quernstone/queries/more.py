@@ -147,7 +147,9 @@ def metric_histogram(spark, sf):
 def fee_audit(spark, sf):
     want = spark.range(1).select(F.explode(F.array(*map(F.lit, ("1995", "1996", "1997", "2009")))).alias("year")).select("year", F.explode(F.array(*map(F.lit, ("MAIL", "R", "N", "A", "X")))).alias("missing"))
     have = t(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy").alias("y"), F.col("l_returnflag").alias("f")).distinct()
-    return want.join(F.broadcast(have), (F.col("year") == F.col("y")) & F.col("f").contains(F.col("missing")), "left_anti")
+    for block in O.in_blocks(have, "f"):
+        want = want.join(block, (F.col("year") == F.col("y")) & F.col("f").contains(F.col("missing")), "left_anti")
+    return want
 
 
 @query("""

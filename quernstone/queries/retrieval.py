@@ -124,12 +124,11 @@ def rule_clause_search(spark, sf):
 
 
 @query("""
-    WITH probes AS (SELECT * FROM (VALUES (0, 'dark blue plate'), (1, 'dark bl'), (2, 'ark blu'), (3, 'rk blue'), (4, 'k blue '), (5, ' blue p'), (6, 'blue pl'), (7, 'lue pla'), (8, 'ue plat'), (9, 'e plate')) v(i, p))
+    WITH probes AS (SELECT 0 AS i, 'dark blue plate' AS p UNION ALL SELECT row_number() OVER (ORDER BY n DESC, s), substr('dark blue plate', s, n) FROM range(3, 8) x(n), range(1, 14) y(s) WHERE s <= 16 - n)
     SELECT p_partkey, CAST(min(i) AS INTEGER) AS probe FROM part, probes WHERE contains(lower(p_type || chr(10) || p_name), p) GROUP BY 1 ORDER BY probe, p_partkey LIMIT 10
 """)
 def fragment_search(spark, sf):
-    got = S.fragments(t(spark, sf, "part"), "dark blue plate", 10, "p_partkey", ["p_type", "p_name"], least=7, most=7)
-    return got.select("p_partkey", "probe")
+    return S.fragments(t(spark, sf, "part"), "dark blue plate", 10, "p_partkey", ["p_type", "p_name"]).select("p_partkey", "probe")
 
 
 _INTENT = """CASE WHEN regexp_matches(lower(text), 'trend|change|趋势|走势|变化') THEN 'trend' WHEN regexp_matches(lower(text), 'compare|versus|difference|比较|对比|区别') THEN 'compare'
