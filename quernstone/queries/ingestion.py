@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import layout as LY
+from ..operators import tablegrid as TG
 from ..operators import tables as O
 from .registry import CHUNKS_SQL, chunks, query, sql_tokens, t
 
@@ -198,8 +200,6 @@ def payload_builder(spark, sf):
     SELECT doc_id, count(*) AS taken, CAST(max(used) AS BIGINT) AS chars FROM n WHERE i <= 3 AND used <= 4000 GROUP BY 1
 """)
 def context_builder(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("chunk_id")
     own = chunks(spark, sf).withColumn("used", F.sum(F.length("content")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return O.latest_per_key(own, ["doc_id"], [F.col("chunk_id")], 3).where("used <= 4000").groupBy("doc_id").agg(F.count("*").alias("taken"), F.max("used").alias("chars"))
@@ -209,7 +209,45 @@ def context_builder(spark, sf):
     WITH {CHUNKS_SQL} SELECT chunk_id, lag(content) OVER w AS before, lead(content) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_id)
 """)
 def neighbour_context(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("chunk_id")
     return chunks(spark, sf).select("chunk_id", F.lag("content").over(w).alias("before"), F.lead("content").over(w).alias("after"))
+
+
+_MERGED = """
+    p AS (SELECT p_partkey // 20 AS table_id, CAST(row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) AS INTEGER) AS row, p_name, p_type, p_retailprice, p_partkey FROM part)
+"""
+
+
+def _merged_cells(spark, sf):
+    """Price tables of twenty parts each: a head, then a row a part, neighbouring rows of one type sharing its cell, and the unit above a price that spans both their columns where there is none."""
+    along = Window.partitionBy("table_id").orderBy("row")
+    p = t(spark, sf, "part").withColumn("table_id", F.expr("p_partkey div 20")).withColumn("row", F.row_number().over(Window.partitionBy("table_id").orderBy("p_partkey")))
+    p = p.withColumn("new", F.coalesce((F.lag("p_type").over(along) != F.col("p_type")).cast("int"), F.lit(1)))
+    p = p.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("down", F.count("*").over(Window.partitionBy("table_id", "run")))
+    cell = lambda seq, text, down, across: F.struct(F.lit(seq).alias("seq"), text.cast("string").alias("text"), down.cast("int").alias("rowspan"), across.cast("int").alias("colspan"))
+    one, none = F.lit(1), F.lit(None)
+    bare = F.col("p_partkey") % 7 == 0
+    first = F.when(F.col("new") == 1, cell(0, F.col("p_type"), F.col("down"), one))
+    body = F.filter(F.array(first, cell(1, F.col("p_name"), none, one), F.when(~bare, cell(2, F.lit("t"), one, one)), cell(3, F.format_string("%.2f", "p_retailprice"), one, F.when(bare, 2).otherwise(1))), lambda c: c.isNotNull())
+    head = F.array(cell(0, F.lit("规格"), one, one), cell(1, F.lit("名称"), one, one), cell(2, F.lit("单位和价格"), one, F.lit(2)))
+    heads = p.select("table_id").distinct().select("table_id", F.lit(0).alias("row"), F.inline(head))
+    return heads.unionByName(p.select("table_id", "row", F.inline(body)))
+
+
+@query(f"""
+    WITH {_MERGED}, n AS (SELECT *, coalesce(p_type <> lag(p_type) OVER (PARTITION BY table_id ORDER BY row), true) AS fresh, p_partkey % 7 = 0 AS bare FROM p)
+    SELECT DISTINCT table_id, CAST(0 AS INTEGER) AS row, CAST(c AS INTEGER) AS col, ['规格', '名称', '单位和价格', '单位和价格'][c + 1] AS text, c = 3 AS merged FROM p, range(0, 4) r(c)
+    UNION ALL SELECT table_id, row, 0, p_type, NOT fresh FROM n UNION ALL SELECT table_id, row, 1, p_name, false FROM n
+    UNION ALL SELECT table_id, row, 2, CASE WHEN bare THEN printf('%.2f', p_retailprice) ELSE 't' END, false FROM n UNION ALL SELECT table_id, row, 3, printf('%.2f', p_retailprice), bare FROM n
+""")
+def merged_cell_grid(spark, sf):
+    return TG.grid(_merged_cells(spark, sf))
+
+
+@query(f"""
+    WITH {_MERGED} SELECT table_id, row, p_type AS name, p_name AS spec, CASE WHEN p_partkey % 7 <> 0 THEN 't' END AS unit, CAST(printf('%.2f', p_retailprice) AS DOUBLE) AS price FROM p
+""")
+def grid_price_lines(spark, sf):
+    """Price lines of the tables with merged cells: the first text column counts as the name, the second as the specification; a bare price lies in the units' column too and is no unit."""
+    own = TG.price_lines(TG.grid(_merged_cells(spark, sf)))
+    return own.withColumn("unit", F.when(F.col("unit").rlike(TG.UNIT), F.col("unit")))
