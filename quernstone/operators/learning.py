@@ -113,12 +113,11 @@ def outcome(query_type: Column, refused: Column, chunks: Column, confidence: Col
 
 
 def run_gaps(runs: DataFrame, samples: int = 5) -> DataFrame:
-    """Weak runs clustered by type and normalised query."""
+    """Weak runs clustered by type and normalised query, with how many spellings a cluster has, as far as so many samples. Spellings are gathered first, so that a hot question is a few rows."""
     own = runs.withColumn("normal", T.normalised(F.col("query")))
-    return own.groupBy("query_type", "normal").agg(
-        F.max("confidence").alias("confidence"), F.max("chunks").alias("chunks"), F.max("ts").alias("last_seen"), F.max(F.col("refused").cast("int")).alias("refused"), F.count("*").alias("frequency"),
-        F.size(F.slice(F.collect_set("query"), 1, samples)).alias("samples"),
-    )
+    most = {"confidence": F.col("confidence"), "chunks": F.col("chunks"), "last_seen": F.col("ts"), "refused": F.col("refused").cast("int")}
+    spelled = own.groupBy("query_type", "normal", "query").agg(*[F.max(c).alias(n) for n, c in most.items()], F.count("*").alias("frequency"))
+    return spelled.groupBy("query_type", "normal").agg(*[F.max(n).alias(n) for n in most], F.sum("frequency").alias("frequency"), F.least(F.count("query"), F.lit(samples)).cast("int").alias("samples"))
 
 
 def retest_queue(requests: DataFrame) -> DataFrame:
@@ -128,7 +127,6 @@ def retest_queue(requests: DataFrame) -> DataFrame:
 
 
 def retest_batch(queue: DataFrame, now: Column, k: int) -> DataFrame:
-
     return top_k(queue.where(F.col("due") <= now), k, F.desc("priority"), F.col("due"), F.col("question_hash"))
 
 
