@@ -41,9 +41,13 @@ class TextIndex:
 def _rows(chunks: DataFrame, fields: dict[str, str], id_col: str, buckets: int) -> DataFrame:
     each = F.array(*[F.struct(F.lit(name).alias("field"), T.tokens(F.col(column)).alias("t")) for name, column in fields.items()])
     own = chunks.select(F.col(id_col).alias("chunk"), F.explode(each).alias("x")).select("chunk", "x.field", "x.t").where(F.size("t") > 0)
-    # a null term stands for the field as a whole
-    terms = own.select("chunk", "field", F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
-    counted = terms.groupBy("term", "chunk", "field", "length").agg(F.count("*").cast("int").alias("tf"))
+    # a field's tokens are counted where they are: sorted, runs of equal ones; a null term stands for the field as a whole
+    own = own.withColumn("length", F.size("t")).withColumn("s", F.array_sort("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", F.greatest(i - 1, F.lit(0)))))
+    own = own.select("chunk", "field", "length", "s", begins.alias("at"))
+    entry = lambda term, tf: F.struct(term.alias("term"), tf.cast("int").alias("tf"))
+    runs = F.transform("at", lambda i, j: entry(F.get("s", i), F.coalesce(F.get("at", j + 1), F.col("length")) - i))
+    counted = own.select("chunk", "field", "length", F.inline(F.concat(F.array(entry(F.lit(None).cast("string"), F.lit(1))), runs)))
     bucket = F.when(F.col("term").isNull(), -1 - F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
     return counted.withColumn("bucket", bucket).select(*_COLUMNS)
 
