@@ -239,28 +239,31 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return sent.where("route is null").select("a", "b", "start", "end").unionByName(met)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
-    """docs with a column dedup: a struct of n_words, n_removed and kept, the words left joined by one space.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs, or the columns of them named in keep, with a column dedup: a struct of n_words, n_removed and kept, the words left joined by one space.
 
     A word goes if a window of so many consecutive words that holds it also starts anywhere else, in the same
     document or another; windows are judged on the texts as given. Words are what ASCII blanks part, unchanged. A null or empty
     text has no words and an empty kept. Repeated rows and copies lose all words where they have length of them or more, and
-    none where they have fewer. All columns of docs are kept, whatever their names; one named dedup is replaced.
+    none where they have fewer. Columns are kept whatever their names; one named dedup is replaced.
     An empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c != "dedup"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "dedup"]
     text = named(text_col).cast("string")
     texts = docs.select(*_keys(text), text.alias("text")).where("text is not null")
     runs = repeated_runs(texts, length).distinct()
     spans = runs.groupBy("a", "b").agg(F.collect_list(F.struct("start", (F.col("end") + (length - 1)).alias("end"))).alias("spans"))
-    rows = docs.select(*_keys(text), F.struct(*[named(c) for c in kept]).alias("row"), text.alias("text"))
+    # a text goes to the workers once: in its row, or beside it
+    inside = text_col in kept and docs.schema[text_col].dataType == StringType()
+    rows = docs.select(*_keys(text), F.struct(*[named(c) for c in kept]).alias("row"), *([] if inside else [text.alias("text")]))
     joined = rows.join(spans.select(loose("a"), loose("b"), F.col("spans.start").alias("start"), F.col("spans.end").alias("end")), ["a", "b"], "left")
 
     def each(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part, made = b.slice(lo, 256), []
-                for t, starts, ends in zip(as_bytes(part.column("text")), part.column("start").to_pylist(), part.column("end").to_pylist()):
+                texts = part.column("row").field(text_col) if inside else part.column("text")
+                for t, starts, ends in zip(as_bytes(texts), part.column("start").to_pylist(), part.column("end").to_pylist()):
                     n = removed = 0
                     words = []
                     change = np.zeros(max(ends, default=0) + 1 if ends else 1, np.int32)
@@ -283,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text"
 
     dedup = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("dedup", dedup)])
-    return joined.select("row", "text", "start", "end").mapInArrow(tidy(each), schema).select("row.*", "dedup")
+    return joined.drop("a", "b").mapInArrow(tidy(each), schema).select("row.*", "dedup")
 
 
 def digest(made: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -72,7 +72,7 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubling.digest(doubling.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return doubling.digest(doubling.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_top_k": op2_top_k, "op5_embedding_duplicates": op5_embedding_duplicates, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op8_pii": op8_pii, "op3_lattice_score": op3_lattice_score, "op4_warc": op4_warc, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op11_fill_in_middle": op11_fill_in_middle, "op12_lexical_search": op12_lexical_search, "op13_substring_dedup": op13_substring_dedup}

@@ -55,7 +55,9 @@ def test_like_brute_force(spark, monkeypatch, held, heavy, chunk):
     assert made.columns == ["doc_id", "text", "row", "dedup"]
     got = sorted(((r.doc_id, *r.dedup) for r in made.collect()), key=str)
     assert got == brute(rows)
-    assert {r.row["k"] for r in made.collect()} == {1}
+    assert {r.row["k"] for r in made.collect()} == {1} and sorted(str(r.text) for r in made.collect()) == sorted(str(t) for _, t in rows)
+    few = doubling.remove_repeats(df, keep=["doc_id"])
+    assert few.columns == ["doc_id", "dedup"] and sorted(((r.doc_id, *r.dedup) for r in few.collect()), key=str) == brute(rows)
 
 
 @pytest.mark.parametrize("length", [1, 7, 12, 64])
