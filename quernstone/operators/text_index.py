@@ -49,12 +49,19 @@ def _rows(chunks: DataFrame, fields: dict[str, str], id_col: str, buckets: int)
     runs = F.transform("at", lambda i, j: entry(F.get("s", i), F.coalesce(F.get("at", j + 1), F.col("length")) - i))
     counted = own.select("chunk", "field", "length", F.inline(F.concat(F.array(entry(F.lit(None).cast("string"), F.lit(1))), runs)))
     bucket = F.when(F.col("term").isNull(), -1 - F.pmod(F.xxhash64("chunk"), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
-    return counted.withColumn("bucket", bucket).select(*_COLUMNS)
+    # for the way to the writers field and bucket are one number, and so are tf and length, of 31 bits each
+    names = list(fields)
+    nth = F.array_position(F.array(*map(F.lit, names)), F.col("field")).cast("int") - 1
+    narrow = counted.select("term", "chunk", (bucket * len(names) + nth).alias("slot"), (F.shiftleft(F.col("length").cast("long"), 31) + F.col("tf")).alias("counts"))
+    # buckets of frequent terms may be large: they are split over files
+    dealt = narrow.hint("rebalance", "slot")
+    tf, length = F.col("counts").bitwiseAND(F.lit((1 << 31) - 1).cast("long")).cast("int"), F.shiftright("counts", 31).cast("int")
+    field = F.element_at(F.array(*map(F.lit, names)), F.pmod("slot", F.lit(len(names))).cast("int") + 1)
+    return dealt.select("term", "chunk", field.alias("field"), tf.alias("tf"), length.alias("length"), F.floor(F.col("slot") / len(names)).cast("int").alias("bucket"))
 
 
 def _write(rows: DataFrame, path: str, **how) -> None:
-    # buckets of frequent terms may be large: they are split over files
-    writer = rows.hint("rebalance", "bucket").write.mode(how.get("mode", "overwrite")).partitionBy("bucket")
+    writer = rows.write.mode(how.get("mode", "overwrite")).partitionBy("bucket")
     if how.get("dynamic"):
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
@@ -80,7 +87,7 @@ def merge(index: TextIndex, chunks: DataFrame, fields: dict[str, str], staging:
         return
     again = F.col("bucket").isin(touched)
     stay = index.rows.where(again).join(ids, "chunk", "left_anti").select(*_COLUMNS)
-    _write(stay.unionByName(new.where(again)), staging + "/again")
+    _write(stay.unionByName(new.where(again)).hint("rebalance", "bucket"), staging + "/again")
     _write(new.where(~again), staging + "/more")
     spark = index.spark
     kept = spark.read.schema(new.schema).parquet(staging + "/again")
