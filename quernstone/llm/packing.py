@@ -16,10 +16,12 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,12 @@ END = 2
 SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
 #: Heaviest terms that make a document's place in the order, and BM25's constants.
 KEY_TERMS, K1, B = 4, 1.2, 0.75
-#: Runs and words that a worker remembers the ids of, before it starts anew with those in use.
-MEMO = 1 << 15
+#: Runs that a worker remembers the ids of, before it forgets those that it hasn't met for longest; words, before it starts anew with those in use.
+MEMO, WORD_MEMO = 1 << 18, 1 << 15
+#: Characters that are taken apart at once, and whose runs are looked up at once.
+CHARS, LOOKUP = 1 << 18, 1 << 22
+#: Documents for each partition whose places tell where partitions end; all documents are placed.
+SAMPLED = 40
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
 KNOWN_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -48,14 +54,19 @@ KNOWN_STEPS = {
 #: Texts of Latin letters and common marks, where lower case changes single characters only, and the runs that the split gives there.
 _LATIN = re.compile("[\x09-\x0d -~\xa1-\xac\xae-\u012f\u0131-\u0148\u014a-\u017e]*")
 _LETTERS, _NUMERALS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017e", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^ \x09-\x0d{_LETTERS}{_NUMERALS}]+")
+_BLANKS = " \x09-\x0d"
+_CUT = re.compile(f"[{_BLANKS}]")
+#: What a lower-case character of such texts is.
+_BLANK, _LETTER, _NUMERAL, _MARK = range(4)
+_KIND = np.array([next((k for k, own in enumerate((_BLANKS, _LETTERS, _NUMERALS)) if re.match(f"[{own}]", chr(c))), _MARK) for c in range(0x180)], np.uint8)
 
 
 def _byte_chars() -> dict[int, str]:
-    """The characters that byte-level vocabularies write bytes as: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    """How byte-level vocabularies write characters: each byte as one, of which printable Latin-1 stands for itself and the rest follows from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    sign = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(len(_KIND))}
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -81,11 +92,83 @@ class _Memo(dict):
         return value
 
     def turn(self) -> None:
-        if len(self) > MEMO:
+        if len(self) > WORD_MEMO:
             self._old = dict(self)
             self.clear()
 
 
+class _Runs:
+    """Ids of runs, as arrays: a table of a few bytes a run, where a dictionary takes some hundred."""
+
+    def __init__(self, make: Callable[[str], list[int]], kind: type):
+        self._make, self._kind = make, kind
+        self._keys, self._ids, self._met, self._turn = pa.array([], pa.binary()), pa.array([], pa.binary()), np.empty(0, np.int32), 0
+
+    def ids(self, runs: list[pa.BinaryArray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs (UTF-16) in a row, and where each run's begin."""
+        if not any(map(len, runs)):
+            return np.empty(0, self._kind), np.zeros(1, np.int32)
+        known = len(self._keys)
+        coded = pa.chunked_array([self._keys, *runs], pa.binary()).dictionary_encode()
+        self._keys = coded.chunk(coded.num_chunks - 1).dictionary
+        self._ids = pa.concat_arrays([self._ids, self._made(self._keys.slice(known))])
+        which = np.concatenate([c.indices.to_numpy() for c in coded.chunks])[known:]
+        self._turn += 1
+        self._met = np.append(self._met, np.zeros(len(self._keys) - known, np.int32))
+        self._met[which] = self._turn
+        found = self._ids.take(pa.array(which))
+        if len(self._keys) > MEMO:
+            stay = pa.array(np.sort(np.argsort(-self._met, kind="stable")[: MEMO // 2]))
+            self._keys, self._ids, self._met = self._keys.take(stay), self._ids.take(stay), self._met[stay.to_numpy()]
+        begin = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) // np.dtype(self._kind).itemsize
+        return np.frombuffer(found.buffers()[2], self._kind, begin[-1]), begin
+
+    def _made(self, new: pa.BinaryArray) -> pa.BinaryArray:
+        ids, ends = array("I"), array("i", [0])
+        for i in range(0, len(new), 4096):
+            part = new.slice(i, 4096)
+            at = np.frombuffer(part.buffers()[1], np.int32, len(part) + 1, 4 * part.offset)
+            text = str(memoryview(part.buffers()[2])[at[0] : at[-1]], "utf-16-le")
+            cuts = ((at - at[0]) // 2).tolist()
+            for s, e in zip(cuts, cuts[1:]):
+                ids.extend(self._make(text[s:e]))
+                ends.append(len(ids))
+        flat = np.frombuffer(ids, np.uint32).astype(self._kind)
+        return pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.frombuffer(ends, np.int32) * np.int32(flat.itemsize)), pa.py_buffer(flat)])
+
+
+def _runs_of(texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The runs that the split gives in these lower-case texts, as UTF-16, and how many each text has."""
+    own = np.frombuffer("\n".join([*texts, "", ""]).encode("utf-16-le"), np.uint16)
+    kind = _KIND[own]
+    first = np.ones(len(own) + 1, bool)
+    first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMERAL)
+    mark = np.flatnonzero(own == ord("'"))
+    mark = mark[first[mark] & (kind[mark + 1] == _LETTER)]
+    one, two = own[mark + 1], own[mark + 2]
+    short = mark[np.isin(one, [ord(c) for c in "stmd"])]
+    long = mark[((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))]
+    for at, size in ((short, 2), (long, 3)):
+        first[at + 1] = False
+        first[at + size] = True
+    held = kind != _BLANK
+    first = first[:-1]
+    starts = np.append(np.flatnonzero(first[held]), np.count_nonzero(held))
+    offsets = pa.py_buffer((2 * starts).astype(np.int32))
+    runs = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, offsets, pa.py_buffer(own[held])])
+    return runs, np.diff(np.searchsorted(np.flatnonzero(first & held), np.cumsum([0, *(len(t) + 1 for t in texts)])))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about CHARS characters, cut at blanks."""
+    at = 0
+    while at < len(text):
+        blank = _CUT.search(text, at + CHARS)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
     """Ids of whole texts. With the steps known, no token crosses white space; each distinct run of letters, or else word, is encoded once."""
 
@@ -93,32 +176,67 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(tokenizer_path(path))
-        said = json.loads(self._t.to_str())
-        self._by_word = all(said[k] == v for k, v in KNOWN_STEPS.items())
+        self._by_word = all((step := getattr(self._t, k)) is not None and json.loads(step.__getstate__()) == v for k, v in KNOWN_STEPS.items())
         self._kind = np.uint16 if self._t.get_vocab_size() <= 1 << 16 else np.uint32
         self._pack = (array("H") if self._kind == np.uint16 else array("I")).typecode
         self._model, self._bytes = self._t.model, _byte_chars()
         self._words = _Memo(lambda word: self._ids(word.decode()))
-        self._runs = _Memo(self._run)
+        self._runs = _Runs(self._run, self._kind)
 
     def _ids(self, text: str) -> bytes:
         return array(self._pack, self._t.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        own = run if run.isascii() else run.encode().decode("latin-1").translate(self._bytes)
-        return array(self._pack, [t.id for t in self._model.tokenize(own)]).tobytes()
-
-    def _text(self, raw: bytes) -> bytes:
-        text = raw.decode()
-        if _LATIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self._runs.__getitem__, _RUN.findall(text.lower())))
-        return b"".join(map(self._words.__getitem__, raw.split()))
+    def _run(self, run: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(run if run.isascii() else run.translate(self._bytes))]
+
+    def _latin(self, texts: list[str]) -> list[np.ndarray]:
+        runs, sizes, at = [], [], 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and size < CHARS:
+                size += len(texts[upto])
+                upto += 1
+            own, n = _runs_of(texts[at:upto])
+            runs.append(own)
+            sizes.append(n)
+            at = upto
+        ids, begin = self._runs.ids(runs)
+        ends = begin[np.append(0, np.cumsum(np.concatenate(sizes)))].tolist()
+        return [ids[s:e] for s, e in zip(ends, ends[1:])]
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        make = self._text if self._by_word else lambda raw: self._ids(raw.decode())
         self._words.turn()
-        self._runs.turn()
-        return [np.frombuffer(make(t) if t else b"", self._kind) for t in texts]
+        made: list[list[np.ndarray]] = [[] for _ in texts]
+        owner: list[int] = []
+        pieces: list[str] = []
+        size = 0
+
+        def close():
+            nonlocal size
+            if pieces:
+                for i, ids in zip(owner, self._latin(pieces)):
+                    made[i].append(ids)
+            owner.clear()
+            pieces.clear()
+            size = 0
+
+        for i, raw in enumerate(texts):
+            if not raw:
+                continue
+            text = raw.decode()
+            if not self._by_word:
+                made[i].append(np.frombuffer(self._ids(text), self._kind))
+            elif not _LATIN.fullmatch(text) or "<|" in text:
+                made[i].append(np.frombuffer(b"".join(map(self._words.__getitem__, raw.split())), self._kind))
+            else:
+                for piece in _pieces(text.lower()):
+                    owner.append(i)
+                    pieces.append(piece)
+                    size += len(piece)
+                    if size >= LOOKUP:
+                        close()
+        close()
+        return [m[0] if len(m) == 1 else np.concatenate(m) if m else np.empty(0, self._kind) for m in made]
 
 
 class Index:
@@ -248,6 +366,16 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tu
         yield part
 
 
+def _parts(b: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes in that column, or of one row."""
+    ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64))
+    at, before = 0, 0
+    while at < b.num_rows:
+        upto = max(int(np.searchsorted(ends, before + size, "right")), at + 1)
+        yield b.slice(at, upto - at)
+        at, before = upto, int(ends[upto - 1])
+
+
 def _flat(ids: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column in a row, and where each document's begin."""
     size = sizes[0].as_py()
@@ -293,24 +421,42 @@ def heaviest(flat: np.ndarray, at: np.ndarray, idf: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term[order][use], pa.int32()))
 
 
-def _placed(encoded: DataFrame) -> DataFrame:
-    """Encoded documents with their places in the order: heaviest terms, then a hash."""
+def _placed(encoded: DataFrame, parts: int) -> DataFrame:
+    """Encoded documents with their places in the order (heaviest terms, then a hash) and the one of so many stretches of it that they lie in.
+
+    The ends of stretches come from the places of a sample; every document has its place, but only once: `repartitionByRange` would weigh all terms a second time for its own sample.
+    """
     df = _frequencies(encoded)
     n = df.pop(-1, 0)
     idf = np.zeros(max(df, default=0) + 1, np.float32)
     for term, own in df.items():
         idf[term] = np.log(1 + (n - own + 0.5) / (own + 0.5)) if own > 1 else 0
     sent = encoded.sparkSession.sparkContext.broadcast(idf)
+    rows = encoded.select("id", "ids", "size", F.xxhash64("id", "ids").alias("hash"))
+
+    def weighed(part: pa.RecordBatch) -> tuple[pa.ListArray, list[tuple]]:
+        terms = heaviest(*_flat(part.column(1), part.column(2)), sent.value)
+        return terms, list(zip(map(tuple, terms.to_pylist()), part.column(3).to_pylist()))
+
+    def places(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                yield pa.record_batch([weighed(part)[0], part.column(3)], ["terms", "hash"])
+
+    some = rows.sample(min(1.0, SAMPLED * parts / max(n, 1)), seed=7).mapInArrow(tidy(places), "terms array<int>, hash long").collect()
+    keys = sorted((tuple(r.terms), r.hash) for r in some)
+    ends = encoded.sparkSession.sparkContext.broadcast([keys[len(keys) * k // parts] for k in range(1, parts)] if keys else [])
 
     def each(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                terms = heaviest(*_flat(part.column(1), part.column(2)), sent.value)
-                yield pa.record_batch([*part.columns, terms], ["id", "ids", "size", "terms"])
+                terms, own = weighed(part)
+                stretch = pa.array([bisect_right(ends.value, k) for k in own], pa.int32())
+                yield pa.record_batch([*part.columns, terms, stretch], ["id", "ids", "size", "hash", "terms", "stretch"])
 
-    placed = encoded.select("id", "ids", "size").mapInArrow(tidy(each), "id long, ids binary, size int, terms array<int>")
-    return placed.withColumn("hash", F.xxhash64("id", "ids"))
+    return rows.mapInArrow(tidy(each), "id long, ids binary, size int, hash long, terms array<int>, stretch int")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end: int = END, encoder: Callable[[], Encoder] | None = None) -> DataFrame:
@@ -328,8 +474,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def encoded(batches):
         encode = (encoder() if encoder else Encoder(tokenizer)).encode
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in _parts(b, 1, LOOKUP):
                 made = encode(as_bytes(part.column(1)))
                 last = made[0].dtype.type(end).tobytes()
                 raw = [x.tobytes() + last for x in made]
@@ -378,10 +523,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             yield from flush()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = _placed(cut(texts.mapInArrow(tidy(encoded), "id long, ids binary, size int"), "ids"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["terms", "hash", "id"]
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "ids", "size").mapInArrow(tidy(packed), schema)
+    rows = _placed(cut(texts.mapInArrow(tidy(encoded), "id long, ids binary, size int"), "ids"), parts)
+    return rows.repartitionById(parts, F.col("stretch")).sortWithinPartitions("terms", "hash", "id").select("id", "ids", "size").mapInArrow(tidy(packed), schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

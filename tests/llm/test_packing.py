@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quernstone.llm import packing
@@ -31,6 +32,48 @@ def test_encoder_over_odd_words_and_whole_tables():
     assert not whole._by_word and whole.encode([b" two  words", None])[0].tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(" two  words").ids
 
 
+def test_each_distinct_run_is_encoded_once_a_task():
+    e, asked = packing.Encoder(), []
+    model = e._model
+
+    class Counted:
+        def tokenize(self, run):
+            asked.append(run)
+            return model.tokenize(run)
+
+    e._model = Counted()
+    runs = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(80_000)]
+    texts = [" ".join(runs[i : i + 100]).encode() for i in range(0, len(runs), 100)]
+    first = [x.tolist() for i in range(0, len(texts), 256) for x in e.encode(texts[i : i + 256])]
+    again = [x.tolist() for i in range(0, len(texts), 256) for x in e.encode(texts[i : i + 256])]
+    assert first == again
+    assert len(asked) == len(set(asked)) == len(runs)
+
+
+def test_encoder_over_cuts_and_what_it_forgets(monkeypatch):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(5)
+    signs = [*"strevldma  \n\t12!?-.SRÉéßÿžıªº²¼×÷§~", "'ll", "'re", "'ve", "!'s", "''t", "'S", "\x0b", "\x1f"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 400))) for _ in range(300)] + ["", " ", "'", "x'", " 'd", "'re" * 900, "a" * 3000 + " b"]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    raw = [x.encode() for x in texts]
+    assert [x.tolist() for x in packing.Encoder().encode(raw)] == want
+    assert [len(x) for x in packing.Encoder().encode([b" ", None, b"\n \t", b""])] == [0, 0, 0, 0]
+    for name, value in (("MEMO", 50), ("CHARS", 64), ("LOOKUP", 200)):
+        monkeypatch.setattr(packing, name, value)
+        e = packing.Encoder()
+        for _ in range(2):
+            assert [x.tolist() for x in e.encode(raw)] == want
+        assert len(e._runs._keys) <= 50
+
+
+def test_batches_are_cut_by_bytes():
+    b = pa.record_batch([pa.array(["a" * 5, None, "", "é" * 3, "b" * 40, "c"])], ["text"])
+    assert [p.column(0).to_pylist() for p in packing._parts(b, 0, 11)] == [["a" * 5, None, "", "é" * 3], ["b" * 40], ["c"]]
+    assert [p.num_rows for p in packing._parts(b.slice(3), 0, 1)] == [1, 1, 1]
+    assert list(packing._parts(b.slice(0, 0), 0, 1)) == []
+
+
 def test_round_trip_and_padding(spark):
     rows = [(i if i != 4 else None, t, "s", i) for i, t in enumerate(TEXTS)] + [(7, TEXTS[7], "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, start long")
@@ -125,6 +168,29 @@ def test_windows_fill_like_brute_force():
         assert tail == [(d, s + i) for d, s, n in last for i in range(n)]
 
 
+def test_documents_are_weighed_once_and_dealt_out_evenly_by_their_order(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SAMPLED", 20, raising=False)
+    df = spark.createDataFrame([(i, f"topic{i % 40} word{i} " * (1 + i % 5)) for i in range(2000)], "doc_id long, text string").repartition(5)
+    weighed = spark.sparkContext.accumulator(0)
+    heaviest = packing.heaviest
+
+    def counted(flat, at, idf):
+        weighed.add(len(at) - 1)
+        return heaviest(flat, at, idf)
+
+    monkeypatch.setattr(packing, "heaviest", counted)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = packing.pack(df, window=64).select("doc_id", "sequence_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {r.doc_id for r in got} == set(range(2000))
+    assert 2000 <= weighed.value <= 2000 + 2 * 20 * 8
+    sizes = [len({r.doc_id for r in got if r.sequence_id >> 40 == p}) for p in range(8)]
+    assert sum(sizes) == 2000 and min(sizes) > 100 and max(sizes) < 500
+
+
 def test_related_documents_come_to_lie_in_one_shard(spark):
     old, packing.SHARD_DOCS = packing.SHARD_DOCS, 10
     topics = [f"topic{t} {' '.join(f'alpha{t}x{j}' for j in range(12))}" for t in range(8)]
