@@ -35,9 +35,9 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 2_000_000
 #: Heaviest terms that make a document's place in the order, and BM25's constants.
 KEY_TERMS, K1, B = 4, 1.2, 0.75
 #: Runs that a worker remembers the ids of, before it forgets those that it hasn't met for longest; words, before it starts anew with those in use.
-MEMO, WORD_MEMO = 1 << 18, 1 << 15
+MEMO, WORD_MEMO = 1 << 17, 1 << 15
 #: Characters that are taken apart at once, and whose runs are looked up at once.
-CHARS, LOOKUP = 1 << 18, 1 << 22
+CHARS, LOOKUP = 1 << 18, 1 << 21
 #: Documents for each partition whose places tell where partitions end; all documents are placed.
 SAMPLED = 40
 #: What a tokenizer's file must say for words to be encoded one by one, and for runs of letters to go straight to its model.
