@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.functions.text import TOKEN
 from quernstone.operators import search as S
@@ -99,3 +100,33 @@ def test_fetched_by_intent(spark):
     assert got == {(q, p): 2 * times[q].get(p, 1) for q in times for p in ("text", "vector", "literal", "other")}
     assert max(r.rank for r in H.fetched(legs, intents, 8).where("path = 'vector'").collect()) == 6
     assert H.most_fetched("text", 8) == 24 and H.most_fetched("vector", 8) == 8
+
+
+def test_nearest_is_the_top_of_against_all(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(6)
+    one = lambda: [float(rng.randint(-3, 3)) for _ in range(3)]
+    vectors = [one() for _ in range(150)] + [None, [0.0] * 3, [1.0, None, 2.0], [1.0, 2.0], [1e200] * 3, [float("nan")] * 3, [1e-200] * 3, []]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(5)
+    asked = rows.where("vec_id % 9 = 0 or vec_id >= 148").selectExpr("vec_id as query_id", "embedding as q")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    whole = S.against_all(rows, asked, "vec_id", "embedding").withColumn("rank", rank)
+    for k, sent, products in ((4, None, 1 << 22), (30, 7, 200), (400, None, 1 << 22)):
+        monkeypatch.setattr(S, "_PRODUCTS", products)
+        if sent:
+            monkeypatch.setattr("quernstone.operators.tables.SENT_ROWS", sent)
+        want = whole.where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score").collect()
+        got = S.nearest(rows, asked, k, "vec_id", "embedding").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    assert S.nearest(rows, asked.limit(0), 3, "vec_id", "embedding").count() == 0 and S.nearest(rows.limit(0), asked, 3, "vec_id", "embedding").count() == 0
+    plan = S.nearest(rows, asked, 3, "vec_id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_literal_matches_send_no_texts_around(spark, docs, asked):
+    got = S.literal_matches(docs.withColumn("name", F.length("content")), asked, keep=["chunk_id", "name"])
+    assert got.columns == ["chunk_id", "name", "query_id", "query"]
+    assert sorted((r.query_id, r.chunk_id, r.name) for r in got.collect()) == sorted((q, d, len(t)) for q, w in QUERIES.items() for d, t in TEXTS.items() if w is not None and t is not None and w.lower() in t.lower())
