@@ -7,7 +7,9 @@ reaches gets links to them when it is built. A shard first audits itself: some o
 and moved copies just above the threshold, are searched by graph and by brute force, and the beam
 widens until the probes of every density find TARGET of their neighbours. A query with a quarter of
 its beam above the threshold widens it to the whole shard. What a search returns is verified in double
-precision.
+precision. Before a search a bound tells whether the shard can hold a neighbour at all: by half of the
+principal components and the lengths of the rest no cosine is greater than the bound says, so that a query
+whose bounds all lie below the threshold has none there and isn't searched for.
 
 A task doesn't list the pairs that it finds. It unites the linked vectors of its shard at once,
 and passes on, for each query, how many it found and one of them, and for each vector of the shard
@@ -62,6 +64,9 @@ class Graph:
             self._insert(block, level[block])
             done += len(block)
         self._connect()
+        # principal axes, and of each row its first components by them and the length of the rest
+        self._axes = np.linalg.eigh(vectors.T @ vectors)[1][:, ::-1][:, : -(-vectors.shape[1] // 2)]
+        self._short = np.ascontiguousarray(self._shortened(vectors).T)
 
     def _reach(self, front: np.ndarray, seen: np.ndarray) -> None:
         """Marks what paths on the lowest layer lead to from front."""
@@ -209,34 +214,53 @@ class Graph:
             entry = np.concatenate([np.where(entry == start[:, None], -1, entry), start[:, None]], axis=1)
         return self._beam(q, entry, width, 0)
 
+    def _shortened(self, u: np.ndarray) -> np.ndarray:
+        first = u @ self._axes
+        return np.concatenate([first, np.sqrt(np.maximum(0, 1 - (first * first).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32)
+
+    def possible(self, q: np.ndarray, cosine: float = COSINE, start: np.ndarray | None = None) -> np.ndarray:
+        """Whether rows, but the one of the graph that start gives, may have the cosine to each query; where not, none has."""
+        short, out = self._shortened(q), np.empty(len(q), bool)
+        for lo in range(0, len(q), 128):
+            most = short[lo : lo + 128] @ self._short
+            if start is not None:
+                most[np.arange(len(most)), start[lo : lo + 128]] = -9
+            out[lo : lo + 128] = most.max(axis=1) >= cosine - _SLACK
+        return out
+
     def within(self, q: np.ndarray, width: int, cosine: float = COSINE, start: np.ndarray | None = None) -> list[np.ndarray]:
         """Rows with at least the given cosine to each query, verified in double precision."""
         return self.within_or_all(q, width, cosine, start)[0]
 
     def within_or_all(self, q: np.ndarray, width: int, cosine: float = COSINE, start: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-        """What within gives, and whether a query was put to all rows, so that nothing of it is missing."""
+        """What within gives, and whether a query was put to all rows, or none can be near it, so that nothing of it is missing."""
         n = len(self.u)
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        wide = np.arange(len(q))
+        wide, none = np.arange(len(q)), np.empty(0, np.int64)
         if 2 * width < n:
-            found, sims = self.search(q, width, start)
+            could = self.possible(q, cosine, start)
+            none, some = np.flatnonzero(~could), np.flatnonzero(could)
+            if start is not None:
+                for i in none:
+                    out[i] = start[i : i + 1]
+            found, sims = self.search(q[some], width, None if start is None else start[some])
             full = (sims >= cosine - _SLACK).sum(axis=1) > width // CROWDED
             for i in np.flatnonzero(~full & (sims.max(axis=1) >= cosine - _SLACK)):
                 c = found[i][sims[i] >= cosine - _SLACK]
-                out[i] = c[self.u[c] @ q[i] >= cosine]
-            wide = np.flatnonzero(full)
+                out[some[i]] = c[self.u[c] @ q[some[i]] >= cosine]
+            wide = some[full]
         for lo in range(0, len(wide), 64):
             rows = wide[lo : lo + 64]
             for i, near in zip(rows, q[rows].astype(np.float32) @ self._f.T >= cosine - _SLACK):
                 c = np.flatnonzero(near)
                 out[i] = c[self.u[c] @ q[i] >= cosine]
         scanned = np.zeros(len(q), bool)
-        scanned[wide] = True
+        scanned[wide] = scanned[none] = True
         return out, scanned
 
     def recalls(self, probes: np.ndarray, width: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
         """For each probe with neighbours: how many there are, and the part of them that a beam finds."""
-        there = (probes @ self.u.T >= cosine).sum(axis=1)
+        there = np.concatenate([(probes[lo : lo + 64] @ self.u.T >= cosine).sum(axis=1) for lo in range(0, len(probes), 64)])
         found = np.array([len(x) for x in self.within(probes, width, cosine)])
         return there[there > 0], found[there > 0] / there[there > 0]
 
@@ -356,7 +380,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fine = F.col("id").isNotNull() & sound("w") & F.exists("w", lambda x: x != 0)
     rows = cut(rows.select("id", F.when(fine, F.col("w")).alias("v")), "vectors")
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    shards = shard_count(classes, shard_rows)
+    shards, cores = shard_count(classes, shard_rows), vectors.sparkSession.sparkContext.defaultParallelism
+    if shards > cores and shards % cores:  # so that no round of tasks leaves cores idle; a few more rows a shard also mean fewer copies to other shards
+        down = shards // cores * cores
+        shards = down if 4 * shards <= 5 * down else down + cores
     index = to_own_shard(classes.select(F.col("rep").alias("id"), "v", "n"), shards)
     away = index.withColumn("shard", F.explode(_asked(F.col("shard"), shards)))
     found = cut(put(index, (index, away), shards, _work(cosine), "id long, n long, link long"), "found")

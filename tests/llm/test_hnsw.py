@@ -99,3 +99,25 @@ def test_a_link_counts_whichever_end_finds_it(spark, monkeypatch):
         for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             got[i] = got.get(i, 0) + n
     assert [got.get(a, 0) for a in range(len(u))] == want and sum(want) < near.sum() - len(u)
+
+
+def test_what_no_row_can_be_near_is_not_searched_for(monkeypatch):
+    """The bound never rules out a query that has a neighbour, whatever the vectors; of queries without one few are searched for."""
+    rng = np.random.default_rng(21)
+    plain = rng.normal(size=(1500, 32))
+    flat = np.concatenate([rng.normal(size=(800, 3)) * 5, rng.normal(size=(800, 29)) * 0.2], axis=1)
+    for rows in (plain, flat, rng.normal(size=(700, 1)), np.concatenate([plain[:600], plain[:300] + rng.normal(size=(300, 32)) * 0.2])):
+        graph = hnsw.Graph(hnsw.units(rows))
+        own = np.arange(len(rows))
+        s = graph.u @ graph.u.T
+        s[own, own] = -9
+        assert graph.possible(graph.u, start=own)[s.max(axis=1) >= 0.95].all()
+        q = hnsw.units(rows[: len(rows) // 2] * 1.5 + rng.normal(size=(len(rows) // 2, rows.shape[1])) * 0.1)
+        assert graph.possible(q)[(q @ graph.u.T).max(axis=1) >= 0.95].all()
+    graph = hnsw.Graph(hnsw.units(plain))
+    asked = []
+    search = hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, q, *x: asked.append(len(q)) or search(self, q, *x))
+    found, scanned = graph.within_or_all(graph.u, 24, start=np.arange(1500))
+    assert [x.tolist() for x in found] == [[i] for i in range(1500)] and sum(asked) < 300 and scanned.sum() >= 1200
+    assert not any(len(x) for x in graph.within(hnsw.units(rng.normal(size=(400, 32))), 24))
